@@ -225,7 +225,7 @@ def job_status(events: DataFrame, as_of: Column, key: str = "job_id") -> DataFra
     stop counts if it was requested by the time the job returned. `as_of` stands in for now.
     """
     def at(kind: str, agg) -> Column:
-        return agg(F.when(F.col("kind") == kind, F.col("ts")))
+        return agg(F.when(F.col("kind") == kind, F.col("ts").cast("timestamp")))
 
     folded = events.groupBy(key).agg(
         at("started", F.min).alias("started_at"),
@@ -437,7 +437,7 @@ def stalls(
     reduced to one (min, max) per job and slot; the ordered scan sees slots, not lines.
     `as_of` also reports jobs quiet since their last line (next_line_at is null).
     """
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     slot = F.floor(micros / F.lit(quiet_seconds * 1_000_000))
     slots = lines.select(key, micros.alias("_t"), slot.alias("_slot")).groupBy(key, "_slot").agg(
         F.min("_t").alias("_first"), F.max("_t").alias("_last")

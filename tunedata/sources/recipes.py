@@ -15,10 +15,17 @@ from tunedata.operators.configs import RECIPE, recipe_document, recipe_slug, res
 
 
 def _yaml_to_json(text: str | None) -> str | None:
+    """JSON text of a YAML document; JSON is YAML already and passes through."""
     import yaml
 
     try:
-        return json.dumps(yaml.safe_load(text or ""), ensure_ascii=False, default=str)
+        json.loads(text or "null")
+        return text
+    except ValueError:
+        pass
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+    try:
+        return json.dumps(yaml.load(text, loader), ensure_ascii=False, default=str)
     except yaml.YAMLError:
         return None
 

@@ -112,7 +112,8 @@ def stream_stalls(
     A session closes when the watermark passes the gap, which is when the job counts as stalled.
     """
     sessions = (
-        lines.withWatermark(ts, watermark)
+        lines.withColumn(ts, F.col(ts).cast("timestamp"))
+        .withWatermark(ts, watermark)
         .groupBy(key, F.session_window(ts, f"{quiet_seconds} seconds").alias("session"))
         .agg(F.max(ts).alias("last_line_at"), F.count(F.lit(1)).alias("n_lines"))
     )
