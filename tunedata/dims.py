@@ -192,12 +192,21 @@ def synonym_ranks() -> dict[str, dict[str, int]]:
 
 
 def synonyms_df(spark: SparkSession) -> DataFrame:
-    """(header_key, ranks MAP<canonical, rank>): about a hundred rows, fixed by this module."""
-    ranks = synonym_ranks()
+    """(header_key, canonical, rank, is_first): some 120 rows, fixed by this module.
+
+    `is_first` marks one row per header word.
+    """
+    rows = [
+        (word, canonical, rank, i == 0)
+        for word, ranks in synonym_ranks().items()
+        for i, (canonical, rank) in enumerate(ranks.items())
+    ]
     return spark.createDataFrame(
         pa.table({
-            "header_key": pa.array(list(ranks), pa.string()),
-            "ranks": pa.array([list(r.items()) for r in ranks.values()], pa.map_(pa.string(), pa.int32())),
+            "header_key": pa.array([r[0] for r in rows]),
+            "canonical": pa.array([r[1] for r in rows]),
+            "rank": pa.array([r[2] for r in rows], pa.int32()),
+            "is_first": pa.array([r[3] for r in rows]),
         })
     )
 

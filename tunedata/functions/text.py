@@ -32,6 +32,11 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(entries: Mapping[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
 
@@ -65,4 +70,6 @@ def truthy(c: Column, dtype: T.DataType) -> Column:
 
 
 def has_extension(c: Column, extensions: tuple[str, ...]) -> Column:
-    return F.lower(c).rlike(r"\.(" + "|".join(extensions) + r")\z")
+    # an extension lies in the last few characters, so long texts are neither copied nor searched
+    ending = F.right(c, F.lit(1 + max(map(len, extensions))))
+    return F.lower(ending).rlike(r"\.(" + "|".join(extensions) + r")\z")

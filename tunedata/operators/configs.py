@@ -68,9 +68,14 @@ def complete_config(given: Column, present: Sequence[str] = RUN_CONFIG.fieldName
     )
 
 
-def parse_config(json_text: Column) -> Column:
-    """Run struct from JSON: unknown keys are dropped, missing ones get their default."""
-    return complete_config(F.from_json(json_text, RUN_CONFIG))
+def parse_configs(df: DataFrame, text: str = "config", name: str = "run") -> DataFrame:
+    """Replace JSON text by a run struct: unknown keys are dropped, missing ones get their default.
+
+    The parsed struct is a column of its own, so each document is parsed once, not once per field.
+    """
+    others = [c for c in df.columns if c not in (text, name)]
+    parsed = df.select(*others, F.from_json(text, RUN_CONFIG).alias("_given"))
+    return parsed.select(*others, complete_config(F.col("_given")).alias(name))
 
 
 def config_record(config: Column) -> Column:
@@ -107,9 +112,21 @@ def only_accepted(args: Column, accepted: Column) -> Column:
     return F.when(accepted.isNull(), args).otherwise(F.map_filter(args, lambda k, _: F.array_contains(accepted, k)))
 
 
-def merge_maps(first: Column, second: Column) -> Column:
-    """Union of two maps, the second winning, whatever the session's duplicate-key policy."""
-    return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)
+def merge_maps(*maps: Column) -> Column:
+    """Union of maps, later ones winning, whatever the session's duplicate-key policy."""
+
+    def unless_in(later: tuple[Column, ...]):
+        def keep(k: Column, _: Column) -> Column:
+            test = ~F.map_contains_key(later[0], k)
+            for m in later[1:]:
+                test = test & ~F.map_contains_key(m, k)
+            return test
+
+        return keep
+
+    *earlier, last = maps
+    kept = [F.map_filter(m, unless_in(maps[i + 1 :])) for i, m in enumerate(earlier)]
+    return F.map_concat(*kept, last)
 
 
 def with_task(runs: DataFrame, config: str = "run") -> DataFrame:
@@ -138,15 +155,13 @@ def trainer_args(run: Column, task_defaults: Column) -> Column:
         "max_steps": F.when(~by_epochs, run["max_steps"].cast("string")),
         "gradient_checkpointing": F.when(run["gradient_checkpointing"], "true"),
     }
-    base = F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v.cast("string"))])
-    some = F.map_filter(
-        F.create_map(*[x for k, v in optional.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull()
-    )
-    return merge_maps(merge_maps(F.map_concat(base, some), task_defaults), run["extra"])
+    values = {**{k: v.cast("string") for k, v in entries.items()}, **optional}
+    own = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
+    return F.map_filter(merge_maps(own, task_defaults, run["extra"]), lambda _, v: v.isNotNull())
 
 
 def build_trainer_args(runs: DataFrame, config: str = "run") -> DataFrame:
-    """Add `args`, the trainer arguments of every run."""
+    """Add `args`, the trainer arguments of every run whose task is known."""
     joined = with_task(runs, config)
     return joined.select(*runs.columns, trainer_args(F.col(config), F.col("defaults")).alias("args"))
 

@@ -6,6 +6,7 @@ case of a single key, a catalog of many datasets or a census of ragged rows is t
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tunedata import dims
 from tunedata.functions import shapes as S
-from tunedata.functions.text import column, is_blank, strip
+from tunedata.functions.text import column, is_blank, literal_map, sql_text, strip
 
 # --- fixed values -----------------------------------------------------------------------
 EMPTY_NOTE = "Dataset is empty."
@@ -25,6 +26,8 @@ NO_PROMPT_NOTE = "No explicit prompt column; chosen/rejected may embed the promp
 PAIRS_NOTE = "Anchor/positive pair detected — embedding contrastive training."
 GRPO_NOTE = "Bare prompts — usable for GRPO with a custom reward function."
 TEXT_NOTE = "Raw text — suitable for CPT or completion-style SFT."
+COLUMN_SLOT = "{column}"
+SINGLE_COLUMN_NOTE = "Single text column `{column}` assumed to be raw text."
 # --- end of fixed values ----------------------------------------------------------------
 
 UNKNOWN_NOTE = "Could not classify the columns. Map fields manually."
@@ -73,30 +76,40 @@ def find_columns(
     shape: str = "shape",
     overrides: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One row per dataset: for each canonical field the (name, shape) it resolves to, or null.
+    """One row per dataset: `fields`, a map from canonical fields to the (name, shape) they resolve to.
 
     The best-ranked synonym wins; of headers equal after trimming and lower-casing, the last one.
-    All state per dataset is one running minimum per field, so a dataset of any width aggregates
-    map-side and is never collected.
+    A dataset of any width is reduced map-side to one candidate per field before it moves, and
+    only those candidates, as many as there are fields, are ever gathered.
     """
-    synonyms = dims.synonyms_df(columns.sparkSession)
-    keyed = columns.select(*keys, position, name, shape, header_key(F.col(name)).alias("_key"))
-    ranked = keyed.join(F.broadcast(synonyms), F.col("_key") == F.col("header_key"), "left")
-    forced = overrides or {}
-
-    def pick(canonical: str) -> Column:
-        rank = F.try_element_at("ranks", F.lit(canonical))
-        if canonical in forced:
-            rank = F.when(F.col(name) == forced[canonical], -1).otherwise(rank)
-        best_first = F.when(rank.isNotNull(), F.struct(rank, -F.col(position)))
-        return F.min_by(F.struct(F.col(name).alias("name"), F.col(shape).alias("shape")), best_first)
-
-    text_column = F.when(S.is_string(F.col(shape)), F.col(name))
-    return ranked.groupBy(*keys).agg(
-        *[pick(canonical).alias(canonical) for canonical in dims.SYNONYMS],
-        F.count(name).alias("n_columns"),
-        F.count(text_column).alias("n_text_columns"),
-        F.min(text_column).alias("text_column"),
+    spark = columns.sparkSession
+    synonyms = F.broadcast(dims.synonyms_df(spark))
+    key = header_key(F.col(name))
+    if overrides:  # a column forced onto a field gets a key of its own, which ranks before all
+        forced = {actual: f"\x00{i}" for i, actual in enumerate(dict.fromkeys(overrides.values()))}
+        rows = [(forced[actual], canonical, -1, False) for canonical, actual in overrides.items()]
+        synonyms = F.broadcast(dims.synonyms_df(spark).union(spark.createDataFrame(rows, dims.synonyms_df(spark).schema)))
+        ways = F.array(key, F.try_element_at(literal_map(forced), F.col(name)))
+        key = F.explode(F.array_compact(ways))
+    keyed = columns.select(*keys, position, name, shape, key.alias("_key"))
+    hits = keyed.join(synonyms, F.col("_key") == F.col("header_key"), "left")
+
+    # a column stands for several fields but is counted once, with the first of them
+    once = F.col("canonical").isNull() | F.col("is_first")
+    text_column = F.when(once & S.is_string(F.col(shape)), F.col(name))
+    best = F.min_by(F.struct(F.col(name).alias("name"), F.col(shape).alias("shape")), F.struct("rank", -F.col(position)))
+    per_field = hits.groupBy(*keys, "canonical").agg(
+        best.alias("_best"),
+        F.count(F.when(once, F.col(name))).alias("_columns"),
+        F.count(text_column).alias("_text_columns"),
+        F.min(text_column).alias("_text_column"),
+    )
+    entry = F.when(F.col("canonical").isNotNull(), F.struct("canonical", "_best"))
+    return per_field.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("fields"),
+        F.sum("_columns").alias("n_columns"),
+        F.sum("_text_columns").alias("n_text_columns"),
+        F.min("_text_column").alias("text_column"),
     )
 
 
@@ -105,97 +118,78 @@ def find_columns(
 
 @dataclass(frozen=True)
 class Rule:
+    """All values are SQL over one (name, shape) column per canonical field and the column counts."""
+
     id: str
     format: str
-    guard: Column
-    confidence: Column
-    mapping: Mapping[str, Column]
-    note: Column | None = None
-
-
-def rules() -> list[Rule]:
-    """In order of precedence, over the columns `find_columns` returns."""
-
-    def name(field_name: str) -> Column:
-        return F.col(f"{field_name}.name")
-
-    def shape(field_name: str) -> Column:
-        return F.col(f"{field_name}.shape")
-
-    def found(*fields: str) -> Column:
-        test = F.lit(True)
-        for f in fields:
-            test = test & F.col(f).isNotNull()
-        return test
-
-    def names(*fields: str) -> dict[str, Column]:
-        return {f: name(f) for f in fields}
-
-    def either(test: Column, yes: float, no: float) -> Column:
-        return F.when(test, F.lit(yes)).otherwise(F.lit(no))
-
-    media = S.is_media(shape("image"))
-    return [
-        Rule("R1", "vision_chat", found("image", "conversations"), either(media, 0.9, 0.6),
-             {"images": name("image"), "messages": name("conversations")}),
-        Rule("R2", "image_text", found("image", "text") & (name("image") != name("text")),
-             either(media, 0.85, 0.55), names("image", "text"), F.lit(IMAGE_TEXT_NOTE)),
-        Rule("R3", "audio_text",
-             found("audio", "transcription") & S.is_audio(shape("audio")) & (name("audio") != name("transcription")),
-             F.lit(0.9), {"audio": name("audio"), "text": name("transcription")}, F.lit(AUDIO_TEXT_NOTE)),
-        Rule("R4", "sharegpt", shape("conversations") == S.FROM_VALUE, F.lit(0.95), names("conversations")),
-        Rule("R5", "chatml", shape("conversations") == S.ROLE_CONTENT, F.lit(0.95),
-             {"messages": name("conversations")}),
-        Rule("R6", "preference", found("chosen", "rejected", "prompt"), F.lit(0.95),
-             names("chosen", "rejected", "prompt")),
-        Rule("R7", "preference", found("chosen", "rejected"), F.lit(0.75), names("chosen", "rejected"),
-             F.lit(NO_PROMPT_NOTE)),
-        Rule("R8", "kto", found("prompt", "completion") & S.is_flag(shape("label")), F.lit(0.9),
-             names("prompt", "completion", "label")),
-        Rule("R9", "alpaca", found("instruction", "output"), F.lit(0.95),
-             {**names("instruction", "output"),
-              "input": F.when(~name("input").isin(name("instruction"), name("output")), name("input"))}),
-        Rule("R10", "prompt_completion", found("prompt", "completion"), F.lit(0.9), names("prompt", "completion")),
-        Rule("R11", "embedding_pairs", found("anchor", "positive") & (name("anchor") != name("positive")),
-             F.lit(0.8), names("anchor", "positive"), F.lit(PAIRS_NOTE)),
-        Rule("R12", "grpo", found("prompt") & (F.col("n_columns") <= 2), F.lit(0.6), names("prompt"),
-             F.lit(GRPO_NOTE)),
-        Rule("R13", "text", found("text"), F.lit(0.85), names("text"), F.lit(TEXT_NOTE)),
-        Rule("R14", "text", F.col("n_text_columns") == 1, F.lit(0.5), {"text": F.col("text_column")},
-             F.concat(F.lit("Single text column `"), F.col("text_column"), F.lit("` assumed to be raw text."))),
-        Rule("R15", "unknown", F.lit(True), F.lit(0.0), {}, F.lit(UNKNOWN_NOTE)),
-    ]
+    guard: str
+    confidence: str
+    mapping: Mapping[str, str] = field(default_factory=dict)
+    note: str | None = None
+
+
+def found(*fields: str) -> str:
+    return " AND ".join(f"{f} IS NOT NULL" for f in fields)
+
+
+def names(*fields: str) -> dict[str, str]:
+    return {f: f"{f}.name" for f in fields}
+
+
+def shape_in(canonical: str, *codes: str) -> str:
+    return f"{canonical}.shape IN ({', '.join(map(repr, codes))})"
+
+
+# An image path, or anything that is not a string.
+IMAGE_IS_MEDIA = f"({shape_in('image', S.IMAGE_PATH)} OR NOT {shape_in('image', *S.STRINGS)})"
+
+# In order of precedence: the first guard that holds decides.
+RULES = (
+    Rule("R1", "vision_chat", found("image", "conversations"), f"if({IMAGE_IS_MEDIA}, 0.9D, 0.6D)",
+         {"images": "image.name", "messages": "conversations.name"}),
+    Rule("R2", "image_text", found("image", "text") + " AND image.name <> text.name",
+         f"if({IMAGE_IS_MEDIA}, 0.85D, 0.55D)", names("image", "text"), IMAGE_TEXT_NOTE),
+    Rule("R3", "audio_text",
+         found("transcription") + f" AND {shape_in('audio', S.AUDIO_PATH, S.OBJECT)} AND audio.name <> transcription.name",
+         "0.9D", {"audio": "audio.name", "text": "transcription.name"}, AUDIO_TEXT_NOTE),
+    Rule("R4", "sharegpt", shape_in("conversations", S.FROM_VALUE), "0.95D", names("conversations")),
+    Rule("R5", "chatml", shape_in("conversations", S.ROLE_CONTENT), "0.95D", {"messages": "conversations.name"}),
+    Rule("R6", "preference", found("chosen", "rejected", "prompt"), "0.95D", names("chosen", "rejected", "prompt")),
+    Rule("R7", "preference", found("chosen", "rejected"), "0.75D", names("chosen", "rejected"), NO_PROMPT_NOTE),
+    Rule("R8", "kto", found("prompt", "completion") + f" AND {shape_in('label', S.BOOL, S.INT)}", "0.9D",
+         names("prompt", "completion", "label")),
+    Rule("R9", "alpaca", found("instruction", "output"), "0.95D",
+         {**names("instruction", "output"), "input": "if(input.name NOT IN (instruction.name, output.name), input.name, NULL)"}),
+    Rule("R10", "prompt_completion", found("prompt", "completion"), "0.9D", names("prompt", "completion")),
+    Rule("R11", "embedding_pairs", "anchor.name <> positive.name", "0.8D", names("anchor", "positive"), PAIRS_NOTE),
+    Rule("R12", "grpo", found("prompt") + " AND n_columns <= 2", "0.6D", names("prompt"), GRPO_NOTE),
+    Rule("R13", "text", found("text"), "0.85D", names("text"), TEXT_NOTE),
+    Rule("R14", "text", "n_text_columns = 1", "0.5D", {"text": "text_column"}, SINGLE_COLUMN_NOTE),
+    Rule("R15", "unknown", "true", "0.0D", {}, UNKNOWN_NOTE),
+)
+
+
+def _verdict(rule: Rule) -> str:
+    pairs = ", ".join(f"'{canonical}', {actual}" for canonical, actual in rule.mapping.items())
+    mapping = f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)" if pairs else "cast(map() as map<string,string>)"
+    note = "cast(NULL as string)" if rule.note is None else sql_text(rule.note)
+    return (
+        f"named_struct('rule', '{rule.id}', 'format', '{rule.format}', 'confidence', {rule.confidence},"
+        f" 'mapping', {mapping}, 'note', {note})"
+    )
 
 
-def classify(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+def classify(found_columns: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First matching rule per dataset -> rule, format, confidence, mapping, suggested_tasks, notes."""
-    verdict = None
-    for rule in rules():
-        if rule.mapping:
-            pairs = F.create_map(*[c for k, v in rule.mapping.items() for c in (F.lit(k), v)])
-            mapping = F.map_filter(pairs, lambda _, v: v.isNotNull())
-        else:
-            mapping = F.expr("cast(map() as map<string,string>)")
-        notes = F.expr("cast(array() as array<string>)") if rule.note is None else F.array(rule.note)
-        result = F.struct(
-            F.lit(rule.id).alias("rule"),
-            F.lit(rule.format).alias("format"),
-            rule.confidence.alias("confidence"),
-            mapping.alias("mapping"),
-            notes.alias("notes"),
-        )
-        verdict = F.when(rule.guard, result) if verdict is None else verdict.when(rule.guard, result)
-    tasks = F.create_map(
-        *[
-            c
-            for fmt, ids in dims.formats_to_tasks().items()
-            for c in (F.lit(fmt), F.array(*map(F.lit, ids)) if ids else F.expr("cast(array() as array<string>)"))
-        ]
-    )
-    judged = found.select(*keys, verdict.alias("_v"))
-    return judged.select(
+    branches = " ".join(f"WHEN {r.guard} THEN {_verdict(r)}" for r in RULES)
+    tasks = F.from_json(F.lit(json.dumps(dims.formats_to_tasks())), "map<string,array<string>>")
+    note = F.replace("_v.note", F.lit(COLUMN_SLOT), F.coalesce("text_column", F.lit("")))
+    fields = [F.try_element_at("fields", F.lit(canonical)).alias(canonical) for canonical in dims.SYNONYMS]
+    flat = found_columns.select(*keys, "n_columns", "n_text_columns", "text_column", *fields)
+    return flat.select(*keys, "text_column", F.expr(f"CASE {branches} END").alias("_v")).select(
         *keys, "_v.rule", "_v.format", "_v.confidence", "_v.mapping",
-        F.element_at(tasks, F.col("_v.format")).alias("suggested_tasks"), "_v.notes",
+        F.element_at(tasks, F.col("_v.format")).alias("suggested_tasks"),
+        F.array_compact(F.array(note)).alias("notes"),
     )
 
 
@@ -324,7 +318,7 @@ def evidence(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def shape_census(lines: DataFrame, value: str = "value", row_id: str = "row_id") -> DataFrame:
     """Group ragged JSON rows by their set of keys, count them and detect each group.
 
-    Key presence is read from the text itself, since a typed reader fills absent keys with nulls.
+    Rows are read as maps, since a reader with columns fills absent keys with nulls.
     Rows are first counted per (keys, shapes) with fixed-width state, so one dominant shape is
     combined map-side; what is left grows with the variety of rows, not with their number.
     Returns key_set (sorted keys as JSON), n_rows, first_row, and the detection of the first row.
@@ -332,13 +326,15 @@ def shape_census(lines: DataFrame, value: str = "value", row_id: str = "row_id")
     """
     cells = F.from_json(F.col(value), "map<string,variant>")
     coded = lines.where(~F.coalesce(is_blank(F.col(value)), F.lit(False))).select(
-        F.col(row_id).alias("_id"), F.json_object_keys(value).alias("keys"), cells.alias("_cells")
+        F.col(row_id).alias("_id"), cells.alias("_cells")
     )
     coded = coded.select(
-        "_id", "keys", F.transform("keys", lambda k: S.variant_shape(F.col("_cells")[k])).alias("shapes")
+        "_id",
+        F.map_keys("_cells").alias("keys"),
+        F.transform(F.map_values("_cells"), S.variant_shape).alias("shapes"),
     )
     kinds = coded.groupBy("keys", "shapes").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first_row"))
-    key_set = F.to_json(F.array_sort("keys"))
+    key_set = F.to_json(F.array_sort(F.array_distinct("keys")))
     groups = (
         kinds.withColumn("key_set", key_set)
         .groupBy("key_set")

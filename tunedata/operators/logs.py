@@ -322,41 +322,57 @@ def job_snapshots(
 # --- log headlines and checkpoints ----------------------------------------------------------
 
 
-def pattern_hits(lines: DataFrame, keep: Sequence[str] = ("job_id", "seq"), line: str = "line") -> DataFrame:
+# kind -> pattern, its iteration group, its value group, and text every hit contains
+PATTERNS: dict[str, tuple[str, int | None, int | None, str]] = {
+    "val_loss": (VAL_LOSS, None, 1, "Val loss "),
+    "tokens_per_second": (TOKENS_PER_SECOND, None, 1, "Tokens/sec "),
+    "peak_memory": (PEAK_MEMORY, None, 1, "Peak mem "),
+    "iter_val_loss": (ITER_VAL_LOSS, 1, 2, ": Val loss "),
+    "iter_train_loss": (ITER_TRAIN_LOSS, 1, 2, ": Train loss "),
+    "iter_saved": (ITER_SAVED, 1, None, ": Saved adapter weights"),
+}
+HEADLINES = ("val_loss", "tokens_per_second", "peak_memory")
+LOSSES = ("iter_val_loss", "iter_train_loss")
+
+
+def pattern_hits(
+    lines: DataFrame,
+    keep: Sequence[str] = ("job_id", "seq"),
+    line: str = "line",
+    kinds: Sequence[str] = tuple(PATTERNS),
+) -> DataFrame:
     """Every hit of the report patterns -> keep, kind, pos (within the line), iter, value.
 
-    Kinds: val_loss, tokens_per_second, peak_memory, iter_val_loss, iter_train_loss, iter_saved.
+    A plain substring test decides which patterns a line is matched against, if any.
     """
     text = F.col(line)
-    def hits(kind: str, pattern: str, iter_group: int | None, value_group: int | None) -> Column:
-        def group(i: int | None) -> Column:
-            if i is None:
-                return F.array_repeat(F.lit(None).cast("string"), F.regexp_count(text, F.lit(pattern)))
-            return F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
-
-        pairs = F.arrays_zip(group(iter_group).alias("iter"), group(value_group).alias("value"))
-        return F.transform(
-            pairs,
-            lambda p, i: F.struct(
-                F.lit(kind).alias("kind"), i.alias("pos"), p["iter"].try_cast("bigint").alias("iter"), p["value"].alias("value")
+
+    def hits(kind: str) -> Column:
+        pattern, iter_group, value_group, marker = PATTERNS[kind]
+        iters = F.regexp_extract_all(text, F.lit(pattern), F.lit(iter_group or value_group))
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group or iter_group))
+        each = F.transform(
+            iters if value_group is None else values,
+            lambda x, i: F.struct(
+                F.lit(kind).alias("kind"),
+                i.alias("pos"),
+                (F.lit(None) if iter_group is None else F.get(iters, i) if value_group else x).try_cast("bigint").alias("iter"),
+                (F.lit(None).cast("string") if value_group is None else x).alias("value"),
             ),
         )
+        return F.when(F.contains(text, F.lit(marker)), each).otherwise(
+            F.expr("cast(array() as array<struct<kind:string,pos:int,iter:bigint,value:string>>)")
+        )
 
-    every = F.concat(
-        hits("val_loss", VAL_LOSS, None, 1),
-        hits("tokens_per_second", TOKENS_PER_SECOND, None, 1),
-        hits("peak_memory", PEAK_MEMORY, None, 1),
-        hits("iter_val_loss", ITER_VAL_LOSS, 1, 2),
-        hits("iter_train_loss", ITER_TRAIN_LOSS, 1, 2),
-        hits("iter_saved", ITER_SAVED, 1, None),
-    )
-    reporting = text.rlike("Val loss [0-9.]|Tokens/sec [0-9.]|Peak mem [0-9.]|Iter [0-9]")
-    return lines.where(reporting).select(*keep, F.inline(every))
+    reports = F.lit(False)
+    for kind in kinds:
+        reports = reports | F.contains(text, F.lit(PATTERNS[kind][3]))
+    return lines.where(reports).select(*keep, F.inline(F.concat(*map(hits, kinds))))
 
 
 def eval_losses(lines: DataFrame, key: str = "job_id", seq: str = "seq") -> DataFrame:
     """Validation and training losses as separate series -> key, seq, kind, step, loss."""
-    hits = pattern_hits(lines, [key, seq]).where(F.col("kind").isin("iter_val_loss", "iter_train_loss"))
+    hits = pattern_hits(lines, [key, seq], kinds=LOSSES)
     kind = F.when(F.col("kind") == "iter_val_loss", "val").otherwise("train")
     return hits.select(key, seq, kind.alias("kind"), F.col("iter").alias("step"), F.col("value").try_cast("double").alias("loss"))
 
@@ -366,7 +382,7 @@ def log_headlines(lines: DataFrame, key: str = "job_id", seq: str = "seq") -> Da
 
     Values keep the text they were printed with; a log without one shows a dash.
     """
-    hits = pattern_hits(lines, [key, seq]).where(F.col("iter").isNull() & (F.col("kind") != "iter_saved"))
+    hits = pattern_hits(lines, [key, seq], kinds=HEADLINES)
     at = F.struct(seq, "pos")
 
     def of(kind: str, order: Column) -> Column:
@@ -396,7 +412,7 @@ def checkpoint_losses(lines: DataFrame, key: str = "job_id", seq: str = "seq", o
     -> key, iter, checkpoint, val_loss, train_loss. An iteration saved n times is listed n times;
     `once` lists it once and adds `times_saved`.
     """
-    hits = pattern_hits(lines, [key, seq]).where(F.col("kind").startswith("iter_"))
+    hits = pattern_hits(lines, [key, seq], kinds=(*LOSSES, "iter_saved"))
     at = F.struct(seq, "pos")
     per_iter = hits.groupBy(key, "iter").agg(
         F.max_by("value", F.when(F.col("kind") == "iter_val_loss", at)).alias("val_loss"),

@@ -509,7 +509,7 @@ def streamed_stalls(spark, sf):
 
 
 def _runs(spark, sf):
-    return A.run_json(spark, sf).select("run_id", R.parse_config(F.col("config")).alias("run"))
+    return R.parse_configs(A.run_json(spark, sf))
 
 
 @query
@@ -523,7 +523,8 @@ def parsed_configs(spark, sf):
 
 @query
 def config_round_trip(spark, sf):
-    again = _runs(spark, sf).select("run_id", "run", R.parse_config(R.config_record(F.col("run"))).alias("again"))
+    record = _runs(spark, sf).select("run_id", "run", R.config_record(F.col("run")).alias("record"))
+    again = R.parse_configs(record, "record", "again")
     same = F.to_json("run") == F.to_json("again")
     return again.select("run_id", same.alias("same"), F.array_join("again.target_modules", ",").alias("target_modules"))
 
