@@ -20,7 +20,7 @@ def strip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return F.length(strip(c)) == 0
+    return ~c.rlike(r"[^\s\p{Z}\x1c-\x1f\x85]")  # stops at the first character that shows
 
 
 def quoted(name: str) -> str:
@@ -37,6 +37,11 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def div(c: Column, n: int) -> Column:
+    """Integer division, exact for every bigint (a floor of `/` goes through doubles)."""
+    return F.call_function("div", c.cast("bigint"), F.lit(n).cast("bigint"))
+
+
 def literal_map(entries: Mapping[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
 

@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tunedata.functions.text import div
+
 BLOCK = "_block"
 DEFAULT_SPAN = 1 << 16
 
 
 def block_of(seq: str, span: int = DEFAULT_SPAN) -> Column:
     """Block number of a row. `seq` is an integer that grows along the key."""
-    return F.floor(F.col(seq) / F.lit(span)).cast("bigint")
+    return div(F.col(seq), span)
 
 
 def join_blocks(rows: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:

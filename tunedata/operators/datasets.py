@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tunedata.functions.text import column
+from tunedata.functions.text import column, div
 from tunedata.operators.detect import Detection, detect
 
 PREVIEW_ROWS = 8
@@ -53,7 +53,7 @@ def train_validation_split(df: DataFrame, key: str, validation_percent: int = 10
 def length_histogram(df: DataFrame, text: str, width: int = 100) -> DataFrame:
     """(bucket_start, n_rows) of the number of whitespace-separated tokens per row."""
     tokens = F.regexp_count(F.col(text), F.lit(r"\S+"))
-    start = (F.floor(tokens / F.lit(width)) * width).cast("bigint")
+    start = div(tokens, width) * width
     return df.groupBy(start.alias("bucket_start")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 

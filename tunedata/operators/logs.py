@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tunedata import dims
-from tunedata.functions.text import is_blank, literal_map
+from tunedata.functions.text import div, is_blank, literal_map
 from tunedata.operators.blocks import BLOCK, DEFAULT_SPAN, block_of, join_blocks, last_rows, running_total
 
 # --- fixed values: what a trainer's log lines look like ---------------------------------
@@ -51,7 +51,7 @@ def relines(
     Only the first and last piece of a chunk can belong to a longer line, so only those are
     grouped; lines that lie inside one chunk go straight through.
     """
-    breaks = F.regexp_count(F.col(text), F.lit(r"[\n\r]"))
+    breaks = F.length(text) - F.length(F.translate(text, "\n\r", ""))
     numbered = running_total(
         chunks.select(*keys, seq, text), keys, [seq], breaks, "_before", span=span, exclusive=True, total_name="_total"
     )
@@ -81,11 +81,11 @@ def relines(
 def loss_points(lines: DataFrame, keep: Sequence[str] = ("job_id", "seq"), line: str = "line") -> DataFrame:
     """Lines that report a loss -> keep, explicit_step (null when the line has none), loss."""
     text = F.col(line)
-    found = lines.select(*keep, F.regexp_extract(text, LOSS, 1).alias("_loss"), F.regexp_extract(text, STEP, 1).alias("_step"))
+    likely = lines.where(F.contains(F.lower(text), F.lit("loss")))  # far cheaper than the pattern
+    found = likely.select(*keep, F.regexp_extract(text, LOSS, 1).alias("_loss"), F.regexp_extract(text, STEP, 1).alias("_step"))
+    step = F.nullif("_step", F.lit(""))  # a cast that fails costs an exception, a null nothing
     return found.where(F.col("_loss") != "").select(
-        *keep,
-        F.col("_step").try_cast("bigint").alias("explicit_step"),
-        F.col("_loss").try_cast("double").alias("loss"),
+        *keep, step.try_cast("bigint").alias("explicit_step"), F.col("_loss").try_cast("double").alias("loss")
     )
 
 
@@ -97,18 +97,12 @@ def infer_steps(
     Inside a block the step is known from the block's last explicit step, or else relative to
     where the previous block ended; one row per block is then scanned per job to find that.
     """
-    window = W.partitionBy(key, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = (
-        points.withColumn(BLOCK, block_of(order[0], span))
-        .withColumn("_n", F.row_number().over(W.partitionBy(key, BLOCK).orderBy(*order)))
-        .withColumn("_explicit", F.last("explicit_step", ignorenulls=True).over(window))
-        .withColumn(
-            "_explicit_n", F.last(F.when(F.col("explicit_step").isNotNull(), F.col("_n")), ignorenulls=True).over(window)
-        )
-    )
-    # Step at the row when known inside the block, and how far the row is past the carried step.
-    known = F.col("_explicit") + F.col("_n") - F.col("_explicit_n")
-    local = local.withColumn("_known", known)
+    in_block = W.partitionBy(key, BLOCK).orderBy(*order)
+    numbered = points.withColumn(BLOCK, block_of(order[0], span)).withColumn("_n", F.row_number().over(in_block))
+    # Between explicit steps, step and row number grow alike: their difference stays that of the last one.
+    lead = F.last(F.col("explicit_step") - F.col("_n"), ignorenulls=True)
+    known = F.col("_n") + lead.over(in_block.rowsBetween(W.unboundedPreceding, W.currentRow))
+    local = numbered.withColumn("_known", known)
 
     ends = local.groupBy(key, BLOCK).agg(
         F.max("_n").cast("bigint").alias("_points"),
@@ -131,7 +125,7 @@ def infer_steps(
     return (
         join_blocks(local, blocks, [key])
         .withColumn("step", step)
-        .drop(BLOCK, "_n", "_explicit", "_explicit_n", "_known", "_carried")
+        .drop(BLOCK, "_n", "_known", "_carried")
     )
 
 
@@ -164,7 +158,7 @@ def every_kth(
     """Rows 0, k, 2k, … of every key, with `kth` counting 0, 1, 2, …"""
     numbered = running_total(df, keys, order, F.lit(1), "_row", span=span, exclusive=True)
     return (
-        numbered.where(F.col("_row") % k == 0).withColumn("kth", F.floor(F.col("_row") / k).cast("bigint")).drop("_row")
+        numbered.where(F.col("_row") % k == 0).withColumn("kth", div(F.col("_row"), k)).drop("_row")
     )
 
 
@@ -176,7 +170,7 @@ def loss_trajectory(
     per_piece: int = 1000,
     span: int = DEFAULT_SPAN,
 ) -> DataFrame:
-    """Every k-th loss to 3 decimals, joined by arrows -> key, piece, trajectory.
+    """Every k-th loss to 3 decimals (half up), joined by arrows -> key, piece, trajectory.
 
     A job's trajectory is cut into pieces of `per_piece` losses, so that no cell grows with the
     job; most jobs have one piece, and the pieces of a longer one join by the same arrow.
@@ -184,7 +178,7 @@ def loss_trajectory(
     sampled = every_kth(series, k, [key], order, span)
     shown = sampled.select(
         key,
-        F.floor(F.col("kth") / per_piece).cast("bigint").alias("piece"),
+        div(F.col("kth"), per_piece).alias("piece"),
         F.struct("kth", F.format_string("%.3f", "loss").alias("text")).alias("_point"),
     )
     grouped = shown.groupBy(key, "piece").agg(F.array_sort(F.collect_list("_point")).alias("_points"))
@@ -454,7 +448,7 @@ def stalls(
     `as_of` also reports jobs quiet since their last line (next_line_at is null).
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    slot = F.floor(micros / F.lit(quiet_seconds * 1_000_000))
+    slot = micros - F.pmod(micros, F.lit(quiet_seconds * 1_000_000))
     slots = lines.select(key, micros.alias("_t"), slot.alias("_slot")).groupBy(key, "_slot").agg(
         F.min("_t").alias("_first"), F.max("_t").alias("_last")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tunedata.functions import chat
 from tunedata.functions.shapes import shape_of
-from tunedata.functions.text import is_blank
+from tunedata.functions.text import div, is_blank
 from tunedata.operators import catalog as C
 from tunedata.operators import configs as R
 from tunedata.operators import datasets as D
@@ -288,7 +288,7 @@ def scan_jsonl(spark, sf):
 def _json_documents(spark, sf, wrap: bool) -> str:
     """Documents as JSON files of a hundred records, bare or inside an object."""
     path = scratch_dir(spark, "json")
-    batch = F.floor(F.col("doc_id") / 100)
+    batch = div(F.col("doc_id"), 100)
     lists = _documents(spark, sf).groupBy(batch.alias("batch")).agg(
         F.to_json(F.collect_list(F.struct("doc_id", "lang", "text"))).alias("value")
     )

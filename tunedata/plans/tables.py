@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata import dims
+from tunedata.functions.text import div
 
 # A conversation longer than this is carried on in further parts, each a row of its own.
 TURNS_PER_PART = 1024
@@ -62,7 +63,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, part, messages): role/content turns in order."""
     turns = table(spark, sf_dir, "conversations")
-    part = F.floor(F.col("turn") / F.lit(TURNS_PER_PART)).cast("bigint")
+    part = div(F.col("turn"), TURNS_PER_PART)
     grouped = turns.groupBy("conv_id", part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_turns")
     )
@@ -197,7 +198,7 @@ def log_chunks(spark: SparkSession, sf_dir: str, events: DataFrame | None = None
         .when(F.col("seq") % 5 == 1, F.concat(F.left(line, F.lit(3)), F.lit("\r"), line, F.lit("\n  \n"), F.left(line, F.lit(4))))
         .otherwise(F.concat(F.left(line, F.lit(5)), F.lit("\n"), F.substring(line, 6, 1000)))
     )
-    channel = F.when(F.floor(F.col("seq") / 2) % 2 == 0, "stdout").otherwise("stderr")
+    channel = F.when(div(F.col("seq"), 2) % 2 == 0, "stdout").otherwise("stderr")
     return log_lines(spark, sf_dir, events).select("job_id", channel.alias("channel"), "seq", chunk.alias("chunk"))
 
 
@@ -291,7 +292,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(artifact, path): nine artifacts of model files and checkpoints; a third lack one file."""
-    n = F.floor(F.col("page_id") / 9) % 27
+    n = div(F.col("page_id"), 9) % 27
     roots = F.array(*map(F.lit, ("model.safetensors", "config.json", "tokenizer.json")))
     path = F.when(n >= 3, F.format_string("adapters/%07d_adapters.safetensors", n * 100)).otherwise(F.get(roots, n.cast("int")))
     path = F.when((n == 1) & (F.col("page_id") % 3 == 0), F.lit("readme.md")).otherwise(path)
