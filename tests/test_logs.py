@@ -80,10 +80,12 @@ def test_first_points_of_the_fake_trainer(spark):
     assert L.points_per_job(series).first().n_points == 3
 
 
-def test_running_total_with_null_keys(spark):
-    df = spark.createDataFrame([(None, 1, 5), (None, 9, 6), ("a", 2, 7)], "k string, seq long, v long")
+def test_running_total(spark):
+    df = spark.createDataFrame([("b", 1, 5), ("b", 9, 6), ("a", 2, 7)], "k string, seq long, v long")
     got = running_total(df, ["k"], ["seq"], F.col("v"), "t", span=2, exclusive=True, total_name="all").orderBy("seq").collect()
     assert [(r.t, r["all"]) for r in got] == [(0, 11), (0, 7), (5, 11)]
+    with pytest.raises(Exception, match="k must not be null"):
+        running_total(df.withColumn("k", F.nullif("k", F.lit("b"))), ["k"], ["seq"], F.col("v"), "t").collect()
 
 
 @pytest.mark.parametrize("n", [1, 3, 5000])

@@ -24,17 +24,20 @@ def block_of(seq: str, span: int = DEFAULT_SPAN) -> Column:
     return div(F.col(seq), span)
 
 
+def in_blocks(df: DataFrame, keys: Sequence[str], seq: str, span: int = DEFAULT_SPAN) -> DataFrame:
+    """Add the block number. A null key stops the job: rows of no key have no order to scan in."""
+    for name in keys:
+        complaint = F.raise_error(F.lit(f"{name} must not be null")).cast(df.schema[name].dataType)
+        df = df.withColumn(name, F.coalesce(F.col(name), complaint))
+    return df.withColumn(BLOCK, block_of(seq, span))
+
+
 def join_blocks(rows: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bring one-row-per-block values to the rows. Null keys match each other.
+    """Bring one-row-per-block values to the rows.
 
-    `rows` come out of a window over (keys, block), so only `blocks` is moved.
+    `rows` come out of a window over (keys, block) and stay where they are; only `blocks` moves.
     """
-    on = [*keys, BLOCK]
-    right = blocks
-    for name in on:
-        right = right.withColumnRenamed(name, f"_r_{name}")
-    match = [F.col(name).eqNullSafe(F.col(f"_r_{name}")) for name in on]
-    return rows.join(right, match, "left").drop(*[f"_r_{name}" for name in on])
+    return rows.join(blocks, [*keys, BLOCK])
 
 
 def running_total(
@@ -47,13 +50,15 @@ def running_total(
     span: int = DEFAULT_SPAN,
     exclusive: bool = False,
     total_name: str | None = None,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Add `name`: the sum of `value` over the key's rows up to this one, in `order`.
 
     `exclusive` leaves the row itself out. `total_name` adds the key's grand total as well.
+    `keep_block` keeps the block number, for further windows over the same partitions.
     `order` must be unique within the key and its first column an integer.
     """
-    blocked = df.withColumn(BLOCK, block_of(order[0], span))
+    blocked = in_blocks(df, keys, order[0], span)
     in_block = W.partitionBy(*keys, BLOCK).orderBy(*order)
     local = blocked.withColumn("_value", value.cast("bigint")).withColumn(
         "_local", F.sum("_value").over(in_block.rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -68,7 +73,8 @@ def running_total(
     result = F.col("_carry") + F.col("_local")
     if exclusive:
         result = result - F.col("_value")
-    return join_blocks(local, blocks, keys).withColumn(name, result).drop(BLOCK, "_value", "_local", "_carry")
+    summed = join_blocks(local, blocks, keys).withColumn(name, result).drop("_value", "_local", "_carry")
+    return summed if keep_block else summed.drop(BLOCK)
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, span: int = 1 << 20) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tunedata import dims
 from tunedata.functions.text import div, is_blank, literal_map
-from tunedata.operators.blocks import BLOCK, DEFAULT_SPAN, block_of, join_blocks, last_rows, running_total
+from tunedata.operators.blocks import BLOCK, DEFAULT_SPAN, in_blocks, join_blocks, last_rows, running_total
 
 # --- fixed values: what a trainer's log lines look like ---------------------------------
 LOSS = r"""(?i)loss["']?[:=\s]+([0-9]*\.?[0-9]+(?:e-?\d+)?)"""
@@ -48,31 +48,44 @@ def relines(
 
     A line may span chunks; `seq` is that of the chunk that ends it and `line_no` counts the
     terminators before it. Blank lines and the unterminated end of a key are left out.
-    Only the first and last piece of a chunk can belong to a longer line, so only those are
-    grouped; lines that lie inside one chunk go straight through.
+    Nearly every line lies in one chunk or in two that follow each other in a block, and is put
+    together right there; only pieces of longer lines, or at the edge of a block, are grouped.
     """
-    breaks = F.length(text) - F.length(F.translate(text, "\n\r", ""))
+    breaks = F.regexp_count(F.col(text), F.lit(r"[\n\r]"))
     numbered = running_total(
-        chunks.select(*keys, seq, text), keys, [seq], breaks, "_before", span=span, exclusive=True, total_name="_total"
+        chunks.select(*keys, seq, text), keys, [seq], breaks, "_before", span=span, exclusive=True, total_name="_total",
+        keep_block=True,
     )
-    parts = F.split(F.col(text), r"[\n\r]", -1)
-    cut = numbered.select(*keys, seq, "_before", "_total", parts.alias("_parts"))
-    n_parts = F.size("_parts")
-    inner = cut.where(n_parts > 2).select(
-        *keys, seq, "_before", F.posexplode(F.slice("_parts", 2, n_parts - 2)).alias("_pos", "line")
+    in_block = W.partitionBy(*keys, BLOCK).orderBy(seq)
+    parts = numbered.select(*keys, seq, BLOCK, "_before", "_total", F.split(text, r"[\n\r]", -1).alias("_parts"))
+    parts = parts.withColumn("_breaks", F.size("_parts") - 1).withColumn("_end", F.element_at("_parts", -1))
+    cut = parts.select(
+        "*",
+        F.lag("_end").over(in_block).alias("_previous_end"),
+        F.lag("_breaks").over(in_block).alias("_previous_breaks"),
+        F.lead("_breaks").over(in_block).alias("_next_breaks"),
     )
-    inside = inner.select(*keys, seq, (F.col("_before") + F.col("_pos") + 1).alias("line_no"), "line")
-
-    head = F.struct(F.col("_before").alias("line_no"), F.get("_parts", F.lit(0)).alias("piece"))
-    tail = F.struct((F.col("_before") + n_parts - 1).alias("line_no"), F.element_at("_parts", -1).alias("piece"))
-    ends = F.when(n_parts > 1, F.array(head, tail)).otherwise(F.array(head))
-    edges = cut.select(*keys, seq, "_total", F.inline(ends)).where(F.col("line_no") < F.col("_total"))
-    joined = edges.groupBy(*keys, "line_no").agg(
+    first = F.element_at("_parts", 1)
+    starts_whole = F.coalesce((F.col("_breaks") > 0) & (F.col("_previous_breaks") > 0), F.lit(False))
+    end_is_used = F.coalesce((F.col("_breaks") > 0) & (F.col("_next_breaks") > 0), F.lit(False))
+
+    inner = F.slice("_parts", 2, F.greatest(F.col("_breaks") - 1, F.lit(0)))
+    ready = F.when(starts_whole, F.concat(F.array(F.concat("_previous_end", first)), inner)).otherwise(inner)
+    offset = F.when(starts_whole, 0).otherwise(1)
+    whole = cut.select(*keys, seq, (F.col("_before") + offset).alias("_at"), F.posexplode(ready).alias("_pos", "line"))
+    whole = whole.select(*keys, seq, (F.col("_at") + F.col("_pos")).alias("line_no"), "line")
+
+    head = F.when(~starts_whole, F.struct(F.col("_before").alias("line_no"), first.alias("piece")))
+    tail = F.when(
+        (F.col("_breaks") > 0) & ~end_is_used,
+        F.struct((F.col("_before") + F.col("_breaks")).alias("line_no"), F.col("_end").alias("piece")),
+    )
+    pieces = cut.select(*keys, seq, "_total", F.inline(F.array_compact(F.array(head, tail))))
+    joined = pieces.where(F.col("line_no") < F.col("_total")).groupBy(*keys, "line_no").agg(
         F.max(seq).alias(seq), F.array_sort(F.collect_list(F.struct(seq, "piece"))).alias("_pieces")
     )
-    line = F.array_join(F.col("_pieces.piece"), "")
-    across = joined.select(*keys, seq, "line_no", line.alias("line"))
-    return inside.unionByName(across).where(~is_blank(F.col("line")))
+    across = joined.select(*keys, seq, "line_no", F.array_join(F.col("_pieces.piece"), "").alias("line"))
+    return whole.unionByName(across).where(~is_blank(F.col("line")))
 
 
 # --- loss series ---------------------------------------------------------------------------
@@ -98,7 +111,7 @@ def infer_steps(
     where the previous block ended; one row per block is then scanned per job to find that.
     """
     in_block = W.partitionBy(key, BLOCK).orderBy(*order)
-    numbered = points.withColumn(BLOCK, block_of(order[0], span)).withColumn("_n", F.row_number().over(in_block))
+    numbered = in_blocks(points, [key], order[0], span).withColumn("_n", F.row_number().over(in_block))
     # Between explicit steps, step and row number grow alike: their difference stays that of the last one.
     lead = F.last(F.col("explicit_step") - F.col("_n"), ignorenulls=True)
     known = F.col("_n") + lead.over(in_block.rowsBetween(W.unboundedPreceding, W.currentRow))

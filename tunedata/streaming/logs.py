@@ -3,7 +3,7 @@
 State is keyed by job: a text tail, or one counter. Whatever does not need state (matching,
 parsing, dropping lines without a loss) runs before the shuffle, so a chatty job sends only its
 points. A micro-batch of a job is sorted by `seq`; rows that arrive in a later batch are counted
-on arrival. Bound the batch at the source (`maxFilesPerTrigger`, `maxBytesPerTrigger`).
+on arrival. The source bounds a batch by its bytes, and so what one job can bring to a task.
 """
 
 from __future__ import annotations
@@ -20,14 +20,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tunedata.operators.logs import STALL_SECONDS, loss_points
 
-MAX_FILES_PER_TRIGGER = 256
+MAX_BYTES_PER_TRIGGER = "1g"
 REFRESH = "2 seconds"
 
 
 def read_stream(
-    spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet", max_files: int = MAX_FILES_PER_TRIGGER
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    format: str = "parquet",
+    max_bytes: str = MAX_BYTES_PER_TRIGGER,
+    max_files: int | None = None,
 ) -> DataFrame:
-    return spark.readStream.schema(schema).format(format).option("maxFilesPerTrigger", max_files).load(path)
+    """Files as they arrive, in micro-batches of `max_bytes` or, if given, `max_files`."""
+    bound = ("maxFilesPerTrigger", max_files) if max_files else ("maxBytesPerTrigger", max_bytes)
+    return spark.readStream.schema(schema).format(format).option(*bound).load(path)
 
 
 def _batch(frames: Iterator[pd.DataFrame], seq: str) -> pd.DataFrame:
