@@ -211,6 +211,15 @@ def test_parts_of_a_chat_join_to_the_whole(spark):
     assert "".join(r.g for r in got) == whole
 
 
+def test_tools_go_into_the_first_part_only(spark):
+    tools = [{"name": "f"}]
+    messages = [("system", "s"), ("user", "a"), ("assistant", "b"), ("user", "c")]
+    df = spark.createDataFrame([(0, messages[:2]), (1, messages[2:])], f"part int, m {RC}")
+    renderer = chat.llama3(date_string="26 Jul 2024", tools=tools, continued=F.col("part") > 0)
+    got = df.orderBy("part").select(chat.render_chat(F.col("m"), df.schema["m"].dataType, renderer)).collect()
+    assert "".join(r[0] for r in got) == render(spark, messages, tools=tools)
+
+
 def test_prompt_building(spark):
     df = spark.createDataFrame([([("user", "a"), ("assistant", "b")],)], f"h {RC}")
     bare, full = df.select(

@@ -217,3 +217,25 @@ def test_sweep(spark):
     assert [(r.variant, r.run.learning_rate, r.run.lora_r) for r in got] == [(0, 1e-4, 8), (1, 1e-4, 16), (2, 2e-4, 8), (3, 2e-4, 16)]
     with pytest.raises(ValueError):
         R.sweep(runs, {"nope": [1]})
+
+
+def test_log_files_keep_line_order_across_splits(spark, tmp_path):
+    from tunedata.operators import logs as L
+    from tunedata.sources.logs import load_logs
+
+    texts = {name: [f"{name} line {i}: loss 1.{i}" if i % 3 else "" for i in range(n)] for name, n in (("a", 400), ("b.x", 7))}
+    for name, lines in texts.items():
+        write(tmp_path / f"{name}.log", "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        df = load_logs(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        got = {}
+        for r in df.orderBy("job_id", "seq").collect():
+            got.setdefault(r.job_id, []).append(r.line)
+        assert got == texts
+        tails = {r.job_id: r.tail for r in L.log_tail(df, 3).collect()}
+        assert tails == {k: "\n".join(v[-3:]) for k, v in texts.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

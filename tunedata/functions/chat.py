@@ -141,7 +141,7 @@ def render_llama3(
 
     `date_string` is a parameter, never the clock, so a rerun gives the same rows. `tools` is a
     job constant and is serialised once, on the driver. Where `continued` is true the list
-    carries on an earlier part of one chat, and the opening system block is left out.
+    carries on an earlier part of one chat, and the opening blocks are left out.
     """
     element = messages_type.elementType
     fields = set(element.names) if isinstance(element, T.StructType) else {"role", "content"}
@@ -171,7 +171,8 @@ def render_llama3(
         F.lit(END_OF_TURN),
     )
     if has_tools and tools_in_user_message:
-        valid = valid & (F.size(rest) > 0)
+        starts = F.lit(True) if continued is None else ~continued
+        valid = valid & (~starts | (F.size(rest) > 0))
         opening = F.concat(
             opening,
             _header(F.lit("user")),
@@ -179,7 +180,7 @@ def render_llama3(
             content(F.get(rest, F.lit(0))),
             F.lit(END_OF_TURN),
         )
-        rest = F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1)))
+        rest = F.when(starts, F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1)))).otherwise(rest)
 
     def is_result(m: Column) -> Column:
         return F.coalesce(m["role"].isin("ipython", "tool"), F.lit(False))

@@ -76,14 +76,14 @@ FROM {ORDERED_PARTS} GROUP BY conv_id, part"""
 TOOL_TEXT = chat.TOOLS_IN_USER + chat.TOOLS_FORMAT + "".join(json.dumps(t, indent=4) + "\n\n" for t in TOOLS)
 # with tools, the first message after the system one is the user message the tools are put into
 ORACLES["chat_llama3_tools_text"] = f"""
-WITH t AS (SELECT *, role = 'system' AND turn = first_turn AS is_system FROM {ORDERED_PARTS} WHERE part = 0),
+WITH t AS (SELECT *, part = 0 AND role = 'system' AND turn = first_turn AS is_system FROM {ORDERED_PARTS}),
      n AS (SELECT *, CASE WHEN NOT is_system THEN row_number() OVER (PARTITION BY conv_id, is_system ORDER BY turn) END AS k FROM t)
-SELECT conv_id,
-       {opening(chat.TOOLS_ENVIRONMENT)}
+SELECT conv_id, part,
+       CASE WHEN part = 0 THEN {opening(chat.TOOLS_ENVIRONMENT)}
        || {header(lit("user"))} || {lit(TOOL_TEXT)}
-       || max(CASE WHEN k = 1 THEN {strip("text")} END) || {EOT}
+       || max(CASE WHEN k = 1 THEN {strip("text")} END) || {EOT} ELSE '' END
        || coalesce(string_agg(CASE WHEN k > 1 THEN {LLAMA_TURN} END, '' ORDER BY turn), '') AS text
-FROM n GROUP BY conv_id"""
+FROM n GROUP BY conv_id, part"""
 
 EXCHANGES = """(SELECT u.conv_id, u.turn, u.text AS instruction, coalesce(s.text, '') AS input, a.text AS output
     FROM conversations u

@@ -94,8 +94,8 @@ def chatml_llama3_text(spark, sf):
 
 @query
 def chat_llama3_tools_text(spark, sf):
-    template = chat.llama3(date_string=DATE, tools=TOOLS)
-    return normalize(A.chats(spark, sf).where("part = 0"), CHATML, "sft", template, ["conv_id"])
+    template = chat.llama3(date_string=DATE, tools=TOOLS, continued=F.col("part") > 0)
+    return normalize(A.chats(spark, sf), CHATML, "sft", template, CHAT)
 
 
 @query
@@ -541,7 +541,7 @@ def form_configs(spark, sf):
 
 def _arg_rows(df: DataFrame, args: str) -> DataFrame:
     exploded = df.select("run_id", F.explode(args).alias("arg", "_value"))
-    number = F.col("_value").try_cast("double")
+    number = F.when(F.col("_value").rlike("^[-+.0-9eE]+$"), F.col("_value").try_cast("double"))
     return exploded.select(
         "run_id", "arg", number.alias("number"), F.when(number.isNull(), F.col("_value")).alias("text")
     )
@@ -572,7 +572,8 @@ def task_cards(spark, sf):
 
 @query
 def parsed_recipes(spark, sf):
-    parsed = recipes.parse_recipes(A.recipe_yaml(spark, sf), keep=["run_id"])
+    documents = A.recipe_yaml(spark, sf).repartition(spark.sparkContext.defaultParallelism)  # YAML costs more than a shuffle
+    parsed = recipes.parse_recipes(documents, keep=["run_id"])
     return parsed.select(
         "run_id", "run.task", "run.lora_r", "run.learning_rate", "run.batch_size",
         F.array_join("run.target_modules", ",").alias("target_modules"), "source", "is_local",

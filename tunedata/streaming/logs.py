@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tunedata.operators.logs import STALL_SECONDS, loss_points
 
-MAX_BYTES_PER_TRIGGER = "1g"
+MAX_BYTES_PER_TRIGGER = 1 << 30
 REFRESH = "2 seconds"
 
 
@@ -29,7 +29,7 @@ def read_stream(
     path: str,
     schema: T.StructType,
     format: str = "parquet",
-    max_bytes: str = MAX_BYTES_PER_TRIGGER,
+    max_bytes: int = MAX_BYTES_PER_TRIGGER,
     max_files: int | None = None,
 ) -> DataFrame:
     """Files as they arrive, in micro-batches of `max_bytes` or, if given, `max_files`."""
