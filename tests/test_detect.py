@@ -1,9 +1,13 @@
+from functools import reduce
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunedata import dims, load_dataset
 from tunedata.operators.detect import (
+    column_shapes,
     detect,
     detect_columns,
     evidence,
@@ -61,12 +65,32 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("ddl,row,fmt,confidence", CASES)
-def test_rules(spark, ddl, row, fmt, confidence):
-    found = detect(spark.createDataFrame([row], ddl))
+@pytest.fixture(scope="module")
+def verdicts(spark):
+    """All cases detected in one job, as a catalog of one-row datasets."""
+    samples = [
+        column_shapes(spark.createDataFrame([row], ddl)).withColumn("dataset", F.lit(i))
+        for i, (ddl, row, *_) in enumerate(CASES)
+    ]
+    return {r.dataset: r for r in detect_columns(reduce(DataFrame.unionByName, samples), ["dataset"]).collect()}
+
+
+@pytest.mark.parametrize("case", range(len(CASES)), ids=[c[0] for c in CASES])
+def test_rules(verdicts, case):
+    _, _, fmt, confidence = CASES[case]
+    found = verdicts[case]
     assert (found.format, found.confidence) == (fmt, confidence)
     assert found.suggested_tasks == [t.id for t in dims.TASKS if fmt in t.detector_formats]
-    assert found.label == dims.FORMAT_LABELS[fmt]
+
+
+def test_every_rule_has_a_case(verdicts):
+    assert {v.rule for v in verdicts.values()} == {f"R{i}" for i in range(1, 16)}
+
+
+def test_detect_one_dataset(spark):
+    found = detect(spark.createDataFrame([(FV_ROW,)], "dialogue " + FV))
+    assert (found.format, found.confidence, found.mapping) == ("sharegpt", 0.95, {"conversations": "dialogue"})
+    assert found.label == dims.FORMAT_LABELS["sharegpt"] and not found.needs_review
 
 
 def test_messy_headers_keep_their_spaces(spark):

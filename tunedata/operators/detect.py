@@ -30,6 +30,7 @@ COLUMN_SLOT = "{column}"
 SINGLE_COLUMN_NOTE = "Single text column `{column}` assumed to be raw text."
 # --- end of fixed values ----------------------------------------------------------------
 
+REVIEW_BELOW = 0.7
 UNKNOWN_NOTE = "Could not classify the columns. Map fields manually."
 
 
@@ -45,6 +46,11 @@ class Detection:
     def label(self) -> str:
         return dims.FORMAT_LABELS.get(self.format, self.format)
 
+    @property
+    def needs_review(self) -> bool:
+        """Too unsure to go on without a look at the mapping (see `overrides` of `detect`)."""
+        return self.confidence < REVIEW_BELOW
+
 
 def header_key(name: Column) -> Column:
     return F.lower(strip(name))
