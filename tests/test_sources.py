@@ -239,3 +239,16 @@ def test_log_files_keep_line_order_across_splits(spark, tmp_path):
         assert tails == {k: "\n".join(v[-3:]) for k, v in texts.items()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_config_values(spark):
+    def parse(text):
+        return R.parse_configs(spark.createDataFrame([(text,)], "config string")).first().run
+
+    run = parse('{"learning_rate":"1e-4","batch_size":4,"load_in_4bit":false,"extra":{"beta":0.1},"unknown":[1]}')
+    assert (run.learning_rate, run.batch_size, run.load_in_4bit, run.extra) == (1e-4, 4, False, {"beta": "0.1"})
+    assert (run.task, run.max_steps, run.num_train_epochs, run.use_lora) == ("sft", 100, None, True)
+    with pytest.raises(Exception, match="Bad value for batch_size: many"):
+        parse('{"batch_size":"many"}')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        parse('{"batch_size":')

@@ -37,18 +37,26 @@ BETA_TASKS = ("dpo", "orpo")
 # --- end of fixed values ----------------------------------------------------------------
 
 RUN_CONFIG = T.StructType([T.StructField(name, dtype) for name, dtype, _ in _FIELDS])
+# As read from a document: scalars stay text until they are cast, so "1e-4" is a number either way.
+GIVEN_CONFIG = T.StructType(
+    [
+        T.StructField(name, dtype if isinstance(dtype, (T.ArrayType, T.MapType)) else T.StringType())
+        for name, dtype, _ in _FIELDS
+    ]
+)
 RECIPE = T.StructType(
     [
         T.StructField("recipe_version", T.IntegerType()),
         T.StructField(
             "dataset", T.StructType([T.StructField("source", T.StringType()), T.StructField("local", T.BooleanType())])
         ),
-        T.StructField("run", RUN_CONFIG),
+        T.StructField("run", GIVEN_CONFIG),
     ]
 )
+STRICT = {"mode": "FAILFAST"}
 
 
-def _literal(value: object, dtype: T.DataType) -> Column:
+def _default(value: object, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.ArrayType):
         return F.array(*map(F.lit, value))
     if isinstance(dtype, T.MapType):
@@ -56,16 +64,16 @@ def _literal(value: object, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def complete_config(given: Column, present: Sequence[str] = RUN_CONFIG.fieldNames()) -> Column:
-    """A full run struct: fields of `given` named in `present`, defaults for the missing ones."""
-    return F.struct(
-        *[
-            (
-                F.coalesce(given[name].cast(dtype), _literal(default, dtype)) if name in present else _literal(default, dtype)
-            ).alias(name)
-            for name, dtype, default in _FIELDS
-        ]
-    )
+def complete_config(given: Column) -> Column:
+    """A full, typed run struct from one of `GIVEN_CONFIG`; a value of the wrong kind stops the job."""
+
+    def value(name: str, dtype: T.DataType, default: Column) -> Column:
+        if isinstance(dtype, (T.ArrayType, T.MapType)):
+            return F.coalesce(given[name], default)
+        complaint = F.raise_error(F.concat(F.lit(f"Bad value for {name}: "), given[name])).cast(dtype)
+        return F.coalesce(given[name].try_cast(dtype), F.when(given[name].isNull(), default).otherwise(complaint))
+
+    return F.struct(*[value(name, dtype, _default(default, dtype)).alias(name) for name, dtype, default in _FIELDS])
 
 
 def parse_configs(df: DataFrame, text: str = "config", name: str = "run") -> DataFrame:
@@ -74,7 +82,7 @@ def parse_configs(df: DataFrame, text: str = "config", name: str = "run") -> Dat
     The parsed struct is a column of its own, so each document is parsed once, not once per field.
     """
     others = [c for c in df.columns if c not in (text, name)]
-    parsed = df.select(*others, F.from_json(text, RUN_CONFIG).alias("_given"))
+    parsed = df.select(*others, F.from_json(text, GIVEN_CONFIG, STRICT).alias("_given"))
     return parsed.select(*others, complete_config(F.col("_given")).alias(name))
 
 

@@ -33,6 +33,8 @@ TAIL_LINES = 200
 STALL_SECONDS = 120
 # --- end of fixed values ----------------------------------------------------------------
 
+AFTER_ALL = (1 << 63) - 1  # sequence number of a line that closes its log
+
 
 # --- chunks -> lines -----------------------------------------------------------------------
 
@@ -260,16 +262,13 @@ def job_status(events: DataFrame, as_of: Column, key: str = "job_id") -> DataFra
 
 
 def with_failures(lines: DataFrame, events: DataFrame, key: str = "job_id") -> DataFrame:
-    """Append each failed job's error text as one more log line, after its others."""
-    last = lines.groupBy(key).agg(F.max("seq").alias("_last"))
+    """Append each failed job's error text as one more log line, after all its others."""
     failed = (
         events.where((F.col("kind") == "failed") & F.col("error").isNotNull())
         .groupBy(key)
         .agg(F.max_by("error", "ts").alias("line"), F.max("ts").alias("ts"))
     )
-    added = failed.join(last, key, "left").select(
-        key, (F.coalesce("_last", F.lit(-1)) + 1).cast("bigint").alias("seq"), "ts", "line"
-    )
+    added = failed.select(key, F.lit(AFTER_ALL).alias("seq"), "ts", "line")
     return lines.select(key, F.col("seq").cast("bigint").alias("seq"), "ts", "line").unionByName(added)
 
 

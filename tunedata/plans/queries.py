@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunedata.functions import chat
 from tunedata.functions.shapes import shape_of
@@ -205,8 +206,8 @@ def kto_field_quality(spark, sf):
 
 def _catalog_verdicts(spark, sf):
     is_text = F.col("sample").startswith("t:")
-    value = F.substring("sample", 3, 1000)
-    coded = F.when(is_text, shape_of(value, A.table(spark, sf, "documents").schema["text"].dataType)).otherwise(F.col("sample"))
+    value = F.substr("sample", F.lit(3))
+    coded = F.when(is_text, shape_of(value, T.StringType())).otherwise(F.col("sample"))
     return detect_columns(A.headers(spark, sf).withColumn("shape", coded), ["dataset"])
 
 

@@ -196,7 +196,7 @@ def log_chunks(spark: SparkSession, sf_dir: str, events: DataFrame | None = None
     chunk = (
         F.when(F.col("seq") % 5 == 0, line)
         .when(F.col("seq") % 5 == 1, F.concat(F.left(line, F.lit(3)), F.lit("\r"), line, F.lit("\n  \n"), F.left(line, F.lit(4))))
-        .otherwise(F.concat(F.left(line, F.lit(5)), F.lit("\n"), F.substring(line, 6, 1000)))
+        .otherwise(F.concat(F.left(line, F.lit(5)), F.lit("\n"), F.substr(line, F.lit(6))))
     )
     channel = F.when(div(F.col("seq"), 2) % 2 == 0, "stdout").otherwise("stderr")
     return log_lines(spark, sf_dir, events).select("job_id", channel.alias("channel"), "seq", chunk.alias("chunk"))
