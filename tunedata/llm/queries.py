@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from tunedata.llm.quality import op4_quality_rules
 from tunedata.llm.token_counts import op5_token_counts
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
 }
 ORACLES: dict[str, str] = {}
