@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tunedata.llm.pii import op3_pii
 from tunedata.llm.quality import op4_quality_rules
 from tunedata.llm.token_counts import op5_token_counts
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
 }
