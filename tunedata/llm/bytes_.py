@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+# just under a power of two, the size to which tables of powers are rounded up
+SLICE_BYTES = (2 << 20) - (64 << 10)
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _BASE = 0x9E3779B97F4A7C15
 
@@ -62,7 +63,7 @@ def slices(rows: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[list[i
         yield owners, pieces
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     base = np.full(size, _BASE, np.uint64)
     base[0] = 1
@@ -108,7 +109,7 @@ class Words:
         return np.repeat(np.arange(self.count.size), self.count)
 
     def hashes(self) -> np.ndarray:
-        size = 1 << max(16, int(self.blob.size).bit_length())
+        size = 1 << max(21, int(self.blob.size).bit_length())
         up, down = _powers(size)
         sums = np.empty(self.blob.size + 1, np.uint64)
         sums[0] = 0

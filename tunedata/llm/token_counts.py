@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,6 +16,7 @@ from tunedata.llm.tables import table, text_of
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+ENCODE_ROWS = 2048
 
 
 @lru_cache(maxsize=2)
@@ -25,12 +27,20 @@ def _encoder(path: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda found: [len(ids) for ids in model.encode(found, num_threads=1)]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda found: [len(e.ids) for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+
+    def lengths(found: list[str]) -> list[int]:
+        out: list[int] = []
+        for i in range(0, len(found), ENCODE_ROWS):  # encodings are large; few live at a time
+            out += [len(e.ids) for e in tokenizer.encode_batch_fast(found[i : i + ENCODE_ROWS], add_special_tokens=False)]
+        return out
+
+    return lengths
 
 
 def _resolved(name: str) -> str:
