@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from tunedata.llm.mixing import op7_mixing
 from tunedata.llm.pii import op3_pii
 from tunedata.llm.quality import op4_quality_rules
 from tunedata.llm.token_counts import op5_token_counts
+from tunedata.llm.url_filter import op6_url_filter
 
 QUERIES = {
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op6_url_filter": op6_url_filter,
+    "op7_mixing": op7_mixing,
 }
 ORACLES: dict[str, str] = {}
