@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tunedata.llm.language_id import op2_language_id
 from tunedata.llm.mixing import op7_mixing
 from tunedata.llm.pii import op3_pii
 from tunedata.llm.quality import op4_quality_rules
@@ -9,6 +10,7 @@ from tunedata.llm.token_counts import op5_token_counts
 from tunedata.llm.url_filter import op6_url_filter
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
