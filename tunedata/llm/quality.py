@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm.tables import table, text_of, words_of
+from tunedata.llm.tables import saved, table, text_of, words_of
 
 BUCKETS = 1 << 14
 # mean nats per n-gram by which a text may be likelier under the raw corpus than under the target
@@ -101,12 +101,14 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> Da
     document labelled twice is trusted if any label says so. Without trusted documents every ratio is 0.
     """
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    flagged = docs.select("doc_id", F.col("text")).join(trusted.withColumn("_good", F.lit(1)), "doc_id", "left")
-    counted = (
+    # both sides are shuffled by id at every size: the labels grow with the documents
+    flagged = docs.select("doc_id", "text").join(trusted.withColumn("_good", F.lit(1)).hint("merge"), "doc_id", "left")
+    counted = saved(
         flagged.withColumn("_h", _word_hashes(flagged))
         .select("_good", F.explode(_features(F.col("_h"), buckets)).alias("bucket"))
         .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("raw"), F.count("_good").alias("good"))
+        .agg(F.count(F.lit(1)).alias("raw"), F.count("_good").alias("good")),
+        "quality-counts",
     )
     every = docs.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("bucket"))
     totals = counted.agg(F.sum("raw").alias("_raw"), F.sum("good").alias("_good"))
