@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tunedata.llm.decontaminate import op8_decontaminate
 from tunedata.llm.language_id import op2_language_id
 from tunedata.llm.mixing import op7_mixing
 from tunedata.llm.pii import op3_pii
@@ -16,5 +17,6 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
+    "op8_decontaminate": op8_decontaminate,
 }
 ORACLES: dict[str, str] = {}
