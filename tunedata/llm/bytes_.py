@@ -48,11 +48,21 @@ def cut(text: bytes, limit: int) -> Iterator[bytes]:
     yield text[at:]
 
 
-def slices(rows: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
+def line_cut(text: bytes, limit: int) -> Iterator[bytes]:
+    """Pieces of whole lines of at most `limit` bytes; only a longer line makes a longer piece."""
+    at = 0
+    while len(text) - at > limit:
+        end = text.rfind(b"\n", at, at + limit) + 1 or text.find(b"\n", at + limit) + 1 or len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def slices(rows: list[bytes], limit: int = SLICE_BYTES, cutter=cut) -> Iterator[tuple[list[int], list[bytes]]]:
     """Groups of (row numbers, pieces) of about `limit` bytes each; a long text spans several groups."""
     owners, pieces, size = [], [], 0
     for i, text in enumerate(rows):
-        for piece in cut(text, limit) if len(text) > limit else (text,):
+        for piece in cutter(text, limit) if len(text) > limit else (text,):
             if pieces and size + len(piece) > limit:
                 yield owners, pieces
                 owners, pieces, size = [], [], 0
@@ -100,6 +110,7 @@ class Words:
         lengths = np.fromiter((len(p) + 1 for p in pieces), np.int64, len(pieces))
         self.first = np.searchsorted(self.start, np.concatenate([[0], np.cumsum(lengths)]))
         self.count = np.diff(self.first)
+        self._sums = None
 
     def __len__(self) -> int:
         return self.start.size
@@ -109,12 +120,15 @@ class Words:
         return np.repeat(np.arange(self.count.size), self.count)
 
     def hashes(self) -> np.ndarray:
-        size = 1 << max(21, int(self.blob.size).bit_length())
-        up, down = _powers(size)
-        sums = np.empty(self.blob.size + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_byte_codes()[self.blob] * up[: self.blob.size], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        return self.hashes_of(self.start, self.end)
+
+    def hashes_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hash of every span of bytes, equal for equal bytes wherever they stand."""
+        up, down = _powers(1 << max(21, int(self.blob.size).bit_length()))
+        if self._sums is None:
+            self._sums = np.zeros(self.blob.size + 1, np.uint64)
+            np.cumsum(_byte_codes()[self.blob] * up[: self.blob.size], out=self._sums[1:])
+        return mix((self._sums[end] - self._sums[start]) * down[start])
 
     def distinct(self, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(code of each word, one word number per code)."""
