@@ -6,6 +6,7 @@ from tunedata.llm.decontaminate import op8_decontaminate
 from tunedata.llm.language_id import op2_language_id
 from tunedata.llm.line_dedup import op10_line_dedup
 from tunedata.llm.mixing import op7_mixing
+from tunedata.llm.near_dups import op9_near_dups
 from tunedata.llm.pii import op3_pii
 from tunedata.llm.quality import op4_quality_rules
 from tunedata.llm.token_counts import op5_token_counts
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
     "op8_decontaminate": op8_decontaminate,
+    "op9_near_dups": op9_near_dups,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {}
