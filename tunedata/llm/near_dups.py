@@ -148,7 +148,7 @@ def shingle_weights(signed: DataFrame) -> np.ndarray:
 
 def _uniforms(values: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Five numbers in (0, 1) for every shingle, from the k-th hash."""
-    one = B.mix(values + np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * k + 1))
+    one = B.mix(values + np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)))
     two = one * np.uint64(0xD6E8FEB86659FD93)
     two ^= two >> np.uint64(29)
     low = np.uint64((1 << 21) - 1)
