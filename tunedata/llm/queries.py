@@ -5,6 +5,7 @@ from __future__ import annotations
 from tunedata.llm.decontaminate import op8_decontaminate
 from tunedata.llm.language_id import op2_language_id
 from tunedata.llm.line_dedup import op10_line_dedup
+from tunedata.llm.lm_scoring import op1_lm_scoring
 from tunedata.llm.mixing import op7_mixing
 from tunedata.llm.near_dups import op9_near_dups
 from tunedata.llm.pii import op3_pii
@@ -13,6 +14,7 @@ from tunedata.llm.token_counts import op5_token_counts
 from tunedata.llm.url_filter import op6_url_filter
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
