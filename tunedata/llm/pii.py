@@ -104,13 +104,20 @@ def _occurrences(step: DataFrame, text: Column, name: str, pattern: str, when: C
         "_len", F.zip_with(F.slice(F.col("_p"), F.lit(1), F.size("_v")), "_v", lambda p, v: F.char_length(p) + F.char_length(v))
     ).withColumn("_at", F.when(F.size("_v") > 0, running_sums(F.col("_len"))).otherwise(F.array().cast("array<int>")))
     word = r"[^\x20\x09-\x0D]+"
-    row = lambda v, i: F.struct(
-        (F.get("_at", i) + F.char_length(F.get("_p", i))).cast("int").alias("start"),
-        v.alias("value"),
-        F.lower(F.regexp_extract(F.right(F.get("_p", i), F.lit(CONTEXT_CHARS)), rf"({word})[\x20\x09-\x0D]*$", 1)).alias("left"),
-        F.lower(F.regexp_extract(F.left(F.get("_p", i + 1), F.lit(CONTEXT_CHARS)), rf"^[\x20\x09-\x0D]*({word})", 1)).alias("right"),
+    # zipped, not looked up by place: an expression inside a lambda may be computed once per element
+    beside = F.arrays_zip(
+        F.col("_v").alias("value"),
+        F.col("_at").alias("at"),
+        F.slice(F.col("_p"), F.lit(1), F.size("_v")).alias("before"),
+        F.slice(F.col("_p"), F.lit(2), F.size("_v")).alias("after"),
     )
-    return step.withColumn(name, F.transform("_v", row)).drop("_v", "_p", "_len", "_at")
+    row = lambda x: F.struct(
+        (x["at"] + F.char_length(x["before"])).cast("int").alias("start"),
+        x["value"].alias("value"),
+        F.lower(F.regexp_extract(F.right(x["before"], F.lit(CONTEXT_CHARS)), rf"({word})[\x20\x09-\x0D]*$", 1)).alias("left"),
+        F.lower(F.regexp_extract(F.left(x["after"], F.lit(CONTEXT_CHARS)), rf"^[\x20\x09-\x0D]*({word})", 1)).alias("right"),
+    )
+    return step.withColumn(name, F.transform(beside, row)).drop("_v", "_p", "_len", "_at")
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
