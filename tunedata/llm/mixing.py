@@ -12,7 +12,7 @@ from tunedata.llm.tables import dropped, saved, table, text_of
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
 NEWTON_STEPS, CLOSE = 16, 1e-4
-BINS, LEVELS, PASSES = 4096, 2, 3
+BINS, LEVELS, PASSES = 4096, 2, 4
 TWO = math.log(MOST)
 
 
@@ -134,8 +134,8 @@ def rounded(rows: DataFrame, rates: DataFrame) -> DataFrame:
     A document gets floor(rate + v + shift) copies, v being its own uniform number. As the shift of a
     source grows its documents gain copies one after another, so some shift meets the target to within
     one document. It is found by counting words per bin of the shift at which copies change, then
-    within the one bin where the target lies. Further passes shift only documents well below the rest
-    that is still open, and bring it down to a few words. A pass is an aggregation to `BINS` rows a source.
+    within the one bin where the target lies. Further passes shift only documents no larger than the
+    rest that is still open, and bring it down to a few words where such documents exist. A pass is an aggregation to `BINS` rows a source.
     """
     params = rates
     for k in range(PASSES):
@@ -148,7 +148,7 @@ def rounded(rows: DataFrame, rates: DataFrame) -> DataFrame:
         joined = lambda p: rows.join(p, rows.source.eqNullSafe(p.source)).drop(rows.source)
         if k:
             gaps = joined(params).groupBy(*names).agg((F.col("target") - taken_now).alias("_gap"))
-            params = gaps.withColumn(f"cut{k}", F.abs("_gap") / 4).drop("_gap")
+            params = gaps.withColumn(f"cut{k}", F.abs("_gap")).drop("_gap")
             params = saved(params.select(*names), "mix-rounding")
             bounds = params.withColumns({"_lo": F.lit(-4.0), "_width": F.lit(8.0 / BINS)})
         fixed = joined(params).where(F.col("_size") > F.col(f"cut{k}")).groupBy(F.col("source").alias("_s")).agg(
