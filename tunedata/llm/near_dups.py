@@ -321,10 +321,10 @@ def classes(
     open_ = known.groupBy("band", "key").agg((F.min("comp") < F.max("comp")).alias("_open")).where("_open").drop("_open")
     known = known.join(open_, ["band", "key"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP)))
     line = Window.partitionBy("band", "key", "salt").orderBy("id").rowsBetween(1, NEIGHBOURS)
-    near = known.withColumn("_next", F.collect_list(F.struct("id", "comp")).over(line)).select(
-        "id", "comp", F.explode("_next").alias("_x")
-    )
-    second = near.where("_x.comp <> comp").select(*_pair(F.col("id"), F.col("_x.id"))).distinct()
+    near = known.withColumn("_next", F.collect_list(F.struct("id", "comp")).over(line))
+    # only partners in another class become rows
+    near = near.select("id", F.explode(F.expr("filter(_next, x -> x.comp <> comp)")).alias("_x"))
+    second = near.select(*_pair(F.col("id"), F.col("_x.id"))).distinct()
     second = saved(second.join(first, ["a", "b"], "left_anti"), "dup-pairs")
     more = saved(verified(second, signed, weights, similarity), "dup-verified")
     comps = components(links.union(more))
