@@ -146,6 +146,14 @@ def test_vision_rows_decide_by_their_first_turn(spark):
     assert got == {"a": [("user", "x")], "b": [("assistant", "y")], "c": []}
 
 
+def test_vision_turns_may_be_maps(spark):
+    rows = [("a", [{"role": "user", "content": "x"}]), ("b", [{"from": "gpt", "value": "y"}]), ("c", [])]
+    df = spark.createDataFrame(rows, "i string, m array<map<string,string>>")
+    found = Detection("vision_chat", 0.9, {"images": "i", "messages": "m"})
+    got = {r.images: [(m.role, m.content) for m in r.messages] for r in normalize(df, found, "vlm_sft").collect()}
+    assert got == {"a": [("user", "x")], "b": [("assistant", "y")], "c": []}
+
+
 # --- the Llama-3 layout -----------------------------------------------------------------------------
 
 HEAD = "<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\n"

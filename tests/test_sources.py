@@ -190,7 +190,8 @@ def test_trainer_args(spark):
     assert args_of(spark, task="dpo", extra={"beta": "0.3", "x": "y"})["beta"] == "0.3"
     # a task default overrides the run's own value
     assert float(args_of(spark, task="ocr_sft", learning_rate=1e-3)["learning_rate"]) == 5e-5
-    assert args_of(spark, task="no_such_task") is None
+    with pytest.raises(Exception, match="Unknown task: no_such_task"):
+        args_of(spark, task="no_such_task")
 
 
 def test_only_accepted(spark):

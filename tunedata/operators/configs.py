@@ -138,9 +138,12 @@ def merge_maps(*maps: Column) -> Column:
 
 
 def with_task(runs: DataFrame, config: str = "run") -> DataFrame:
-    """Join each run to its task's registry row; a run of an unknown task is dropped."""
+    """Join each run to its task's registry row; a run of an unknown task, or of none, stops the job."""
     tasks = dims.tasks_df(runs.sparkSession)
-    return runs.join(F.broadcast(tasks), F.col(f"{config}.task") == F.col("task"))
+    wanted = F.col(f"{config}.task")
+    found = runs.join(F.broadcast(tasks), wanted == F.col("task"), "left")
+    refusal = F.raise_error(F.concat(F.lit("Unknown task: "), F.coalesce(wanted, F.lit("null"))))
+    return found.withColumn("defaults", F.coalesce("defaults", refusal))
 
 
 def trainer_args(run: Column, task_defaults: Column) -> Column:
@@ -169,7 +172,7 @@ def trainer_args(run: Column, task_defaults: Column) -> Column:
 
 
 def build_trainer_args(runs: DataFrame, config: str = "run") -> DataFrame:
-    """Add `args`, the trainer arguments of every run whose task is known."""
+    """Add `args`, the trainer arguments of every run."""
     joined = with_task(runs, config)
     return joined.select(*runs.columns, trainer_args(F.col(config), F.col("defaults")).alias("args"))
 

@@ -415,8 +415,8 @@ def log_headlines(lines: DataFrame, key: str = "job_id", seq: str = "seq") -> Da
 def checkpoint_losses(lines: DataFrame, key: str = "job_id", seq: str = "seq", once: bool = False) -> DataFrame:
     """Saved iterations with the last validation and training loss of the same iteration.
 
-    -> key, iter, checkpoint, val_loss, train_loss. An iteration saved n times is listed n times;
-    `once` lists it once and adds `times_saved`.
+    -> key, iter, checkpoint, val_loss, train_loss, in order of key and iteration. An iteration saved
+    n times is listed n times; `once` lists it once and adds `times_saved`.
     """
     hits = pattern_hits(lines, [key, seq], kinds=(*LOSSES, "iter_saved"))
     at = F.struct(seq, "pos")
@@ -434,13 +434,13 @@ def checkpoint_losses(lines: DataFrame, key: str = "job_id", seq: str = "seq", o
         "times_saved",
     )
     if once:
-        return saved
+        return saved.orderBy(key, "iter")
     # repeated in two steps so that neither array grows with a count in the millions
     step = 1 << 16
     outer = saved.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("times_saved") - 1, F.lit(step))))
     left = F.least(F.lit(step), F.col("times_saved") - F.col("_from"))
     inner = outer.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), left)))
-    return inner.drop("_from", "_copy", "times_saved")
+    return inner.drop("_from", "_copy", "times_saved").orderBy(key, "iter")
 
 
 # --- stalls --------------------------------------------------------------------------------

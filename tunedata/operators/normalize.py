@@ -92,6 +92,14 @@ def _vision_messages(df: DataFrame, name: str) -> Column:
     """role/content turns as they are; rows whose first turn has a `from` are remapped."""
     dtype, turns = _type_of(df, name), column(name)
     element = dtype.elementType if isinstance(dtype, T.ArrayType) else None
+    if isinstance(element, T.MapType):
+        # an absent key of a map is null; try_element_at keeps that under ANSI rules too
+        at = lambda t, k: F.try_element_at(t, F.lit(k))
+        pair = lambda one, two: F.transform(
+            turns, lambda t: F.struct(at(t, one).alias(one), at(t, two).alias(two))
+        )
+        named = at(F.get(turns, F.lit(0)), "from").isNotNull()
+        return F.when(named, chat.sharegpt_messages(pair("from", "value"))).otherwise(pair("role", "content"))
     if not isinstance(element, T.StructType) or "from" not in element.names:
         return turns
     if not {"role", "content"} <= set(element.names):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunedata import dims
 from tunedata.functions import chat
 from tunedata.functions.shapes import shape_of
 from tunedata.functions.text import div, is_blank
@@ -548,15 +549,20 @@ def _arg_rows(df: DataFrame, args: str) -> DataFrame:
     )
 
 
+def _runs_of_known_tasks(spark, sf):
+    """The operator refuses a run of an unknown task, which the made runs include."""
+    return _runs(spark, sf).where(F.col("run.task").isin([t.id for t in dims.TASKS]))
+
+
 @query
 def trainer_arguments(spark, sf):
-    return _arg_rows(R.build_trainer_args(_runs(spark, sf)), "args")
+    return _arg_rows(R.build_trainer_args(_runs_of_known_tasks(spark, sf)), "args")
 
 
 @query
 def accepted_arguments(spark, sf):
     accepted = F.when(F.col("run_id") % 2 == 0, F.array(*map(F.lit, ("learning_rate", "seed", "beta"))))
-    built = R.build_trainer_args(_runs(spark, sf))
+    built = R.build_trainer_args(_runs_of_known_tasks(spark, sf))
     return _arg_rows(built.select("run_id", R.only_accepted(F.col("args"), accepted).alias("args")), "args")
 
 
