@@ -18,6 +18,8 @@ IDF_BUCKETS = 1 << 16
 # how far frequency can lower a shingle's weight: a shingle in every text weighs 1 less this
 IDF_RANGE = 0.1
 NEIGHBOURS, GROUP = 16, 512
+# texts with a common rare shingle are compared in blocks of so many on either side
+BLOCK = 4096
 FILTER_WORDS = 1 << 17
 CHUNK = 1 << 16
 SHINGLED = "uid long, doc_id long, n int, h1 long, h2 long, shingles binary"
@@ -286,6 +288,81 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _open(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their class so far, and the buckets that still hold several."""
+    known = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    several = known.groupBy("band", "key").agg((F.min("comp") < F.max("comp")).alias("_open")).where("_open")
+    return known, several.drop("_open")
+
+
+def _rare_shingles(texts: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
+    """(id, comp, shingle, rest, whole): the rarest shingles of every text, as many as decide a link.
+
+    `rest` is the weight of the shingle and of all more frequent ones (ties by hash), `whole` that of the
+    text. Two texts share no more than the smaller `rest` of the first shingle they have in common,
+    counted from the rarest; a similar pair therefore has one whose `rest` is `similarity` of the
+    whole. A shingle of one text only makes no pair.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, edges = _unpacked(batch.column(2))
+            owner = np.repeat(np.arange(edges.size - 1), np.diff(edges))
+            values, owner, weight = _weighted(values, owner, shared.value)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(owner)),
+                    batch.column(1).take(pa.array(owner)),
+                    pa.array(values.astype(np.int64)),
+                    pa.array(weight.astype(np.float64)),
+                ],
+                ["id", "comp", "shingle", "weight"],
+            )
+
+    each = texts.select("id", "comp", "shingles").mapInArrow(read, "id long, comp long, shingle long, weight double")
+    each = saved(each, "dup-rare")
+    times = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
+    text = Window.partitionBy("id")
+    rest = F.sum("weight").over(text.orderBy(F.desc("times"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = each.join(times, "shingle").select(
+        "id", "comp", "shingle", "times", rest.alias("rest"), F.sum("weight").over(text).alias("whole")
+    )
+    out = saved(ranked.where((F.col("times") > 1) & (F.col("rest") >= (similarity - 1e-6) * F.col("whole"))).drop("times"), "dup-rare")
+    dropped(each)
+    return out
+
+
+def exact_pairs(texts: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of `texts` (id, comp, shingles) in different classes that may be similar; no
+    similar pair is missing.
+
+    Texts meet by their rare shingles. At a shingle, those outside its most frequent class are set
+    against all, in blocks of about `BLOCK` on either side, and a pair becomes a row only if both have
+    enough weight left from that shingle on.
+    """
+    rare = _rare_shingles(texts, weights, similarity)
+    per_class = rare.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("_n"))
+    met = per_class.groupBy("shingle").agg(
+        F.max(F.struct("_n", "comp"))["comp"].alias("_main"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"), F.count(F.lit(1)).alias("_k")
+    )
+    met = met.where("_k > 1").select(
+        "shingle", "_main", F.ceil(F.col("_all") / BLOCK).alias("_right"), F.ceil((F.col("_all") - F.col("_most")) / BLOCK).alias("_left")
+    )
+    rows = saved(rare.join(met, "shingle"), "dup-met")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).alias(n[1])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(n[1])
+    left = rows.where("comp <> _main").select("shingle", "id", "comp", "rest", "whole", mine("_left"), "_right")
+    left = left.select("shingle", "id", "comp", "rest", "whole", "l", every("_right"))
+    right = rows.select("shingle", mine("_right"), "_left", *[F.col(c).alias(f"_{c}") for c in ("id", "comp", "rest", "whole")])
+    right = right.select("shingle", "r", "_id", "_comp", "_rest", "_whole", every("_left"))
+    enough = F.least("rest", "_rest") >= (similarity / (1 + similarity) - 1e-6) * (F.col("whole") + F.col("_whole"))
+    found = left.join(right, ["shingle", "l", "r"]).where((F.col("comp") != F.col("_comp")) & enough)
+    out = saved(found.select(*_pair(F.col("id"), F.col("_id"))).distinct(), "dup-pairs")
+    dropped(rare, rows)
+    return out
+
+
 def classes(
     rows: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS
 ) -> DataFrame:
@@ -296,7 +373,9 @@ def classes(
     bucket's first; where that leaves a bucket with more than one connected class, every member is
     compared with its `NEIGHBOURS` next ones on either side that are in another class, so that buckets
     of up to `NEIGHBOURS` + 1 are compared completely. Larger ones are split by hash into groups of
-    about `GROUP`, so no task holds an unbounded bucket. Comparisons are of whole shingle sets.
+    about `GROUP`, so no task holds an unbounded bucket; the texts of those that still hold several
+    classes then meet by rare shingles, which finds every link between them (`exact_pairs`).
+    Comparisons are of whole shingle sets.
     """
     signed = saved(shingled(rows), "dup-shingles")
     weights = shingle_weights(signed)
@@ -317,8 +396,7 @@ def classes(
     first = saved(members.where("id <> center").select(*_pair(F.col("id"), F.col("center"))).distinct(), "dup-pairs")
     links = saved(verified(first, signed, weights, similarity), "dup-verified")
     comps = components(links)
-    known = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = known.groupBy("band", "key").agg((F.min("comp") < F.max("comp")).alias("_open")).where("_open").drop("_open")
+    known, open_ = _open(members, comps)
     known = known.join(open_, ["band", "key"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP)))
     line = Window.partitionBy("band", "key", "salt").orderBy("id").rowsBetween(1, NEIGHBOURS)
     near = known.withColumn("_next", F.collect_list(F.struct("id", "comp")).over(line))
@@ -327,7 +405,16 @@ def classes(
     second = near.select(*_pair(F.col("id"), F.col("_x.id"))).distinct()
     second = saved(second.join(first, ["a", "b"], "left_anti"), "dup-pairs")
     more = saved(verified(second, signed, weights, similarity), "dup-verified")
-    comps = components(links.union(more))
+    links = links.union(more)
+    comps = components(links)
+    known, open_ = _open(members.where(F.col("n") > NEIGHBOURS + 1), comps)
+    left = saved(known.join(open_, ["band", "key"]).select("id", "comp").distinct(), "dup-open")
+    if left.limit(1).count():
+        texts = left.join(signed.select(F.col("uid").alias("id"), "shingles"), "id")
+        third = exact_pairs(texts, weights, similarity)
+        last = saved(verified(third, signed, weights, similarity), "dup-verified")
+        comps = components(links.union(last))
+        dropped(third, last)
     best = (
         exact.join(comps, "id", "left")
         .withColumn("comp", F.coalesce("comp", "id"))
@@ -339,7 +426,7 @@ def classes(
         keyed.select("uid", "doc_id", "h1", "h2", same[2]).join(named, ["h1", "h2", "alone"]).select("uid", "doc_id", "first"),
         "dup-classes",
     )
-    dropped(signed, keyed, exact, members, first, second, links, more)
+    dropped(signed, keyed, exact, members, first, second, links, left)
     return out
 
 
