@@ -424,6 +424,29 @@ def test_large_group_of_near_copies(spark):
     assert all(r.class_id == r.doc_id and r.kept for r in found if r.doc_id >= 100)
 
 
+@pytest.mark.parametrize("block", [near_dups.BLOCK, 7])
+def test_rare_shingles_find_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    words = [f"word{i}" for i in range(120)]
+    rows = []
+    for i in range(50):  # one to four words of each text differ, so similarities lie on both sides of 0.8
+        text = list(words)
+        for k in range(1 + i % 4):
+            text[(i * 29 + k * 41) % 120] = f"new{i % 9}x{k}"
+        rows.append((i, i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "uid long, doc_id long, text string")
+    signed = near_dups.shingled(docs)
+    weights = near_dups.shingle_weights(signed)
+    texts = signed.selectExpr("uid as id", "uid % 3 as comp", "shingles")
+    kept = {r.id: (r.comp, bytes(r.shingles)) for r in texts.collect()}
+    pairs = [(a, b) for a in kept for b in kept if a < b and kept[a][0] != kept[b][0]]
+    want = {(a, b) for a, b in pairs if near_dups.weighted_jaccard(kept[a][1], kept[b][1], weights) >= 0.8}
+    found = near_dups.exact_pairs(texts, weights, 0.8)
+    got = {tuple(r) for r in found.collect()}
+    assert want and want <= got and len(got) < len(pairs)
+    assert {tuple(r) for r in near_dups.verified(found, signed, weights, 0.8).collect()} == want
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     found = near_dups.near_duplicates(odd).collect()
     assert len(found) == len(ODD) and sum(r.kept for r in found) == 9
