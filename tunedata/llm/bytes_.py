@@ -97,6 +97,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hash of every `width` bytes that follow each other, by the place of the first."""
+    up, down = _powers(1 << max(21, int(data.size).bit_length()))
+    sums = np.zeros(data.size + 1, np.uint64)
+    np.cumsum(_byte_codes()[data] * up[: data.size], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * down[: data.size + 1 - width])
+
+
 class Words:
     """The words of some pieces: where each starts and ends, whose it is, and its 64-bit hash."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tunedata.llm.bpe import op13_bpe_coding
 from tunedata.llm.decontaminate import op8_decontaminate
 from tunedata.llm.language_id import op2_language_id
 from tunedata.llm.line_dedup import op10_line_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_near_dups": op9_near_dups,
     "op10_line_dedup": op10_line_dedup,
+    "op13_bpe_coding": op13_bpe_coding,
 }
 ORACLES: dict[str, str] = {}

@@ -43,6 +43,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_BREAK), "")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of `df` has it, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column, folds: int) -> Column:
     """Whether a document is kept from training: crc32 of its id as text falls in fold 0.
 
