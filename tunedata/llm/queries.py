@@ -11,6 +11,8 @@ from tunedata.llm.mixing import op7_mixing
 from tunedata.llm.near_dups import op9_near_dups
 from tunedata.llm.pii import op3_pii
 from tunedata.llm.quality import op4_quality_rules
+from tunedata.llm.search import ORACLE as SEARCH_ORACLE
+from tunedata.llm.search import op11_lexical_search
 from tunedata.llm.token_counts import op5_token_counts
 from tunedata.llm.url_filter import op6_url_filter
 
@@ -25,6 +27,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_near_dups": op9_near_dups,
     "op10_line_dedup": op10_line_dedup,
+    "op11_lexical_search": op11_lexical_search,
     "op13_bpe_coding": op13_bpe_coding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_lexical_search": SEARCH_ORACLE}
