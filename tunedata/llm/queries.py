@@ -9,6 +9,8 @@ from tunedata.llm.line_dedup import op10_line_dedup
 from tunedata.llm.lm_scoring import op1_lm_scoring
 from tunedata.llm.mixing import op7_mixing
 from tunedata.llm.near_dups import op9_near_dups
+from tunedata.llm.phrases import ORACLE as PHRASES_ORACLE
+from tunedata.llm.phrases import op12_collocations
 from tunedata.llm.pii import op3_pii
 from tunedata.llm.quality import op4_quality_rules
 from tunedata.llm.search import ORACLE as SEARCH_ORACLE
@@ -28,6 +30,7 @@ QUERIES = {
     "op9_near_dups": op9_near_dups,
     "op10_line_dedup": op10_line_dedup,
     "op11_lexical_search": op11_lexical_search,
+    "op12_collocations": op12_collocations,
     "op13_bpe_coding": op13_bpe_coding,
 }
-ORACLES: dict[str, str] = {"op11_lexical_search": SEARCH_ORACLE}
+ORACLES: dict[str, str] = {"op11_lexical_search": SEARCH_ORACLE, "op12_collocations": PHRASES_ORACLE}
