@@ -12,6 +12,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,16 @@ from tunedata.llm.tables import fresh, table, text_of
 TOKENIZER = "word_bpe_49k.json"
 ROLLING_BYTES = 24  # the window of the rolling hash
 CHUNK_BITS = 10  # a cut every 1,024 bytes on average
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = B.SLICE_BYTES
 ENCODE_ROWS = 4096
+MARKED_WORDS = 256
 # What a task remembers; beyond these it forgets all and starts anew.
 CACHE_BYTES = 16 << 20
-CACHE_SEGMENTS = 1 << 18
+CACHE_WORDS = 1 << 19
 # The table of chunks that all tasks share has at most 4,096 chunks of at most 4 KB each.
 SHARED_CHUNKS = 4096
 SHARED_BYTES = 4096
-# White space and the word behind it: what a tokenizer that drops white space never joins across.
-SEGMENT = re.compile(rb"[\x20\t-\r]*[^\x20\t-\r]+|[\x20\t-\r]+")
+WORD = re.compile(rb"[^\x20\t-\r]+")
 NONE = np.zeros(0, np.uint32)
 
 
@@ -53,6 +54,7 @@ def _tokenizer(path: str):
 
 
 def _encode(tokenizer, texts: list[bytes]) -> list[np.ndarray]:
+    """The ids of every text, encoded as it stands."""
     out: list[np.ndarray] = []
     for i in range(0, len(texts), ENCODE_ROWS):  # encodings are large; few live at a time
         found = [t.decode("utf-8", "replace") for t in texts[i : i + ENCODE_ROWS]]
@@ -90,13 +92,22 @@ def rolling_cuts(data: np.ndarray, bits: int = CHUNK_BITS, width: int = ROLLING_
     cuts = cuts[cuts < data.size]
     for _ in range(3):
         cuts = cuts + ((cuts < data.size) & ((data[np.minimum(cuts, data.size - 1)] & 0xC0) == 0x80))
-    return np.unique(cuts[cuts < data.size])
+    return cuts[cuts < data.size]
+
+
+def _places(size: int, *sets: np.ndarray) -> np.ndarray:
+    """All places of some sets in order, once each."""
+    mark = np.zeros(size + 1, bool)
+    for places in sets:
+        mark[places] = True
+    return np.flatnonzero(mark)
 
 
 class Chunks:
     """The chunks of some pieces of text: their whole segments (`body`) and the segments between them.
 
-    A body goes from the first start of a segment in the chunk to the last. What lies between two bodies
+    A segment is white space and the word behind it. A body goes from the first start of a segment in the
+    chunk to the last. What lies between two bodies
     of a piece is nothing, where the cut fell on the start of a segment, or else one segment, a `joint`.
     """
 
@@ -107,8 +118,8 @@ class Chunks:
         space = B.IS_SPACE[data]
         starts = np.flatnonzero(space[1:] & ~space[:-1]) + 1
         self.edges = np.concatenate([[0], ends])
-        self.splits = np.union1d(starts, self.edges)
-        cuts = np.union1d(rolling_cuts(data, bits), self.edges)
+        self.splits = _places(data.size, starts, self.edges)
+        cuts = _places(data.size, rolling_cuts(data, bits), self.edges)
         first = self.splits[np.searchsorted(self.splits, cuts[:-1])]
         last = self.splits[np.searchsorted(self.splits, cuts[1:], "right") - 1]
         whole = first < last
@@ -129,11 +140,60 @@ class Chunks:
 # --- encoding ------------------------------------------------------------------------------
 
 
+class WordIds:
+    """The ids of words met so far, in one array that grows."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.index = tokenizer, {}
+        self.flat, self.start, self.size = NONE, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Words are encoded many at a time, between marks that are one token and touch no other.
+        mark = tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def learn(self, words: list[bytes]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.index]
+        if not new:
+            return
+        plain = [w for w in new if self.mark is not None and b"\x01" not in w]
+        odd = [w for w in new if self.mark is None or b"\x01" in w]
+        ids, size = _encode(self.tokenizer, odd), []
+        size += [x.size for x in ids]
+        for i in range(0, len(plain), MARKED_WORDS):
+            part = plain[i : i + MARKED_WORDS]
+            found = _encode(self.tokenizer, [b" \x01 ".join([b"", *part, b""])])[0]
+            at = np.flatnonzero(found == self.mark)
+            if at.size != len(part) + 1:  # a word holds the mark's token after all
+                each = _encode(self.tokenizer, part)
+                ids += each
+                size += [x.size for x in each]
+            else:
+                ids.append(found[found != self.mark])
+                size += (np.diff(at) - 1).tolist()
+        sizes = np.array(size, np.int64)
+        first = self.flat.size + np.cumsum(sizes) - sizes
+        self.index.update(zip(odd + plain, range(len(self.index), len(self.index) + len(new)), strict=True))
+        self.flat = np.concatenate([self.flat, *ids])
+        self.start, self.size = np.append(self.start, first), np.append(self.size, sizes)
+
+    def of(self, word: bytes) -> np.ndarray:
+        i = self.index[word]
+        return self.flat[self.start[i] : self.start[i] + self.size[i]]
+
+    def joined(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The ids of every list of known words."""
+        codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64)
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[codes] - (ends - size), size) + np.arange(ends[-1] if ends.size else 0)]
+        edges = np.append(0, ends)[np.cumsum([0, *map(len, texts)])].tolist()
+        return [ids[a:b].copy() for a, b in zip(edges, edges[1:], strict=False)]
+
+
 class Encoder:
-    """Encodes groups of texts, remembering chunks and segments from one group to the next.
+    """Encodes groups of texts, remembering chunks and words from one group to the next.
 
     `apart` says that the tokenizer drops white space and so never joins across it: then the distinct
-    segments of new chunks are encoded, once each. Otherwise chunks are encoded whole.
+    words of new chunks are encoded, once each. Otherwise chunks are encoded whole.
     """
 
     def __init__(self, path: str, shared: dict[bytes, bytes], apart: bool = True):
@@ -144,18 +204,14 @@ class Encoder:
     def _forget(self) -> None:
         self.bodies: dict[bytes, np.ndarray] = {}
         self.size = 0
-        self.segments: dict[bytes, np.ndarray] = {}
-
-    def _segment_ids(self, wanted: list[bytes]) -> None:
-        new = [s for s in dict.fromkeys(wanted) if s not in self.segments]
-        self.segments.update(zip(new, _encode(self.tokenizer, new), strict=True))
+        self.words = WordIds(self.tokenizer)
 
     def _body_ids(self, bodies: list[bytes]) -> list[np.ndarray]:
         new = [b for b in dict.fromkeys(bodies) if b not in self.bodies and b not in self.shared]
         if self.apart:
-            parts = [SEGMENT.findall(b) for b in new]
-            self._segment_ids([s for p in parts for s in p])
-            found = [np.concatenate([self.segments[s] for s in p]) if p else NONE for p in parts]
+            words = [WORD.findall(b) for b in new]
+            self.words.learn([w for part in words for w in part])
+            found = self.words.joined(words)
         else:
             found = _encode(self.tokenizer, new)
         self.bodies.update(zip(new, found, strict=True))
@@ -183,15 +239,21 @@ class Encoder:
         return out
 
     def _windows(self, texts: list[bytes]) -> None:
-        """Ids of short texts around joints: segments already known, all else encoded as it stands."""
-        self.windows = {t: self.segments[t] if t in self.segments else NONE for t in texts if t in self.segments or not t}
-        new = [t for t in dict.fromkeys(texts) if t not in self.windows]
+        """Ids of short texts around joints: words already known, all else encoded as it stands."""
+        self.windows: dict[bytes, np.ndarray] = {}
+        new = []
+        for t in dict.fromkeys(texts):
+            word = t.strip(B.SPACE)
+            if not t or self.apart and word in self.words.index:
+                self.windows[t] = self.words.of(word) if t else NONE
+            else:
+                new.append(t)
         self.windows.update(zip(new, _encode(self.tokenizer, new), strict=True))
 
     def pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of every piece."""
         chunks = Chunks(pieces)
-        if self.size > CACHE_BYTES or len(self.segments) > CACHE_SEGMENTS:
+        if self.size > CACHE_BYTES or len(self.words.index) > CACHE_WORDS:
             self._forget()
         bodies = self._body_ids(chunks.bodies())
         at = chunks.edges[:-1].tolist()  # how far each piece is covered
