@@ -26,11 +26,11 @@ TOKENIZER = "word_bpe_49k.json"
 ROLLING_BYTES = 24  # the window of the rolling hash
 CHUNK_BITS = 10  # a cut every 1,024 bytes on average
 GROUP_BYTES = B.SLICE_BYTES
-ENCODE_ROWS = 4096
+ENCODE_ROWS = 1024
 MARKED_WORDS = 256
 # What a task remembers; beyond these it forgets all and starts anew.
-CACHE_BYTES = 16 << 20
-CACHE_WORDS = 1 << 19
+CACHE_BYTES = 8 << 20
+CACHE_WORDS = 1 << 18
 # The table of chunks that all tasks share has at most 4,096 chunks of at most 4 KB each.
 SHARED_CHUNKS = 4096
 SHARED_BYTES = 4096
@@ -343,25 +343,41 @@ def shared_chunks(docs: DataFrame, tokenizer: str = TOKENIZER, apart: bool = Tru
     return {bytes(r.body): bytes(r.ids) for r in rows}
 
 
-def encode(docs: DataFrame, tokenizer: str = TOKENIZER, apart: bool = True, ids: str = "token_ids") -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: str = TOKENIZER, apart: bool = True, ids: str = "token_ids", decoded: str | None = None
+) -> DataFrame:
     """`docs` with `ids`: the token ids of `text` as little-endian unsigned 32-bit numbers, one after another.
 
     The ids are those of the library for the whole text, without added special tokens; special strings
     inside a text count as the library takes them. `tokenizer` is a word-end BPE, which drops white space,
-    or with `apart=False` a byte-level BPE, which cuts before it; no added token may hold white space. Null and empty texts have no ids. Repeated rows and ties need
-    no rule: every row is encoded by its text alone. An empty table gives an empty table. A very long
-    text is encoded in parts of about `GROUP_BYTES` that start where white space starts. A column of the
-    name `ids` is replaced; all others pass unchanged and never reach Python.
+    or with `apart=False` a byte-level BPE, which cuts before it; no added token may hold white space.
+    `decoded` names a column for what the library decodes from the ids, made in the same pass. Null
+    and empty texts have no ids. Repeated rows and ties need no rule: every row is encoded by its text
+    alone. An empty table gives an empty table. A very long text is encoded in parts of about
+    `GROUP_BYTES` that start where white space starts. Columns of these names are replaced; all others
+    pass unchanged and never reach Python.
     """
     shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, tokenizer, apart))
+    kind = pa.struct([("ids", pa.binary()), ("text", pa.string())])
 
-    @F.arrow_udf("binary")
-    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("ids binary, text string")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(tokenizer, shared.value, apart)
         for column in batches:
-            yield pa.array([x.tobytes() for x in encoder.texts(B.texts(column))], pa.binary())
+            found = encoder.texts(B.texts(column))
+            again = pa.array([_decoded(encoder.tokenizer, x) if decoded else None for x in found], pa.string())
+            yield pa.StructArray.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), again], fields=list(kind))
+            del found, again
+            pa.default_memory_pool().release_unused()
 
-    return docs.withColumn(ids, encoded(text_of(docs)))
+    (both,) = fresh(docs, "coded")
+    step = docs.withColumn(both, coded(text_of(docs)))
+    made = {ids: step[f"{both}.ids"]} | ({decoded: step[f"{both}.text"]} if decoded else {})
+    return step.withColumns(made).drop(both)
+
+
+def _decoded(tokenizer, ids: np.ndarray) -> str:
+    return tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
 def decode(df: DataFrame, tokenizer: str = TOKENIZER, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -371,8 +387,7 @@ def decode(df: DataFrame, tokenizer: str = TOKENIZER, ids: str = "token_ids", te
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _tokenizer(tokenizer)
         for column in batches:
-            rows = B.texts(column)
-            yield pa.array([known.decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False) for x in rows], pa.string())
+            yield pa.array([_decoded(known, np.frombuffer(x, "<u4")) for x in B.texts(column)], pa.string())
 
     return df.withColumn(text, decoded(F.col(ids)))
 
@@ -380,7 +395,7 @@ def decode(df: DataFrame, tokenizer: str = TOKENIZER, ids: str = "token_ids", te
 def op13_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids, text = fresh(docs, "token_ids", "decoded")
-    coded = decode(encode(docs, ids=ids), ids=ids, text=text)
+    coded = encode(docs, ids=ids, decoded=text)
     return coded.select(
         "doc_id",
         F.expr(f"cast(octet_length({ids}) div 4 as long)").alias("n_tokens"),
