@@ -5,13 +5,14 @@ Rk+1 comes from Rk by a merge-join with itself: a phrase at a place meets the ph
 which is its own continuation, if both lie in one piece of text. The pairs are grouped and counted over
 the whole table, and a semi-join keeps the occurrences of frequent pairs before the next length.
 
-A relation is stored in blocks, sorted by place, one row a block: places and codes as packed arrays, and
+A relation is stored in blocks, sorted by place, one row a block: steps from place to place and codes as packed arrays, and
 what each code of the block stands for. The merge-join happens inside the rows; counts and semi-joins
 are Spark's, on one row for each block and distinct pair.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunedata.llm import bytes_ as B
 from tunedata.llm.tables import dropped, saved, table, text_of
@@ -37,6 +39,9 @@ SALTS = 64
 
 RELATION = "block long, places binary, codes binary, left array<long>, right array<long>, n array<long>"
 CODEC = "zstd"
+# Two primes whose product stays within 63 bits: they spread pairs of numbers over the bit table.
+SPREAD = (1_073_741_789, 2_147_483_647)
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -92,7 +97,7 @@ def word_blocks(docs: DataFrame, lang: str = "lang") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([_block_id(n)]),
-                        pa.array([_packed(places)], pa.binary()),
+                        pa.array([_packed(np.diff(places, prepend=0))], pa.binary()),
                         pa.array([_packed(codes)], pa.binary()),
                         pa.array([langs[lang_of[example]].tolist()], pa.list_(pa.string())),
                         pa.array([[w.decode("utf-8", "replace") for w in words.text(example)]], pa.list_(pa.string())),
@@ -129,7 +134,7 @@ def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
                 block, places, codes, kept = (batch.column(c)[i] for c in range(4))
                 held = kept.values
                 code, ids = held.field(0).to_numpy(), held.field(1).to_numpy()
-                codes, places = _unpacked(codes.as_py()), _unpacked(places.as_py())
+                codes, places = _unpacked(codes.as_py()), np.cumsum(_unpacked(places.as_py()))
                 new = np.full(max(int(codes.max(initial=0)), int(code.max(initial=0))) + 1, -1, np.int32)
                 new[code] = np.arange(code.size, dtype=np.int32)
                 codes = new[codes]
@@ -139,7 +144,7 @@ def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([block.as_py()]),
-                            pa.array([_packed(places)], pa.binary()),
+                            pa.array([_packed(np.diff(places, prepend=0))], pa.binary()),
                             pa.array([_packed(codes)], pa.binary()),
                             pa.array([left]),
                             pa.array([right]),
@@ -152,9 +157,9 @@ def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def _by_code(relation: DataFrame, first: str, second: str) -> DataFrame:
-    """(block, code, first, second, n): a row for each block and code."""
-    rows = relation.select("block", F.posexplode(F.arrays_zip(first, second, "n")).alias("code", "_x"))
-    return rows.select("block", "code", F.col(f"_x.{first}").alias("first"), F.col(f"_x.{second}").alias("second"), F.col("_x.n").alias("n"))
+    """(block, first, second, n): a row for each block and code."""
+    rows = relation.select("block", F.explode(F.arrays_zip(first, second, "n")).alias("_x"))
+    return rows.select("block", F.col(f"_x.{first}").alias("first"), F.col(f"_x.{second}").alias("second"), F.col("_x.n").alias("n"))
 
 
 def _frequent(rows: DataFrame, least: int) -> DataFrame:
@@ -163,6 +168,52 @@ def _frequent(rows: DataFrame, least: int) -> DataFrame:
     return saved(counted.withColumn("id", F.monotonically_increasing_id()), "phrase-groups")
 
 
+def _spots(groups: DataFrame) -> Column:
+    """A number for each group, as `_spots_of` makes it."""
+    if isinstance(groups.schema["first"].dataType, T.StringType):
+        return F.crc32(F.concat("first", "second").cast("binary"))
+    return F.pmod("first", F.lit(SPREAD[0])) * SPREAD[1] + F.pmod("second", F.lit(SPREAD[1]))
+
+
+def _spots_of(first: pa.Array, second: pa.Array) -> np.ndarray:
+    if pa.types.is_string(first.type):
+        both = zip(first.to_pylist(), second.to_pylist(), strict=True)
+        return np.fromiter((zlib.crc32((a + b).encode()) for a, b in both), np.int64, len(first))
+    return first.to_numpy() % SPREAD[0] * SPREAD[1] + second.to_numpy() % SPREAD[1]
+
+
+def kept_codes(relation: DataFrame, groups: DataFrame, first: str, second: str) -> DataFrame:
+    """(block, code, id) of the codes whose group is frequent.
+
+    A bit table of the frequent groups, of at most 16 MB, drops nearly all other rows before the join; a
+    fuller table would let more rows through, and the join is exact in any case.
+    """
+    spark = relation.sparkSession
+    size = LEAST_BITS
+    while size < min(MOST_BITS, 16 * groups.count()):
+        size *= 2
+    spot = F.pmod(_spots(groups), F.lit(size))
+    words = groups.select(spot.alias("spot")).selectExpr("spot div 64 AS word", "shiftleft(1L, cast(spot % 64 AS int)) AS bit")
+    table_ = np.zeros(size // 64, np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        table_[r.word] = r.bits
+    shared = spark.sparkContext.broadcast(table_)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, two = batch.column(1)[i].values, batch.column(2)[i].values
+                spot = _spots_of(one, two) % size
+                hit = np.flatnonzero((shared.value[spot // 64] >> (spot % 64)) & 1)
+                if hit.size:
+                    block = pa.array(np.full(hit.size, batch.column(0)[i].as_py()))
+                    yield pa.RecordBatch.from_arrays([block, pa.array(hit.astype(np.int32)), one.take(hit), two.take(hit)], ["block", "code", "first", "second"])
+
+    kind = groups.schema["first"].dataType.simpleString()
+    likely = relation.select("block", first, second).mapInArrow(read, f"block long, code int, first {kind}, second {kind}")
+    return likely.join(groups.select("first", "second", "id"), ["first", "second"]).select("block", "code", "id")
+
+
 def _described(groups: DataFrame, shorter: DataFrame) -> DataFrame:
     """Words and counts of longer phrases, from the phrases of one word less at either end."""
     left = shorter.select(F.col("id").alias("first"), "lang", "words", "heads")
@@ -216,14 +267,14 @@ def mine_phrases(
     groups = _frequent(rows, least)
     totals = rows.groupBy(F.col("first").alias("lang")).agg(F.sum("n").alias("n"))
     phrases = groups.select("id", F.col("first").alias("lang"), "f", F.array("second").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails"))
-    relation, found = words, []
-    for size in range(2, longest + 1):
-        kept = rows.join(groups.select("first", "second", "id"), ["first", "second"]).select("block", "code", "id")
-        longer = saved(extended(relation, kept), "phrase-relation")
+    relation, parts, found, counted = words, ("langs", "words"), [], [groups]
+    for _ in range(2, longest + 1):
+        longer = saved(extended(relation, kept_codes(relation, groups, *parts)), "phrase-relation")
         if relation is not words:
             dropped(relation)
-        relation, rows = longer, _by_code(longer, "left", "right")
-        groups = _frequent(rows, least)
+        relation, parts = longer, ("left", "right")
+        groups = _frequent(_by_code(relation, *parts), least)
+        counted.append(groups)
         phrases = saved(_described(groups, phrases), "phrase-found")
         found.append(phrases)
     dropped(relation)
@@ -244,7 +295,7 @@ def mine_phrases(
     first = salted.withColumn("rank", F.row_number().over(W.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("rank") <= top)
     last = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     result = saved(last.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "phrase-result")
-    dropped(words, *found)
+    dropped(words, *found, *counted)
     return result
 
 
