@@ -413,8 +413,7 @@ FROM q WHERE quiet > {DAY}"""
 ORACLES["streamed_stalls"] = f"""
 WITH g AS (SELECT job_id, ts, epoch_us(ts) AS t, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY job_id ORDER BY ts)) AS gap FROM {LINES}),
      s AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > {DAY}) OVER (PARTITION BY job_id ORDER BY t) AS session FROM g)
-SELECT job_id, {stamp("max(ts)")} AS last_line_at, count(*) AS n_lines FROM s GROUP BY job_id, session
-HAVING max(t) + {DAY} <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)"""
+SELECT job_id, {stamp("min(ts)")} AS active_from, {stamp("max(ts)")} AS last_line_at, count(*) AS n_lines FROM s GROUP BY job_id, session"""
 
 # --- runs -------------------------------------------------------------------------------------------
 TASK_LIST = "[" + ", ".join(f"'{t.id}'" for t in dims.TASKS) + ", 'no_such_task']"

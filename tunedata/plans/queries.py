@@ -477,34 +477,36 @@ def log_stalls(spark, sf):
 # --- streams --------------------------------------------------------------------------------------
 
 
-def _run(spark, stream: DataFrame, name: str) -> DataFrame:
-    base = scratch_dir(spark, name)
-    query = S.run_to_files(stream, f"{base}/out", f"{base}/checkpoint")
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+LATENESS, SLOT = "1 day", 31 * 86_400  # a replay of a month needs no release in between
 
 
-def _events_stream(spark, sf):
-    """The events table as arriving files (a pattern, since the table may be one file)."""
-    schema = A.table(spark, sf, "events").schema
-    return S.read_stream(spark, f"{sf}/event*.parquet", schema)
+def _drained(spark, sf, name: str, build) -> DataFrame:
+    """All a stream over the events makes, late rows included; `build` gets the events and the clock."""
+    own, base = S.stream_session(spark), scratch_dir(spark, name)
+    clock = S.beat(own, f"{base}/clock", "1970-01-01")
+    # the events as arriving files (a pattern, since the table may be one file)
+    events = S.read_stream(own, f"{sf}/event*.parquet", A.table(spark, sf, "events").schema)
+    stream = build(events, clock)
+    S.run_to_end(stream, f"{base}/out", f"{base}/checkpoint", clock)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 @query
 def streamed_lines(spark, sf):
-    chunks = A.log_chunks(spark, sf, _events_stream(spark, sf))
-    return _run(spark, S.stream_lines(chunks), "lines").select("job_id", "channel", "line_no", "line")
+    made = _drained(spark, sf, "lines", lambda events, clock: S.stream_lines(A.log_chunks(spark, sf, events), LATENESS, clock, slot_seconds=SLOT))
+    return made.select("job_id", "channel", "line_no", "line")
 
 
 @query
 def streamed_loss_series(spark, sf):
-    return _run(spark, S.stream_loss_series(A.log_lines(spark, sf, _events_stream(spark, sf))), "series")
+    made = _drained(spark, sf, "series", lambda events, clock: S.stream_loss_series(A.log_lines(spark, sf, events), LATENESS, clock, slot_seconds=SLOT))
+    return made.select("job_id", "seq", "step", "loss")
 
 
 @query
 def streamed_stalls(spark, sf):
-    quiet = S.stream_stalls(A.log_lines(spark, sf, _events_stream(spark, sf)), 86_400)
-    return _run(spark, quiet, "stalls").select("job_id", stamp("last_line_at"), "n_lines")
+    made = _drained(spark, sf, "stalls", lambda events, clock: S.stream_stalls(A.log_lines(spark, sf, events), clock, 86_400))
+    return made.select("job_id", stamp("active_from"), stamp("last_line_at"), "n_lines")
 
 
 # --- runs -----------------------------------------------------------------------------------------

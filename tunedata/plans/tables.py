@@ -191,7 +191,7 @@ def trainer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_chunks(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """(job_id, channel, seq, chunk): the log lines as captured output that breaks anywhere."""
+    """(job_id, channel, seq, ts, chunk): the log lines as captured output that breaks anywhere."""
     line = F.col("line")
     chunk = (
         F.when(F.col("seq") % 5 == 0, line)
@@ -199,7 +199,7 @@ def log_chunks(spark: SparkSession, sf_dir: str, events: DataFrame | None = None
         .otherwise(F.concat(F.left(line, F.lit(5)), F.lit("\n"), F.substr(line, F.lit(6))))
     )
     channel = F.when(div(F.col("seq"), 2) % 2 == 0, "stdout").otherwise("stderr")
-    return log_lines(spark, sf_dir, events).select("job_id", channel.alias("channel"), "seq", chunk.alias("chunk"))
+    return log_lines(spark, sf_dir, events).select("job_id", channel.alias("channel"), "seq", "ts", chunk.alias("chunk"))
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:

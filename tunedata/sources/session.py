@@ -15,8 +15,6 @@ RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     # lets the 2000-line ring keep only each task's last lines before the shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
-    # merges a job's sessions inside each task before the streaming stall detector shuffles
-    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
