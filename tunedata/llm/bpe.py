@@ -9,13 +9,13 @@ through is encoded anew with its neighbours, in ever wider windows until the ids
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +27,13 @@ ROLLING_BYTES = 24  # the window of the rolling hash
 CHUNK_BITS = 10  # a cut every 1,024 bytes on average
 GROUP_BYTES = B.SLICE_BYTES
 ENCODE_ROWS = 1024
-MARKED_WORDS = 256
+MARKED = 256
 # What a task remembers; beyond these it forgets all and starts anew.
 CACHE_BYTES = 8 << 20
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 20
 # The table of chunks that all tasks share has at most 4,096 chunks of at most 4 KB each.
 SHARED_CHUNKS = 4096
 SHARED_BYTES = 4096
-WORD = re.compile(rb"[^\x20\t-\r]+")
 NONE = np.zeros(0, np.uint32)
 
 
@@ -140,52 +139,68 @@ class Chunks:
 # --- encoding ------------------------------------------------------------------------------
 
 
+def _marked(tokenizer, mark: int | None, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts one after another, how many each has), of a tokenizer that drops white space.
+
+    Texts are encoded many at a time, between marks that are one token and touch no other.
+    """
+    ids, sizes = [], np.zeros(len(texts), np.int64)
+    for i in range(0, len(texts), MARKED):
+        part = texts[i : i + MARKED]
+        found = _encode(tokenizer, [b" \x01 ".join([b"", *part, b""])])[0] if mark is not None else NONE
+        at = np.flatnonzero(found == mark) if mark is not None else NONE
+        if at.size == len(part) + 1:
+            ids.append(found[found != mark])
+            sizes[i : i + len(part)] = np.diff(at) - 1
+        else:  # a text holds the mark itself, or there is none
+            each = _encode(tokenizer, part)
+            ids += each
+            sizes[i : i + len(part)] = [x.size for x in each]
+    return np.concatenate(ids) if ids else NONE, sizes
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of `flat`, one after another."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if ends.size else 0)]
+
+
 class WordIds:
-    """The ids of words met so far, in one array that grows."""
+    """The ids of the words met so far, by the words' 64-bit hashes in order."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.index = tokenizer, {}
+    def __init__(self, tokenizer, mark: int | None):
+        self.tokenizer, self.mark = tokenizer, mark
+        self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.start, self.size = NONE, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        # Words are encoded many at a time, between marks that are one token and touch no other.
-        mark = tokenizer.encode("\x01", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
 
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        if not new:
-            return
-        plain = [w for w in new if self.mark is not None and b"\x01" not in w]
-        odd = [w for w in new if self.mark is None or b"\x01" in w]
-        ids, size = _encode(self.tokenizer, odd), []
-        size += [x.size for x in ids]
-        for i in range(0, len(plain), MARKED_WORDS):
-            part = plain[i : i + MARKED_WORDS]
-            found = _encode(self.tokenizer, [b" \x01 ".join([b"", *part, b""])])[0]
-            at = np.flatnonzero(found == self.mark)
-            if at.size != len(part) + 1:  # a word holds the mark's token after all
-                each = _encode(self.tokenizer, part)
-                ids += each
-                size += [x.size for x in each]
-            else:
-                ids.append(found[found != self.mark])
-                size += (np.diff(at) - 1).tolist()
-        sizes = np.array(size, np.int64)
-        first = self.flat.size + np.cumsum(sizes) - sizes
-        self.index.update(zip(odd + plain, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, *ids])
-        self.start, self.size = np.append(self.start, first), np.append(self.size, sizes)
-
-    def of(self, word: bytes) -> np.ndarray:
-        i = self.index[word]
-        return self.flat[self.start[i] : self.start[i] + self.size[i]]
-
-    def joined(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The ids of every list of known words."""
-        codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64)
-        size = self.size[codes]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[codes] - (ends - size), size) + np.arange(ends[-1] if ends.size else 0)]
-        edges = np.append(0, ends)[np.cumsum([0, *map(len, texts)])].tolist()
+    def __len__(self) -> int:
+        return self.hashes.size
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of texts, word by word; words not met before are encoded."""
+        words = B.Words(texts)
+        if not len(words):
+            return [NONE] * len(texts)
+        codes, found = pd.factorize(words.hashes())
+        place = np.searchsorted(self.hashes, found)
+        known = np.zeros(found.size, bool)
+        known[place < len(self)] = self.hashes[place[place < len(self)]] == found[place < len(self)]
+        number = np.empty(found.size, np.int64)
+        number[known] = self.at[place[known]]
+        new = np.flatnonzero(~known)
+        if new.size:
+            example = np.empty(found.size, np.int64)
+            example[codes] = np.arange(codes.size)
+            ids, size = _marked(self.tokenizer, self.mark, words.text(example[new]))
+            number[new] = np.arange(self.size.size, self.size.size + new.size)
+            self.start = np.append(self.start, self.flat.size + np.cumsum(size) - size)
+            self.size, self.flat = np.append(self.size, size), np.append(self.flat, ids)
+            self.hashes, self.at = np.append(self.hashes, found[new]), np.append(self.at, number[new])
+            order = np.argsort(self.hashes, kind="stable")
+            self.hashes, self.at = self.hashes[order], self.at[order]
+        at = number[codes]
+        ids = _gathered(self.flat, self.start[at], self.size[at])
+        edges = np.append(0, np.cumsum(self.size[at]))[words.first].tolist()
         return [ids[a:b].copy() for a, b in zip(edges, edges[1:], strict=False)]
 
 
@@ -198,22 +213,19 @@ class Encoder:
 
     def __init__(self, path: str, shared: dict[bytes, bytes], apart: bool = True):
         self.tokenizer, self.shared, self.apart = _tokenizer(path), shared, apart
+        mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.encoded = 0  # bytes of chunks that were not known
         self._forget()
 
     def _forget(self) -> None:
         self.bodies: dict[bytes, np.ndarray] = {}
         self.size = 0
-        self.words = WordIds(self.tokenizer)
+        self.words = WordIds(self.tokenizer, self.mark)
 
     def _body_ids(self, bodies: list[bytes]) -> list[np.ndarray]:
         new = [b for b in dict.fromkeys(bodies) if b not in self.bodies and b not in self.shared]
-        if self.apart:
-            words = [WORD.findall(b) for b in new]
-            self.words.learn([w for part in words for w in part])
-            found = self.words.joined(words)
-        else:
-            found = _encode(self.tokenizer, new)
+        found = self.words.of(new) if self.apart else _encode(self.tokenizer, new)
         self.bodies.update(zip(new, found, strict=True))
         self.encoded += sum(map(len, new))
         self.size += sum(len(b) + i.nbytes for b, i in zip(new, found, strict=True))
@@ -239,21 +251,19 @@ class Encoder:
         return out
 
     def _windows(self, texts: list[bytes]) -> None:
-        """Ids of short texts around joints: words already known, all else encoded as it stands."""
-        self.windows: dict[bytes, np.ndarray] = {}
-        new = []
-        for t in dict.fromkeys(texts):
-            word = t.strip(B.SPACE)
-            if not t or self.apart and word in self.words.index:
-                self.windows[t] = self.words.of(word) if t else NONE
-            else:
-                new.append(t)
-        self.windows.update(zip(new, _encode(self.tokenizer, new), strict=True))
+        """Ids of the short texts around joints, each encoded as it stands."""
+        new = list(dict.fromkeys(texts))
+        if self.apart:
+            ids, size = _marked(self.tokenizer, self.mark, new)
+            found = np.split(ids, np.cumsum(size)[:-1])
+        else:
+            found = _encode(self.tokenizer, new)
+        self.windows = dict(zip(new, found, strict=True))
 
     def pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of every piece."""
         chunks = Chunks(pieces)
-        if self.size > CACHE_BYTES or len(self.words.index) > CACHE_WORDS:
+        if self.size > CACHE_BYTES or len(self.words) > CACHE_WORDS:
             self._forget()
         bodies = self._body_ids(chunks.bodies())
         at = chunks.edges[:-1].tolist()  # how far each piece is covered
@@ -344,7 +354,12 @@ def shared_chunks(docs: DataFrame, tokenizer: str = TOKENIZER, apart: bool = Tru
 
 
 def encode(
-    docs: DataFrame, tokenizer: str = TOKENIZER, apart: bool = True, ids: str = "token_ids", decoded: str | None = None
+    docs: DataFrame,
+    tokenizer: str = TOKENIZER,
+    apart: bool = True,
+    ids: str = "token_ids",
+    decoded: str | None = None,
+    drop: tuple[str, ...] = (),
 ) -> DataFrame:
     """`docs` with `ids`: the token ids of `text` as little-endian unsigned 32-bit numbers, one after another.
 
@@ -354,26 +369,40 @@ def encode(
     `decoded` names a column for what the library decodes from the ids, made in the same pass. Null
     and empty texts have no ids. Repeated rows and ties need no rule: every row is encoded by its text
     alone. An empty table gives an empty table. A very long text is encoded in parts of about
-    `GROUP_BYTES` that start where white space starts. Columns of these names are replaced; all others
-    pass unchanged and never reach Python.
+    `GROUP_BYTES` that start where white space starts. Columns of these names are replaced, those of
+    `drop` left out; all others pass unchanged.
     """
     shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, tokenizer, apart))
-    kind = pa.struct([("ids", pa.binary()), ("text", pa.string())])
+    kept = [c for c in docs.columns if c not in (ids, decoded, *drop)]
+    schema = docs.select(*kept).schema.add(ids, "binary")
+    if decoded:
+        schema = schema.add(decoded, "string")
 
-    @F.arrow_udf("ids binary, text string")
-    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, shared.value, apart)
-        for column in batches:
-            found = encoder.texts(B.texts(column))
-            again = pa.array([_decoded(encoder.tokenizer, x) if decoded else None for x in found], pa.string())
-            yield pa.StructArray.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), again], fields=list(kind))
-            del found, again
+        for batch in batches:
+            for rows in _row_groups(batch.column(batch.num_columns - 1)):  # what leaves at a time is as small as a group
+                part = batch.slice(rows.start, len(rows))
+                found = encoder.texts(B.texts(part.column(part.num_columns - 1)))
+                made = [pa.array([x.tobytes() for x in found], pa.binary())]
+                if decoded:
+                    made.append(pa.array([_decoded(encoder.tokenizer, x) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], schema.fieldNames())
+                del found, made
             pa.default_memory_pool().release_unused()
 
-    (both,) = fresh(docs, "coded")
-    step = docs.withColumn(both, coded(text_of(docs)))
-    made = {ids: step[f"{both}.ids"]} | ({decoded: step[f"{both}.text"]} if decoded else {})
-    return step.withColumns(made).drop(both)
+    (text,) = fresh(docs, "text_to_encode")
+    return docs.select(*[docs[c] for c in kept], text_of(docs).alias(text)).mapInArrow(coded, schema)
+
+
+def _row_groups(column: pa.Array) -> Iterator[range]:
+    """Rows whose texts have about `GROUP_BYTES` together."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy())
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP_BYTES, "right")))
+        yield range(at, to)
+        at = to
 
 
 def _decoded(tokenizer, ids: np.ndarray) -> str:
@@ -395,7 +424,7 @@ def decode(df: DataFrame, tokenizer: str = TOKENIZER, ids: str = "token_ids", te
 def op13_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids, text = fresh(docs, "token_ids", "decoded")
-    coded = encode(docs, ids=ids, decoded=text)
+    coded = encode(docs, ids=ids, decoded=text, drop=("text",))
     return coded.select(
         "doc_id",
         F.expr(f"cast(octet_length({ids}) div 4 as long)").alias("n_tokens"),
