@@ -5,9 +5,9 @@ Rk+1 comes from Rk by a merge-join with itself: a phrase at a place meets the ph
 which is its own continuation, if both lie in one piece of text. The pairs are grouped and counted over
 the whole table, and a semi-join keeps the occurrences of frequent pairs before the next length.
 
-A relation is stored in blocks, sorted by place, one row a block: steps from place to place and codes as packed arrays, and
-what each code of the block stands for. The merge-join happens inside the rows; counts and semi-joins
-are Spark's, on one row for each block and distinct pair.
+A relation is stored in blocks of one language, sorted by place, one row a block: steps from place to
+place, codes, and what each code of the block stands for, all packed. The merge-join happens inside the
+rows; counts and semi-joins are Spark's, on one row for each block and distinct pair.
 """
 
 from __future__ import annotations
@@ -37,21 +37,44 @@ ENDS_PIECE = B.class_table(PIECE_ENDS)
 BREAKS = B.class_table(PIECE_ENDS + b" \t")
 SALTS = 64
 
-RELATION = "block long, places binary, codes binary, left array<long>, right array<long>, n array<long>"
+# steps, codes: the occurrences; first, second, n: what a code stands for, and how often it occurs
+RELATION = "block long, lang string, steps binary, codes binary, first binary, second binary, n binary"
 CODEC = "zstd"
 # Two primes whose product stays within 63 bits: they spread pairs of numbers over the bit table.
 SPREAD = (1_073_741_789, 2_147_483_647)
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """int32 numbers, compressed; the size comes first."""
-    raw = values.astype("<i4").tobytes()
+def _packed(values: np.ndarray, kind: str = "<i4") -> bytes:
+    """Numbers, compressed; the size comes first."""
+    return _compressed(values.astype(kind).tobytes())
+
+
+def _compressed(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, CODEC, asbytes=True)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), CODEC, asbytes=True), "<i4")
+def _raw(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), CODEC, asbytes=True)
+
+
+def _unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(_raw(data), kind)
+
+
+def _parts(first: bytes, second: bytes, words: bool) -> tuple:
+    """What the codes of a block stand for: words, or the ids of two phrases."""
+    if words:
+        return None, pa.array(_raw(second).decode("utf-8", "replace").split("\n"), pa.string())
+    return pa.array(_unpacked(first, "<i8")), pa.array(_unpacked(second, "<i8"))
+
+
+def _row(block: int, lang: str, places: np.ndarray, codes: np.ndarray, first: bytes, second: bytes, n: np.ndarray) -> pa.RecordBatch:
+    cells = [block, lang, _packed(np.diff(places, prepend=0)), _packed(codes), first, second, _packed(n)]
+    kinds = [pa.int64(), pa.string(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], ["block", "lang", "steps", "codes", "first", "second", "n"]
+    )
 
 
 def piece_cut(text: bytes, limit: int) -> Iterator[bytes]:
@@ -77,7 +100,7 @@ def _block_id(n: int) -> int:
 
 
 def word_blocks(docs: DataFrame, lang: str = "lang") -> DataFrame:
-    """(block, places, codes, langs, words, n): all word occurrences, with the words of the block by code.
+    """The relation of all word occurrences; `second` holds the words of the block by code.
 
     Places count the words of a block and skip one between pieces, so that neighbours are words of one piece.
     """
@@ -85,30 +108,23 @@ def word_blocks(docs: DataFrame, lang: str = "lang") -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
-            codes_of, langs = pd.factorize(np.array(batch.column(0).to_pylist(), object))
+            langs = batch.column(0).to_pylist()
             for owners, pieces in B.slices(B.texts(batch.column(1)), BLOCK_BYTES, piece_cut):
-                words = B.Words(pieces, BREAKS, lower=True)
-                if not len(words):
-                    continue
-                lang_of = codes_of[np.asarray(owners)][words.owner()].astype(np.int64)
-                piece = np.cumsum(ENDS_PIECE[words.blob], dtype=np.int32)[words.start]
-                places = np.arange(len(words)) + np.cumsum(np.diff(piece, prepend=piece[:1]) != 0)
-                codes, example = words.distinct(words.hashes() + lang_of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([_block_id(n)]),
-                        pa.array([_packed(np.diff(places, prepend=0))], pa.binary()),
-                        pa.array([_packed(codes)], pa.binary()),
-                        pa.array([langs[lang_of[example]].tolist()], pa.list_(pa.string())),
-                        pa.array([[w.decode("utf-8", "replace") for w in words.text(example)]], pa.list_(pa.string())),
-                        pa.array([np.bincount(codes, minlength=example.size)]),
-                    ],
-                    ["block", "places", "codes", "langs", "words", "n"],
-                )
-                n += 1
+                by_lang: dict[str, list[bytes]] = {}
+                for row, piece in zip(owners, pieces, strict=True):
+                    by_lang.setdefault(langs[row], []).append(piece)
+                for name, mine in by_lang.items():
+                    words = B.Words(mine, BREAKS, lower=True)
+                    if not len(words):
+                        continue
+                    piece = np.cumsum(ENDS_PIECE[words.blob], dtype=np.int32)[words.start]
+                    places = np.arange(len(words)) + np.cumsum(np.diff(piece, prepend=piece[:1]) != 0)
+                    codes, example = words.distinct()
+                    yield _row(_block_id(n), name, places, codes, b"", _compressed(b"\n".join(words.text(example))), np.bincount(codes))
+                    n += 1
 
     chosen = docs.select(F.coalesce(docs[lang].cast("string"), F.lit(NO_LANG)).alias("lang"), text_of(docs).alias("text"))
-    return chosen.mapInArrow(read, "block long, places binary, codes binary, langs array<string>, words array<string>, n array<long>")
+    return chosen.mapInArrow(read, RELATION)
 
 
 # --- from Rk to Rk+1 -----------------------------------------------------------------------------
@@ -126,40 +142,49 @@ def _joined(places: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> tuple[np.
 def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
     """Rk+1 with its candidate pairs, from Rk and (block, code, id) of its frequent phrases."""
     by_block = kept.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("kept"))  # as many as a block has codes
-    both = relation.select("block", "places", "codes").join(by_block, "block")
+    both = relation.select("block", "lang", "steps", "codes").join(by_block, "block").select("block", "lang", "steps", "codes", "kept")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block, places, codes, kept = (batch.column(c)[i] for c in range(4))
-                held = kept.values
+                block, lang, steps, codes = (batch.column(c)[i].as_py() for c in range(4))
+                held = batch.column(4)[i].values
                 code, ids = held.field(0).to_numpy(), held.field(1).to_numpy()
-                codes, places = _unpacked(codes.as_py()), np.cumsum(_unpacked(places.as_py()))
+                codes, places = _unpacked(codes), np.cumsum(_unpacked(steps))
                 new = np.full(max(int(codes.max(initial=0)), int(code.max(initial=0))) + 1, -1, np.int32)
                 new[code] = np.arange(code.size, dtype=np.int32)
                 codes = new[codes]
                 there = codes >= 0  # the semi-join with the frequent phrases
                 places, codes, left, right, n = _joined(places[there], codes[there], ids)
                 if places.size:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([block.as_py()]),
-                            pa.array([_packed(np.diff(places, prepend=0))], pa.binary()),
-                            pa.array([_packed(codes)], pa.binary()),
-                            pa.array([left]),
-                            pa.array([right]),
-                            pa.array([n]),
-                        ],
-                        ["block", "places", "codes", "left", "right", "n"],
-                    )
+                    yield _row(block, lang, places, codes, _packed(left, "<i8"), _packed(right, "<i8"), n)
 
     return both.mapInArrow(step, RELATION)
 
 
-def _by_code(relation: DataFrame, first: str, second: str) -> DataFrame:
-    """(block, first, second, n): a row for each block and code."""
-    rows = relation.select("block", F.explode(F.arrays_zip(first, second, "n")).alias("_x"))
-    return rows.select("block", F.col(f"_x.{first}").alias("first"), F.col(f"_x.{second}").alias("second"), F.col("_x.n").alias("n"))
+def _by_code(relation: DataFrame, words: bool) -> DataFrame:
+    """(first, second, n): a row for each block and code; a language and a word, or two ids."""
+    kind = "string" if words else "long"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, one, two, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first, second = _parts(one, two, words)
+                first = pa.array(np.full(len(second), lang, object), pa.string()) if words else first
+                yield pa.RecordBatch.from_arrays([first, second, pa.array(_unpacked(n).astype(np.int64))], ["first", "second", "n"])
+
+    return relation.select("lang", "first", "second", "n").mapInArrow(read, f"first {kind}, second {kind}, n long")
+
+
+def _totals(relation: DataFrame) -> DataFrame:
+    """(lang, n): all occurrences."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [int(_unpacked(n).sum(dtype=np.int64)) for n in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], ["lang", "n"])
+
+    return relation.select("lang", "n").mapInArrow(read, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _frequent(rows: DataFrame, least: int) -> DataFrame:
@@ -175,14 +200,14 @@ def _spots(groups: DataFrame) -> Column:
     return F.pmod("first", F.lit(SPREAD[0])) * SPREAD[1] + F.pmod("second", F.lit(SPREAD[1]))
 
 
-def _spots_of(first: pa.Array, second: pa.Array) -> np.ndarray:
-    if pa.types.is_string(first.type):
-        both = zip(first.to_pylist(), second.to_pylist(), strict=True)
-        return np.fromiter((zlib.crc32((a + b).encode()) for a, b in both), np.int64, len(first))
+def _spots_of(lang: str, first: pa.Array | None, second: pa.Array) -> np.ndarray:
+    if first is None:
+        start = zlib.crc32(lang.encode())
+        return np.fromiter((zlib.crc32(w.encode(), start) for w in second.to_pylist()), np.int64, len(second))
     return first.to_numpy() % SPREAD[0] * SPREAD[1] + second.to_numpy() % SPREAD[1]
 
 
-def kept_codes(relation: DataFrame, groups: DataFrame, first: str, second: str) -> DataFrame:
+def kept_codes(relation: DataFrame, groups: DataFrame, words: bool) -> DataFrame:
     """(block, code, id) of the codes whose group is frequent.
 
     A bit table of the frequent groups, of at most 16 MB, drops nearly all other rows before the join; a
@@ -193,24 +218,27 @@ def kept_codes(relation: DataFrame, groups: DataFrame, first: str, second: str)
     while size < min(MOST_BITS, 16 * groups.count()):
         size *= 2
     spot = F.pmod(_spots(groups), F.lit(size))
-    words = groups.select(spot.alias("spot")).selectExpr("spot div 64 AS word", "shiftleft(1L, cast(spot % 64 AS int)) AS bit")
+    bits = groups.select(spot.alias("spot")).selectExpr("spot div 64 AS word", "shiftleft(1L, cast(spot % 64 AS int)) AS bit")
     table_ = np.zeros(size // 64, np.int64)
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+    for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
         table_[r.word] = r.bits
     shared = spark.sparkContext.broadcast(table_)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                one, two = batch.column(1)[i].values, batch.column(2)[i].values
-                spot = _spots_of(one, two) % size
+            for block, lang, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first, second = _parts(one, two, words)
+                spot = _spots_of(lang, first, second) % size
                 hit = np.flatnonzero((shared.value[spot // 64] >> (spot % 64)) & 1)
                 if hit.size:
-                    block = pa.array(np.full(hit.size, batch.column(0)[i].as_py()))
-                    yield pa.RecordBatch.from_arrays([block, pa.array(hit.astype(np.int32)), one.take(hit), two.take(hit)], ["block", "code", "first", "second"])
+                    first = pa.array(np.full(hit.size, lang, object), pa.string()) if words else first.take(hit)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(hit.size, block)), pa.array(hit.astype(np.int32)), first, second.take(hit)],
+                        ["block", "code", "first", "second"],
+                    )
 
     kind = groups.schema["first"].dataType.simpleString()
-    likely = relation.select("block", first, second).mapInArrow(read, f"block long, code int, first {kind}, second {kind}")
+    likely = relation.select("block", "lang", "first", "second").mapInArrow(read, f"block long, code int, first {kind}, second {kind}")
     return likely.join(groups.select("first", "second", "id"), ["first", "second"]).select("block", "code", "id")
 
 
@@ -263,17 +291,16 @@ def mine_phrases(
     Other columns are not read.
     """
     words = saved(word_blocks(docs, lang), "phrase-words")
-    rows = _by_code(words, "langs", "words")
-    groups = _frequent(rows, least)
-    totals = rows.groupBy(F.col("first").alias("lang")).agg(F.sum("n").alias("n"))
+    groups = _frequent(_by_code(words, True), least)
+    totals = _totals(words)
     phrases = groups.select("id", F.col("first").alias("lang"), "f", F.array("second").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails"))
-    relation, parts, found, counted = words, ("langs", "words"), [], [groups]
+    relation, found, counted = words, [], [groups]
     for _ in range(2, longest + 1):
-        longer = saved(extended(relation, kept_codes(relation, groups, *parts)), "phrase-relation")
+        longer = saved(extended(relation, kept_codes(relation, groups, relation is words)), "phrase-relation")
         if relation is not words:
             dropped(relation)
-        relation, parts = longer, ("left", "right")
-        groups = _frequent(_by_code(relation, *parts), least)
+        relation = longer
+        groups = _frequent(_by_code(relation, False), least)
         counted.append(groups)
         phrases = saved(_described(groups, phrases), "phrase-found")
         found.append(phrases)
