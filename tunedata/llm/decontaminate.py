@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.llm import bytes_ as B
-from tunedata.llm.tables import table, text_of
+from tunedata.llm.tables import fresh, table, text_of
 
 WINDOW = 10
 # test text sent to the tasks at a time; a larger benchmark is searched for in several passes
@@ -241,35 +241,40 @@ LEAKS = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(SPAN)), ("items",
 LEAKS_SQL = "n_words long, spans array<struct<word long, end_word long, start long, end long>>, items array<string>"
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` with `leaks`: n_words, spans (by word, and by byte of the UTF-8 text) and items.
+NO_ID = "\0"  # no text of a table holds this character alone
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, name: str = "leaks") -> DataFrame:
+    """`docs` with `leaks` (or another `name`): n_words, spans (by word, and by byte of the UTF-8 text) and items.
 
     A window is `window` consecutive words of an item, or the whole of a shorter one; words are
     lower-cased in A-Z. Each Arrow batch is indexed in shards of bounded size, and every window of the
     items is searched in every shard; nothing is shuffled. Null and empty texts have no words, null or
-    wordless items no windows, and without items nothing leaks; repeated rows and items count alike.
+    wordless items no windows, and without items nothing leaks; repeated rows and items count alike. An
+    item without an id has its passages found, but no place among `items`. A column of the name `leaks`
+    is replaced; all others pass unchanged. An empty table gives an empty table.
 
     Items reach the tasks in blocks of about `ITEM_BLOCK_BYTES`, one pass over the documents a block.
     """
     items = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / ITEM_BLOCK_BYTES))
-    out = docs
+    out, found = docs, fresh(docs, *[f"leaks{n}" for n in range(blocks)])
     for n in range(blocks):
         block = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == n).orderBy("id", "text").collect()
-        phrases = phrases_of([str(r.id) for r in block], [r.text.encode() for r in block], window)
-        out = out.withColumn(f"_leaks{n}", _search(docs, phrases, window)(text_of(docs)))
-    every = [F.col(f"_leaks{n}") for n in range(blocks)]
+        phrases = phrases_of([NO_ID if r.id is None else r.id for r in block], [r.text.encode() for r in block], window)
+        out = out.withColumn(found[n], _search(docs, phrases, window)(text_of(docs)))
+    every = [F.col(x) for x in found]
     if blocks == 1:
-        return out.withColumn("leaks", every[0]).drop("_leaks0")
+        return out.withColumn(name, every[0]).drop(*found)
     return out.withColumn(
-        "leaks",
+        name,
         F.struct(
             every[0]["n_words"].alias("n_words"),
             _union(F.array_sort(F.flatten(F.array(*[e["spans"] for e in every])))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.array(*[e["items"] for e in every])))).alias("items"),
         ),
-    ).drop(*[f"_leaks{n}" for n in range(blocks)])
+    ).drop(*found)
 
 
 def _union(spans):
@@ -296,6 +301,7 @@ def _search(docs: DataFrame, phrases: Phrases, window: int):
     shared = docs.sparkSession.sparkContext.broadcast(phrases)  # of one block of items
 
     @F.arrow_udf(LEAKS_SQL)
+    @B.freed
     def leaks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             rows = B.texts(column)
@@ -312,7 +318,7 @@ def _search(docs: DataFrame, phrases: Phrases, window: int):
                     {
                         "n_words": n,
                         "spans": [dict(zip(keys, s, strict=True)) for s in _merged(hits)],
-                        "items": sorted({i for h in hits for i in h[5]}),
+                        "items": sorted({i for h in hits for i in h[5]} - {NO_ID}),
                     }
                     for n, hits in zip(n_words, found, strict=True)
                 ],
@@ -331,14 +337,17 @@ def without_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
             parts.append(t[at : s["start"]])
             at = s["end"]
         out.append(b"".join([*parts, t[at:]]).decode("utf-8", "replace"))
+    B.free()
     return pa.array(out, pa.string())
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` with the leaked spans cut out of `text`; all other texts and all columns are as before."""
+    """`docs` with the leaked spans cut out of `text`; all other texts and all columns are as before, whatever their names."""
     names = docs.columns
-    step = find_leaks(docs, items, window)
-    cut = F.when(F.size("leaks.spans") > 0, F.arrow_udf(without_spans, "string")(text_of(step), F.col("leaks.spans"))).otherwise(F.col("text"))
+    (leaks,) = fresh(docs, "leaks")
+    step = find_leaks(docs, items, window, leaks)
+    spans = F.col(f"{leaks}.spans")
+    cut = F.when(F.size(spans) > 0, F.arrow_udf(without_spans, "string")(text_of(step), spans)).otherwise(F.col("text"))
     return step.withColumn("text", cut).select(*names)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tunedata.llm import bytes_ as B
-from tunedata.llm.tables import held_out, table, text_of
+from tunedata.llm.tables import fresh, held_out, table, text_of
 
 FOLDS = 5
 # the labelled sample: at most so many rows a language, each of at most so many characters
@@ -143,16 +143,20 @@ def fitted(docs: DataFrame, folds: int = FOLDS) -> Model:
     return train([r.text.encode() for r in sample], [r.lang for r in sample])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred, score (0 to 1) and rejected, from the whole text and nothing else.
+def identify(docs: DataFrame, model: Model, names: Sequence[str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """`docs` with lang_pred, score (0 to 1) and rejected (or other `names`), from the whole text and nothing else.
 
     A text that is null, or has no letter, or meets a model without languages is `und` with score 0
     and rejected. Others get the likeliest language and its calibrated probability, and are rejected
-    under the model's threshold. Repeated rows get equal results.
+    under the model's threshold; of equally likely languages the first by name is taken. Repeated rows get
+    equal results, an empty table an empty one. Columns of these names are replaced; all others pass unchanged.
     """
+    label, score_name, rejected = names
+    legible_name, found_name = fresh(docs, "legible", "found")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers
 
     @F.arrow_udf("lang string, score double")
+    @B.freed
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
         for column in batches:
@@ -161,16 +165,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.StructArray.from_arrays([names, pa.array(score)], ["lang", "score"])
 
     if not model.languages:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
+        return docs.withColumns({label: F.lit(UNKNOWN), score_name: F.lit(0.0), rejected: F.lit(True)})
     legible = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    step = docs.withColumn("_legible", legible).withColumn("_p", predicted(text_of(docs)))
+    step = docs.withColumns({legible_name: legible, found_name: predicted(text_of(docs))})
+    read, found = F.col(legible_name), F.col(found_name)
     return step.withColumns(
         {
-            "lang_pred": F.when(F.col("_legible"), F.col("_p.lang")).otherwise(UNKNOWN),
-            "score": F.when(F.col("_legible"), F.col("_p.score")).otherwise(0.0),
-            "rejected": ~F.col("_legible") | (F.col("_p.score") < model.threshold),
+            label: F.when(read, found["lang"]).otherwise(UNKNOWN),
+            score_name: F.when(read, found["score"]).otherwise(0.0),
+            rejected: ~read | (found["score"] < model.threshold),
         }
-    ).drop("_legible", "_p")
+    ).drop(legible_name, found_name)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tunedata.llm import bytes_ as B
-from tunedata.llm.tables import dropped, saved, table, text_of
+from tunedata.llm.tables import dropped, fresh, saved, table, text_of
 
 # a repeated run counts from so many words on
 LEAST_WORDS = 50
@@ -84,7 +84,7 @@ def lines_of(rows: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             yield _lines(batch.column(0).to_numpy(), B.texts(batch.column(1)), least)
 
-    return rows.select("uid", text_of(rows)).mapInArrow(read, LINES)
+    return rows.select("uid", text_of(rows)).mapInArrow(B.freed(read), LINES)
 
 
 def _ranks(values: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -174,6 +174,7 @@ def without_lines(text: pa.Array, lines: pa.Array) -> pa.Array:
     for t, gone in zip(B.texts(text), lines.to_pylist(), strict=True):
         gone = set(gone)
         out.append(b"\n".join([x for i, x in enumerate(t.split(b"\n")) if i not in gone]).decode("utf-8", "replace"))
+    B.free()
     return pa.array(out, pa.string())
 
 
@@ -183,13 +184,15 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     Lines are split at \\n and compared byte by byte; lines without a word neither count nor break a
     run, and stay. The first copy in order of doc_id (null last; repeated rows in table order) stays
     whole, also against copies in the same text. Every row stays, with empty text if all its lines
-    go; null texts and texts of fewer than `least` words are as before. Other columns pass unchanged.
+    go; null texts and texts of fewer than `least` words are as before. A column `removed_lines` is
+    replaced, all others pass unchanged, whatever their names. An empty table gives an empty table.
     """
-    names = docs.columns
-    rows = saved(docs.withColumn("uid", F.monotonically_increasing_id()), "line-docs")
-    cuts = repeated_runs(rows.select("uid", "doc_id", "text"), least)
-    joined = rows.join(cuts, "uid", "left")
-    lines = F.coalesce("lines", F.array().cast("array<int>"))
+    names = [c for c in docs.columns if c != "removed_lines"]
+    uid, found = fresh(docs, "uid", "lines")
+    rows = saved(docs.withColumn(uid, F.monotonically_increasing_id()), "line-docs")
+    cuts = repeated_runs(rows.select(F.col(uid).alias("uid"), "doc_id", "text"), least)
+    joined = rows.join(cuts.select(F.col("uid").alias(uid), F.col("lines").alias(found)), uid, "left")
+    lines = F.coalesce(found, F.array().cast("array<int>"))
     cut = F.when(F.size(lines) > 0, F.arrow_udf(without_lines, "string")(text_of(joined), lines)).otherwise(F.col("text"))
     return joined.withColumn("text", cut).withColumn("removed_lines", lines).select(*names, "removed_lines")
 

@@ -217,14 +217,14 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """`docs` as the mix takes them: each row as often as it has copies."""
+    """`docs` as the mix takes them: each row as often as it has copies; columns of any name pass unchanged."""
     _, params = mixed(docs)
-    names = docs.columns
-    sized = _sizes(docs)
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    sized = _sizes(docs.select(whole, docs["doc_id"], docs["source"], docs["text"])).drop("text")
     right = params.withColumnRenamed("source", "_source").drop("source_size", "target")
     joined = sized.join(right, sized.source.eqNullSafe(right._source))
     repeated = joined.withColumn("_copies", copies(F.col("_size"))).where("_copies > 0")
-    return repeated.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    return repeated.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,17 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tunedata.llm import bytes_ as B
-from tunedata.llm.tables import dropped, saved, table, text_of
+from tunedata.llm.tables import dropped, fresh, saved, table, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 IDF_BUCKETS = 1 << 16
 # how far frequency can lower a shingle's weight: a shingle in every text weighs 1 less this
 IDF_RANGE = 0.1
-NEIGHBOURS, GROUP = 16, 512
+# a bucket's members are compared with so many of its members in turn, each of another class
+STARS = 5
 # texts with a common rare shingle are compared in blocks of so many on either side
 BLOCK = 4096
-FILTER_WORDS = 1 << 17
+# bits of the table that says which ids are asked for: 16 for each, up to 16 MB
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 CHUNK = 1 << 16
 SHINGLED = "uid long, doc_id long, n int, h1 long, h2 long, shingles binary"
 
@@ -102,7 +105,7 @@ def shingled(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield _signed(batch.column(0).to_numpy(), batch.column(1), B.texts(batch.column(2)))
 
-    return rows.select("uid", F.col("doc_id").cast("long"), text_of(rows)).mapInArrow(read, SHINGLED)
+    return rows.select("uid", F.col("doc_id").cast("long"), text_of(rows)).mapInArrow(B.freed(read), SHINGLED)
 
 
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +142,7 @@ def shingle_weights(signed: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    counted = signed.select("shingles").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = signed.select("shingles").mapInArrow(B.freed(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     share = np.zeros(IDF_BUCKETS)
     for row in counted.collect():
         share[row.bucket] = row.n
@@ -212,7 +215,9 @@ def band_keys(signed: DataFrame, weights: np.ndarray, bands: int, rows: int) ->
                 [*batch.columns[:5], pa.array(out, pa.list_(pa.int64()))], ["uid", "doc_id", "n", "h1", "h2", "bands"]
             )
 
-    return signed.mapInArrow(read, "uid long, doc_id long, n int, h1 long, h2 long, bands array<long>")
+    out = saved(signed.mapInArrow(B.freed(read), "uid long, doc_id long, n int, h1 long, h2 long, bands array<long>"), "dup-bands")
+    shared.destroy()
+    return out
 
 
 def weighted_jaccard(a: bytes, b: bytes, table_: np.ndarray) -> float:
@@ -226,8 +231,11 @@ def weighted_jaccard(a: bytes, b: bytes, table_: np.ndarray) -> float:
 
 
 def _maybe_in(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of `frame` whose id may be in `ids`: a bit table of fixed size drops most others before a shuffle."""
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
+    """Rows of `frame` whose id may be in `ids`: a bit table sized by their number drops most others before a shuffle."""
+    size = LEAST_BITS
+    while size < min(MOST_BITS, 16 * ids.count()):
+        size *= 2
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     bit = F.expr("shiftleft(1L, cast(pmod(_spot, 64) as int))")
     bits = (
         ids.select(spot("id").alias("_spot"))
@@ -236,7 +244,7 @@ def _maybe_in(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
         .agg(F.bit_or("bit").alias("bits"))
         .collect()
     )
-    words = np.zeros(FILTER_WORDS, np.int64)
+    words = np.zeros(size // 64, np.int64)
     for row in bits:
         words[row.word] = row.bits
     shared = frame.sparkSession.sparkContext.broadcast(words)
@@ -256,12 +264,15 @@ def verified(pairs: DataFrame, signed: DataFrame, weights: np.ndarray, similarit
         left, right = (x.cast(pa.large_binary()).to_pylist() for x in (a, b))
         return pa.array([weighted_jaccard(x, y, table_.value) >= similarity for x, y in zip(left, right, strict=True)])
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "dup-ids")
     near = _maybe_in(signed.select("uid", "shingles"), "uid", ids)
     left = near.select(F.col("uid").alias("a"), F.col("shingles").alias("_a"))
     right = near.select(F.col("uid").alias("b"), F.col("shingles").alias("_b"))
     joined = pairs.join(left, "a").join(right, "b")
-    return joined.where(F.arrow_udf(similar, "boolean")("_a", "_b")).select("a", "b")
+    out = saved(joined.where(F.arrow_udf(similar, "boolean")("_a", "_b")).select("a", "b"), "dup-verified")
+    table_.destroy()
+    dropped(ids)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -320,8 +331,9 @@ def _rare_shingles(texts: DataFrame, weights: np.ndarray, similarity: float) ->
                 ["id", "comp", "shingle", "weight"],
             )
 
-    each = texts.select("id", "comp", "shingles").mapInArrow(read, "id long, comp long, shingle long, weight double")
+    each = texts.select("id", "comp", "shingles").mapInArrow(B.freed(read), "id long, comp long, shingle long, weight double")
     each = saved(each, "dup-rare")
+    shared.destroy()
     times = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
     text = Window.partitionBy("id")
     rest = F.sum("weight").over(text.orderBy(F.desc("times"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0))
@@ -370,16 +382,15 @@ def classes(
 
     Rows with equal word sequences (A-Z lower-cased) are one class before anything else. Their
     representatives meet in buckets of band keys. Every member of a bucket is compared with the
-    bucket's first; where that leaves a bucket with more than one connected class, every member is
-    compared with its `NEIGHBOURS` next ones on either side that are in another class, so that buckets
-    of up to `NEIGHBOURS` + 1 are compared completely. Larger ones are split by hash into groups of
-    about `GROUP`, so no task holds an unbounded bucket; the texts of those that still hold several
-    classes then meet by rare shingles, which finds every link between them (`exact_pairs`).
-    Comparisons are of whole shingle sets.
+    bucket's first; where that leaves a bucket with more than one connected class, all are compared with
+    the first member outside the classes of the centers so far, up to `STARS` times: one row a member
+    each time, whatever the size of the bucket. Buckets of up to `STARS` members are so compared
+    completely. The texts of larger ones that still hold several classes then meet by rare shingles,
+    which finds every link between them (`exact_pairs`). Comparisons are of whole shingle sets.
     """
     signed = saved(shingled(rows), "dup-shingles")
     weights = shingle_weights(signed)
-    keyed = saved(band_keys(signed, weights, bands, per_band), "dup-bands")
+    keyed = band_keys(signed, weights, bands, per_band)
     # rows without words are classes of their own
     same = [F.col("h1"), F.col("h2"), F.when(F.col("n") == 0, F.col("uid")).otherwise(-1).alias("alone")]
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
@@ -393,28 +404,38 @@ def classes(
     buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("order", "id")).alias("_c"))
     buckets = buckets.where("n > 1").select("band", "key", "n", F.col("_c.id").alias("center"))
     members = saved(members.join(buckets, ["band", "key"]).select("band", "key", "n", "center", "id"), "dup-members")
-    first = saved(members.where("id <> center").select(*_pair(F.col("id"), F.col("center"))).distinct(), "dup-pairs")
-    links = saved(verified(first, signed, weights, similarity), "dup-verified")
-    comps = components(links)
-    known, open_ = _open(members, comps)
-    known = known.join(open_, ["band", "key"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP)))
-    line = Window.partitionBy("band", "key", "salt").orderBy("id").rowsBetween(1, NEIGHBOURS)
-    near = known.withColumn("_next", F.collect_list(F.struct("id", "comp")).over(line))
-    # only partners in another class become rows
-    near = near.select("id", F.explode(F.expr("filter(_next, x -> x.comp <> comp)")).alias("_x"))
-    second = near.select(*_pair(F.col("id"), F.col("_x.id"))).distinct()
-    second = saved(second.join(first, ["a", "b"], "left_anti"), "dup-pairs")
-    more = saved(verified(second, signed, weights, similarity), "dup-verified")
-    links = links.union(more)
-    comps = components(links)
-    known, open_ = _open(members.where(F.col("n") > NEIGHBOURS + 1), comps)
+    tried = saved(members.where("id <> center").select(*_pair(F.col("id"), F.col("center"))).distinct(), "dup-pairs")
+    steps, links = [tried], [verified(tried, signed, weights, similarity)]
+    comps = components(links[0])
+    centers = members.select("band", "key", F.array("center").alias("centers")).distinct()
+    for _ in range(1, STARS):
+        known, open_ = _open(members, comps)
+        # the least member outside the classes of the centers so far
+        held = centers.select("band", "key", "centers", F.explode("centers").alias("id")).join(comps, "id", "left")
+        held = held.groupBy("band", "key").agg(F.first("centers").alias("centers"), F.collect_set(F.coalesce("comp", "id")).alias("_held"))
+        known = known.join(open_, ["band", "key"]).join(held, ["band", "key"])
+        outside = known.where(~F.array_contains("_held", F.col("comp"))).groupBy("band", "key").agg(F.min("id").alias("_center"))
+        known = known.join(outside, ["band", "key"]).join(comps.select(F.col("id").alias("_center"), F.col("comp").alias("_comp")), "_center", "left")
+        known = saved(known.withColumn("_comp", F.coalesce("_comp", "_center")), "dup-open")
+        star = known.where("comp <> _comp").select(*_pair(F.col("id"), F.col("_center"))).distinct()
+        for done in steps:
+            star = star.join(done, ["a", "b"], "left_anti")
+        star = saved(star, "dup-pairs")
+        centers = saved(known.select("band", "key", F.concat("centers", F.array("_center")).alias("centers")).distinct(), "dup-centers")
+        dropped(known)
+        steps.append(star)
+        if not star.limit(1).count():
+            break
+        links.append(verified(star, signed, weights, similarity))
+        comps = components(reduce(DataFrame.union, links))
+    known, open_ = _open(members.where(F.col("n") > STARS), comps)
     left = saved(known.join(open_, ["band", "key"]).select("id", "comp").distinct(), "dup-open")
     if left.limit(1).count():
         texts = left.join(signed.select(F.col("uid").alias("id"), "shingles"), "id")
         third = exact_pairs(texts, weights, similarity)
-        last = saved(verified(third, signed, weights, similarity), "dup-verified")
-        comps = components(links.union(last))
-        dropped(third, last)
+        steps.append(third)
+        links.append(verified(third, signed, weights, similarity))
+        comps = components(reduce(DataFrame.union, links))
     best = (
         exact.join(comps, "id", "left")
         .withColumn("comp", F.coalesce("comp", "id"))
@@ -426,22 +447,19 @@ def classes(
         keyed.select("uid", "doc_id", "h1", "h2", same[2]).join(named, ["h1", "h2", "alone"]).select("uid", "doc_id", "first"),
         "dup-classes",
     )
-    dropped(signed, keyed, exact, members, first, second, links, left)
+    dropped(signed, keyed, exact, members, left, *steps, *links)
     return out
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("uid", F.monotonically_increasing_id())
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, kept) per row: the id of the first document of its class, and whether it is that row.
 
     Classes are connected by weighted Jaccard similarity of at least `similarity` over runs of
     `SHINGLE` words; shorter texts are one shingle. Null texts and texts without words are alone.
-    Repeated rows are one class.
+    Repeated rows are one class, of equal ids the first row counts as the first. Very long texts are cut
+    into overlapping pieces and compared whole. An empty table gives no rows; other columns are not read.
     """
-    rows = saved(_numbered(docs.select("doc_id", "text")), "dup-docs")
+    rows = saved(docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id()), "dup-docs")
     found = classes(rows, similarity)
     dropped(rows)
     heads = found.where("uid = first").select("first", F.col("doc_id").alias("class_id"))
@@ -449,11 +467,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` less all rows but the first of each class; columns and texts as before."""
+    """`docs` less all rows but the first of each class; columns of any name and texts as before."""
     names = docs.columns
-    rows = saved(_numbered(docs), "dup-docs")
-    found = classes(rows.select("uid", "doc_id", "text"), similarity)
-    return rows.join(found.where("uid = first").select("uid"), "uid", "left_semi").select(*names)
+    (uid,) = fresh(docs, "uid")
+    rows = saved(docs.withColumn(uid, F.monotonically_increasing_id()), "dup-docs")
+    found = classes(rows.select(F.col(uid).alias("uid"), "doc_id", "text"), similarity)
+    return rows.join(found.where("uid = first").select(F.col("uid").alias(uid)), uid, "left_semi").select(*names)
 
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
