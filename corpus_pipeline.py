@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tunedata.llm.decontaminate import remove_leaks
 from tunedata.llm.language_id import fitted, identify
 from tunedata.llm.line_dedup import dedup_lines
 from tunedata.llm.mixing import mix
 from tunedata.llm.near_dups import without_near_duplicates
-from tunedata.llm.tables import saved, table
+from tunedata.llm.tables import fresh, saved, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those rejected by the calibrated threshold go."""
-    return identify(docs, fitted(docs)).where("not rejected").select(*docs.columns)
+    names = fresh(docs, "lang_pred", "score", "rejected")
+    return identify(docs, fitted(docs), names).where(~F.col(names[2])).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
