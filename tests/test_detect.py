@@ -126,6 +126,25 @@ def test_overrides_win(spark):
         detect(df, overrides={"instruction": "baz"})
 
 
+@pytest.mark.parametrize(
+    ("columns", "overrides", "expected"),
+    [
+        ("text string, content string", {"image": "text"}, ("image_text", {"image": "text", "text": "content"})),
+        ("text string, content string, body string", {"image": "text", "label": "content"}, ("image_text", {"image": "text", "text": "content"})),
+        ("text string, n int", {"image": "text"}, ("text", {"text": "text"})),
+        ("foo string, n int", {"image": "n"}, ("text", {"text": "foo"})),
+        ("img string, body string", {"text": "img"}, ("image_text", {"image": "img", "text": "body"})),
+        ("clip struct<a:int>, sentence string, caption string", {"audio": "clip", "transcription": "caption"}, ("audio_text", {"audio": "clip", "text": "caption"})),
+        ("input string, context string, output string", {"instruction": "input"}, ("alpaca", {"instruction": "input", "output": "output", "input": "context"})),
+        ("question string, output string, context string", {"input": "question"}, ("alpaca", {"instruction": "question", "output": "output", "input": "context"})),
+    ],
+)
+def test_fields_set_by_hand_leave_the_next_best(spark, columns, overrides, expected):
+    df = spark.createDataFrame([tuple((1,) if "struct" in c else 1 if c.endswith(" int") else "a" for c in columns.split(", "))], columns)
+    found = detect(df, overrides=overrides)
+    assert (found.format, found.mapping) == expected
+
+
 def test_many_datasets_at_once_with_a_wide_one(spark):
     """A dataset with most of the column rows is aggregated, not gathered."""
     wide = [("w", i, f"c{i}", "string") for i in range(20_000)] + [("w", 20_000, "Text ", "string"), ("w", 20_001, "TEXT", "string")]

@@ -73,6 +73,32 @@ def with_label(datasets: DataFrame, format_col: str = "format") -> DataFrame:
 # --- synonym lookup ------------------------------------------------------------------------
 
 
+# A field looked up beside others never takes the column that they have taken.
+BESIDE = {"text": ("image",), "transcription": ("audio",), "input": ("instruction", "output")}
+
+
+def beside(canonical: str) -> str:
+    return f"{canonical}_beside"
+
+
+def _forced(overrides: Mapping[str, str], key: Column, name: Column) -> tuple[Column, list[tuple[str, str, int, bool]]]:
+    """Further keys of a column, and what they stand for, where fields are set by hand.
+
+    A column set for a field gets a key that ranks before all. If a lookup beside another field meets the
+    column set for that field, it falls back to the best of the other columns: those have a key for it.
+    """
+    marks = {actual: f"\x00{i}" for i, actual in enumerate(dict.fromkeys(overrides.values()))}
+    rows = [(marks[actual], canonical, -1, False) for canonical, actual in overrides.items()]
+    ways = [key, F.try_element_at(literal_map(marks), name)]
+    for canonical, others in BESIDE.items():
+        taken = [overrides[c] for c in (canonical, *others) if c in overrides]
+        if taken:
+            words = dict.fromkeys((canonical, *dims.SYNONYMS[canonical]))
+            ways.append(F.when(key.isin(*words) & ~name.isin(taken), F.concat(F.lit(f"\x01{canonical}\x01"), key)))
+            rows += [(f"\x01{canonical}\x01{word}", beside(canonical), rank, False) for rank, word in enumerate(words)]
+    return F.explode(F.array_compact(F.array(*ways))), rows
+
+
 def find_columns(
     columns: DataFrame,
     keys: Sequence[str],
@@ -91,12 +117,10 @@ def find_columns(
     spark = columns.sparkSession
     synonyms = F.broadcast(dims.synonyms_df(spark))
     key = header_key(F.col(name))
-    if overrides:  # a column forced onto a field gets a key of its own, which ranks before all
-        forced = {actual: f"\x00{i}" for i, actual in enumerate(dict.fromkeys(overrides.values()))}
-        rows = [(forced[actual], canonical, -1, False) for canonical, actual in overrides.items()]
-        synonyms = F.broadcast(dims.synonyms_df(spark).union(spark.createDataFrame(rows, dims.synonyms_df(spark).schema)))
-        ways = F.array(key, F.try_element_at(literal_map(forced), F.col(name)))
-        key = F.explode(F.array_compact(ways))
+    if overrides:
+        key, rows = _forced(overrides, key, F.col(name))
+        known = dims.synonyms_df(spark)
+        synonyms = F.broadcast(known.union(spark.createDataFrame(rows, known.schema)))
     keyed = columns.select(*keys, position, name, shape, key.alias("_key"))
     hits = keyed.join(synonyms, F.col("_key") == F.col("header_key"), "left")
 
@@ -153,11 +177,10 @@ IMAGE_IS_MEDIA = f"({shape_in('image', S.IMAGE_PATH)} OR NOT {shape_in('image',
 RULES = (
     Rule("R1", "vision_chat", found("image", "conversations"), f"if({IMAGE_IS_MEDIA}, 0.9D, 0.6D)",
          {"images": "image.name", "messages": "conversations.name"}),
-    Rule("R2", "image_text", found("image", "text") + " AND image.name <> text.name",
-         f"if({IMAGE_IS_MEDIA}, 0.85D, 0.55D)", names("image", "text"), IMAGE_TEXT_NOTE),
-    Rule("R3", "audio_text",
-         found("transcription") + f" AND {shape_in('audio', S.AUDIO_PATH, S.OBJECT)} AND audio.name <> transcription.name",
-         "0.9D", {"audio": "audio.name", "text": "transcription.name"}, AUDIO_TEXT_NOTE),
+    Rule("R2", "image_text", found("image", "text_beside"), f"if({IMAGE_IS_MEDIA}, 0.85D, 0.55D)",
+         {"image": "image.name", "text": "text_beside.name"}, IMAGE_TEXT_NOTE),
+    Rule("R3", "audio_text", found("transcription_beside") + f" AND {shape_in('audio', S.AUDIO_PATH, S.OBJECT)}",
+         "0.9D", {"audio": "audio.name", "text": "transcription_beside.name"}, AUDIO_TEXT_NOTE),
     Rule("R4", "sharegpt", shape_in("conversations", S.FROM_VALUE), "0.95D", names("conversations")),
     Rule("R5", "chatml", shape_in("conversations", S.ROLE_CONTENT), "0.95D", {"messages": "conversations.name"}),
     Rule("R6", "preference", found("chosen", "rejected", "prompt"), "0.95D", names("chosen", "rejected", "prompt")),
@@ -165,7 +188,7 @@ RULES = (
     Rule("R8", "kto", found("prompt", "completion") + f" AND {shape_in('label', S.BOOL, S.INT)}", "0.9D",
          names("prompt", "completion", "label")),
     Rule("R9", "alpaca", found("instruction", "output"), "0.95D",
-         {**names("instruction", "output"), "input": "if(input.name NOT IN (instruction.name, output.name), input.name, NULL)"}),
+         {**names("instruction", "output"), "input": "input_beside.name"}),
     Rule("R10", "prompt_completion", found("prompt", "completion"), "0.9D", names("prompt", "completion")),
     Rule("R11", "embedding_pairs", "anchor.name <> positive.name", "0.8D", names("anchor", "positive"), PAIRS_NOTE),
     Rule("R12", "grpo", found("prompt") + " AND n_columns <= 2", "0.6D", names("prompt"), GRPO_NOTE),
@@ -190,7 +213,13 @@ def classify(found_columns: DataFrame, keys: Sequence[str]) -> DataFrame:
     branches = " ".join(f"WHEN {r.guard} THEN {_verdict(r)}" for r in RULES)
     tasks = F.from_json(F.lit(json.dumps(dims.formats_to_tasks())), "map<string,array<string>>")
     note = F.replace("_v.note", F.lit(COLUMN_SLOT), F.coalesce("text_column", F.lit("")))
-    fields = [F.try_element_at("fields", F.lit(canonical)).alias(canonical) for canonical in dims.SYNONYMS]
+    def pick(canonical: str) -> Column:
+        return F.try_element_at("fields", F.lit(canonical))
+
+    fields = [pick(canonical).alias(canonical) for canonical in dims.SYNONYMS]
+    for canonical, others in BESIDE.items():
+        taken = pick(canonical)["name"].isin(*[pick(c)["name"] for c in others])
+        fields.append(F.when(taken, pick(beside(canonical))).otherwise(pick(canonical)).alias(beside(canonical)))
     flat = found_columns.select(*keys, "n_columns", "n_text_columns", "text_column", *fields)
     return flat.select(*keys, "text_column", F.expr(f"CASE {branches} END").alias("_v")).select(
         *keys, "_v.rule", "_v.format", "_v.confidence", "_v.mapping",

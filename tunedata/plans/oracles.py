@@ -203,6 +203,23 @@ WITH syn(canonical, word, rank) AS (VALUES {SYNONYM_ROWS}),
      v AS (SELECT dataset, {_case(0)} AS rule, {_case(1)} AS format, {_case(3)} AS confidence, {_case(4)} AS mapping
            FROM n LEFT JOIN picks USING (dataset))
 """
+# fields set by hand: text and label are looked up beside the column that image was given
+SET_BY_HAND = VERDICTS.replace(
+    "FROM h JOIN syn ON word = header_key),",
+    """FROM (SELECT dataset, canonical, name, sample, rank, pos FROM h JOIN syn ON word = header_key
+                UNION ALL SELECT dataset, 'image', name, sample, -1, pos FROM h WHERE name = 'text'
+                UNION ALL SELECT dataset, 'label', name, sample, -1, pos FROM h WHERE name = 'score'
+                UNION ALL SELECT dataset, 'text_beside', name, sample, rank, pos FROM h JOIN syn ON word = header_key
+                    WHERE canonical = 'text' AND name <> 'text')),""",
+).replace(
+    "picks AS (SELECT dataset,", "picks AS (SELECT dataset, max(name) FILTER (canonical = 'text_beside') AS c_beside,"
+)
+BESIDE = "(CASE WHEN c_text = c_image THEN c_beside ELSE c_text END)"
+SET_BY_HAND = SET_BY_HAND.replace("c_image IS NOT NULL AND c_text IS NOT NULL", f"c_image IS NOT NULL AND {BESIDE} IS NOT NULL").replace(
+    "|| ';text=' || c_text THEN", f"|| ';text=' || {BESIDE} THEN"
+)
+SET_BY_HAND = SET_BY_HAND.replace("'image=' || c_image || ';text=' || c_text", f"'image=' || c_image || ';text=' || {BESIDE}")
+ORACLES["detect_with_overrides"] = SET_BY_HAND + "SELECT dataset, rule, format, confidence, mapping FROM v"
 ORACLES["detect_catalog"] = VERDICTS + "SELECT dataset, rule, format, confidence, mapping FROM v"
 LABEL_ROWS = ", ".join(f"({lit(f)}, {lit(label)})" for f, label in dims.FORMAT_LABELS.items())
 ORACLES["detected_labels"] = VERDICTS + f"""

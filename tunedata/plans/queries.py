@@ -205,11 +205,11 @@ def kto_field_quality(spark, sf):
 # --- detection --------------------------------------------------------------------------------
 
 
-def _catalog_verdicts(spark, sf):
+def _catalog_verdicts(spark, sf, **lookup):
     is_text = F.col("sample").startswith("t:")
     value = F.substr("sample", F.lit(3))
     coded = F.when(is_text, shape_of(value, T.StringType())).otherwise(F.col("sample"))
-    return detect_columns(A.headers(spark, sf).withColumn("shape", coded), ["dataset"])
+    return detect_columns(A.headers(spark, sf).withColumn("shape", coded), ["dataset"], **lookup)
 
 
 @query
@@ -218,6 +218,16 @@ def detect_catalog(spark, sf):
     return v.select("dataset", "rule", "format", "confidence", map_text(F.col("mapping")).alias("mapping"))
 
 
+OVERRIDES = {"image": "text", "label": "score"}
+
+
+@query
+def detect_with_overrides(spark, sf):
+    """The catalog with two fields set by hand, in whatever datasets have such columns."""
+    v = _catalog_verdicts(spark, sf, overrides=OVERRIDES)
+    return v.select("dataset", "rule", "format", "confidence", map_text(F.col("mapping")).alias("mapping"))
+
+
 @query
 def detected_labels(spark, sf):
     labelled = with_label(_catalog_verdicts(spark, sf).select("format"))
