@@ -12,7 +12,6 @@ rows; counts and semi-joins are Spark's, on one row for each block and distinct
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,6 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tunedata.llm import bytes_ as B
 from tunedata.llm.tables import dropped, saved, table, text_of
@@ -31,7 +29,9 @@ LONGEST = 5
 LEAST_COUNT = 100
 TOP = 2000
 NO_LANG = "und"
-BLOCK_BYTES = (4 << 20) - (64 << 10)
+BLOCK_BYTES = 32 << 20
+# a code of a block as one number: the task, its block, the code
+CODE_BITS, BLOCK_BITS = 24, 14
 PIECE_ENDS = bytes(map(ord, ".,;:!?\n\x0b\x0c\r"))
 ENDS_PIECE = B.class_table(PIECE_ENDS)
 BREAKS = B.class_table(PIECE_ENDS + b" \t")
@@ -40,6 +40,12 @@ SALTS = 64
 # steps, codes: the occurrences; first, second, n: what a code stands for, and how often it occurs
 RELATION = "block long, lang string, steps binary, codes binary, first binary, second binary, n binary"
 CODEC = "zstd"
+OUT_ROWS = 1 << 16
+
+# steps, codes: the occurrences; first, second, n: what a code stands for, and how often it occurs
+RELATION = "block long, lang string, steps binary, codes binary, first binary, second binary, n binary"
+CODEC = "zstd"
+OUT_ROWS = 1 << 16
 # Two primes whose product stays within 63 bits: they spread pairs of numbers over the bit table.
 SPREAD = (1_073_741_789, 2_147_483_647)
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
@@ -93,12 +99,50 @@ def piece_cut(text: bytes, limit: int) -> Iterator[bytes]:
 
 def _block_id(n: int) -> int:
     """A number no other task gives."""
-    return (TaskContext.get().partitionId() << 33) + n
+    if n >> BLOCK_BITS:
+        raise ValueError("a task has too many blocks")
+    return (TaskContext.get().partitionId() << BLOCK_BITS) + n
 
 
 # --- R1 --------------------------------------------------------------------------------------
 
 
+class _Gathering:
+    """The words of one language in one block, slice by slice."""
+
+    def __init__(self) -> None:
+        self.hashes, self.words, self.codes, self.places = [], [], [], []
+        self.size = self.place = self.known = 0
+
+    def add(self, pieces: list[bytes]) -> None:
+        words = B.Words(pieces, BREAKS, lower=True)
+        self.size += sum(map(len, pieces))
+        if not len(words):
+            return
+        piece = np.cumsum(ENDS_PIECE[words.blob], dtype=np.int32)[words.start]
+        steps = 1 + (np.diff(piece, prepend=piece[0] - 1) != 0)
+        codes, found = pd.factorize(words.hashes())
+        example = np.empty(found.size, np.int64)
+        example[codes] = np.arange(codes.size)
+        self.hashes.append(found)
+        self.words += words.text(example)
+        self.codes.append(codes + self.known)
+        self.places.append(self.place + np.cumsum(steps))
+        self.place, self.known = int(self.places[-1][-1]), self.known + found.size
+
+    def rows(self, block: int, lang: str) -> Iterator[pa.RecordBatch]:
+        if not self.codes:
+            return
+        merged, found = pd.factorize(np.concatenate(self.hashes))
+        if found.size >> CODE_BITS:
+            raise ValueError("a block has too many words")
+        example = np.empty(found.size, np.int64)
+        example[merged] = np.arange(merged.size)
+        codes = merged[np.concatenate(self.codes)]
+        words = b"\n".join([self.words[i] for i in example.tolist()])
+        yield _row(block, lang, np.concatenate(self.places), codes, b"", _compressed(words), np.bincount(codes))
+
+
 def word_blocks(docs: DataFrame, lang: str = "lang") -> DataFrame:
     """The relation of all word occurrences; `second` holds the words of the block by code.
 
@@ -106,25 +150,25 @@ def word_blocks(docs: DataFrame, lang: str = "lang") -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        n, open_ = 0, {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for owners, pieces in B.slices(B.texts(batch.column(1)), BLOCK_BYTES, piece_cut):
+            for owners, pieces in B.slices(B.texts(batch.column(1)), cutter=piece_cut):
                 by_lang: dict[str, list[bytes]] = {}
                 for row, piece in zip(owners, pieces, strict=True):
                     by_lang.setdefault(langs[row], []).append(piece)
                 for name, mine in by_lang.items():
-                    words = B.Words(mine, BREAKS, lower=True)
-                    if not len(words):
-                        continue
-                    piece = np.cumsum(ENDS_PIECE[words.blob], dtype=np.int32)[words.start]
-                    places = np.arange(len(words)) + np.cumsum(np.diff(piece, prepend=piece[:1]) != 0)
-                    codes, example = words.distinct()
-                    yield _row(_block_id(n), name, places, codes, b"", _compressed(b"\n".join(words.text(example))), np.bincount(codes))
-                    n += 1
+                    block = open_.setdefault(name, _Gathering())
+                    block.add(mine)
+                    if block.size >= BLOCK_BYTES:
+                        yield from open_.pop(name).rows(_block_id(n), name)
+                        n += 1
+        for name, block in open_.items():
+            yield from block.rows(_block_id(n), name)
+            n += 1
 
     chosen = docs.select(F.coalesce(docs[lang].cast("string"), F.lit(NO_LANG)).alias("lang"), text_of(docs).alias("text"))
-    return chosen.mapInArrow(read, RELATION)
+    return chosen.mapInArrow(B.freed(read), RELATION)
 
 
 # --- from Rk to Rk+1 -----------------------------------------------------------------------------
@@ -133,15 +177,15 @@ def word_blocks(docs: DataFrame, lang: str = "lang") -> DataFrame:
 def _joined(places: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Merge-join of a sorted relation with itself at the next place: places, codes, and per code left, right, count."""
     at = np.flatnonzero(places[1:] == places[:-1] + 1)
-    pairs = codes[at].astype(np.int64) * max(1, ids.size) + codes[at + 1]
-    found, n = pd.factorize(pairs), ids.size
-    left, right = np.divmod(found[1], max(1, n))
-    return places[at], found[0], ids[left], ids[right], np.bincount(found[0], minlength=left.size)
+    size = max(1, ids.size)
+    codes, found = pd.factorize(codes[at].astype(np.int64) * size + codes[at + 1])
+    left, right = np.divmod(found, size)
+    return places[at], codes, ids[left], ids[right], np.bincount(codes, minlength=left.size)
 
 
 def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rk+1 with its candidate pairs, from Rk and (block, code, id) of its frequent phrases."""
-    by_block = kept.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("kept"))  # as many as a block has codes
+    """Rk+1 with its candidate pairs, from Rk and (at, id) of the codes whose phrase is frequent."""
+    by_block = kept.groupBy(F.shiftright("at", CODE_BITS).alias("block")).agg(F.collect_list(F.struct("at", "id")).alias("kept"))
     both = relation.select("block", "lang", "steps", "codes").join(by_block, "block").select("block", "lang", "steps", "codes", "kept")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +193,7 @@ def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 block, lang, steps, codes = (batch.column(c)[i].as_py() for c in range(4))
                 held = batch.column(4)[i].values
-                code, ids = held.field(0).to_numpy(), held.field(1).to_numpy()
+                code, ids = held.field(0).to_numpy() & ((1 << CODE_BITS) - 1), held.field(1).to_numpy()
                 codes, places = _unpacked(codes), np.cumsum(_unpacked(steps))
                 new = np.full(max(int(codes.max(initial=0)), int(code.max(initial=0))) + 1, -1, np.int32)
                 new[code] = np.arange(code.size, dtype=np.int32)
@@ -159,21 +203,39 @@ def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
                 if places.size:
                     yield _row(block, lang, places, codes, _packed(left, "<i8"), _packed(right, "<i8"), n)
 
-    return both.mapInArrow(step, RELATION)
+    return both.mapInArrow(B.freed(step), RELATION)
 
 
 def _by_code(relation: DataFrame, words: bool) -> DataFrame:
-    """(first, second, n): a row for each block and code; a language and a word, or two ids."""
+    """(first, second, at, n): a row for each block and code; `first` and `second` are a language and a word, or two ids."""
     kind = "string" if words else "long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, one, two, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                block, lang, one, two, n = (c[i].as_py() for c in batch.columns)
                 first, second = _parts(one, two, words)
                 first = pa.array(np.full(len(second), lang, object), pa.string()) if words else first
-                yield pa.RecordBatch.from_arrays([first, second, pa.array(_unpacked(n).astype(np.int64))], ["first", "second", "n"])
+                at = pa.array((block << CODE_BITS) + np.arange(len(second)))
+                out = pa.RecordBatch.from_arrays([first, second, at, pa.array(_unpacked(n).astype(np.int64))], ["first", "second", "at", "n"])
+                for k in range(0, out.num_rows, OUT_ROWS):
+                    yield out.slice(k, OUT_ROWS)
 
-    return relation.select("lang", "first", "second", "n").mapInArrow(read, f"first {kind}, second {kind}, n long")
+    return relation.select("block", "lang", "first", "second", "n").mapInArrow(B.freed(read), f"first {kind}, second {kind}, at long, n long")
+
+
+def _frequent(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The codes (at, id) whose group occurs `least` times, and the groups (id, first, second, f).
+
+    One shuffle brings the codes of a group together, a row for each block that has it. The group's id
+    is its least code.
+    """
+    group = W.partitionBy("first", "second")
+    known = rows.select("first", "second", "at", F.sum("n").over(group).alias("f"), F.min("at").over(group).alias("id"))
+    first = F.col("at") == F.col("id")  # the group is described once
+    kept = known.where(F.col("f") >= least).select("at", "id", *[F.when(first, F.col(c)).alias(c) for c in ("first", "second", "f")])
+    kept = saved(kept, "phrase-codes")
+    return kept, kept.where(first).drop("at")
 
 
 def _totals(relation: DataFrame) -> DataFrame:
@@ -187,61 +249,6 @@ def _totals(relation: DataFrame) -> DataFrame:
     return relation.select("lang", "n").mapInArrow(read, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def _frequent(rows: DataFrame, least: int) -> DataFrame:
-    """(id, first, second, f) of the groups that occur `least` times."""
-    counted = rows.groupBy("first", "second").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return saved(counted.withColumn("id", F.monotonically_increasing_id()), "phrase-groups")
-
-
-def _spots(groups: DataFrame) -> Column:
-    """A number for each group, as `_spots_of` makes it."""
-    if isinstance(groups.schema["first"].dataType, T.StringType):
-        return F.crc32(F.concat("first", "second").cast("binary"))
-    return F.pmod("first", F.lit(SPREAD[0])) * SPREAD[1] + F.pmod("second", F.lit(SPREAD[1]))
-
-
-def _spots_of(lang: str, first: pa.Array | None, second: pa.Array) -> np.ndarray:
-    if first is None:
-        start = zlib.crc32(lang.encode())
-        return np.fromiter((zlib.crc32(w.encode(), start) for w in second.to_pylist()), np.int64, len(second))
-    return first.to_numpy() % SPREAD[0] * SPREAD[1] + second.to_numpy() % SPREAD[1]
-
-
-def kept_codes(relation: DataFrame, groups: DataFrame, words: bool) -> DataFrame:
-    """(block, code, id) of the codes whose group is frequent.
-
-    A bit table of the frequent groups, of at most 16 MB, drops nearly all other rows before the join; a
-    fuller table would let more rows through, and the join is exact in any case.
-    """
-    spark = relation.sparkSession
-    size = LEAST_BITS
-    while size < min(MOST_BITS, 16 * groups.count()):
-        size *= 2
-    spot = F.pmod(_spots(groups), F.lit(size))
-    bits = groups.select(spot.alias("spot")).selectExpr("spot div 64 AS word", "shiftleft(1L, cast(spot % 64 AS int)) AS bit")
-    table_ = np.zeros(size // 64, np.int64)
-    for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        table_[r.word] = r.bits
-    shared = spark.sparkContext.broadcast(table_)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, lang, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first, second = _parts(one, two, words)
-                spot = _spots_of(lang, first, second) % size
-                hit = np.flatnonzero((shared.value[spot // 64] >> (spot % 64)) & 1)
-                if hit.size:
-                    first = pa.array(np.full(hit.size, lang, object), pa.string()) if words else first.take(hit)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(hit.size, block)), pa.array(hit.astype(np.int32)), first, second.take(hit)],
-                        ["block", "code", "first", "second"],
-                    )
-
-    kind = groups.schema["first"].dataType.simpleString()
-    likely = relation.select("block", "lang", "first", "second").mapInArrow(read, f"block long, code int, first {kind}, second {kind}")
-    return likely.join(groups.select("first", "second", "id"), ["first", "second"]).select("block", "code", "id")
-
-
 def _described(groups: DataFrame, shorter: DataFrame) -> DataFrame:
     """Words and counts of longer phrases, from the phrases of one word less at either end."""
     left = shorter.select(F.col("id").alias("first"), "lang", "words", "heads")
@@ -287,21 +294,21 @@ def mine_phrases(
 
     A null language is `und` (together with texts so labelled); null, empty and wordless texts add
     nothing, repeated rows count each. Equal scores go by count, then phrase, so ties have one order.
-    Very long texts are cut between pieces into parts of about 4 MB. An empty table gives no rows.
+    Very long texts are cut between pieces into parts of about 2 MB. An empty table gives no rows.
     Other columns are not read.
     """
     words = saved(word_blocks(docs, lang), "phrase-words")
-    groups = _frequent(_by_code(words, True), least)
+    kept, groups = _frequent(_by_code(words, True), least)
     totals = _totals(words)
     phrases = groups.select("id", F.col("first").alias("lang"), "f", F.array("second").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails"))
-    relation, found, counted = words, [], [groups]
+    relation, found, counted = words, [], [kept]
     for _ in range(2, longest + 1):
-        longer = saved(extended(relation, kept_codes(relation, groups, relation is words)), "phrase-relation")
+        longer = saved(extended(relation, kept), "phrase-relation")
         if relation is not words:
             dropped(relation)
         relation = longer
-        groups = _frequent(_by_code(relation, False), least)
-        counted.append(groups)
+        kept, groups = _frequent(_by_code(relation, False), least)
+        counted.append(kept)
         phrases = saved(_described(groups, phrases), "phrase-found")
         found.append(phrases)
     dropped(relation)
