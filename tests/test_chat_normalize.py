@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tunedata import dims
 from tunedata.functions import chat
+from tunedata.operators.chats import chat_pieces, count_chats
 from tunedata.operators.detect import Detection, detect
 from tunedata.operators.normalize import check_compatible, field_quality, is_compatible, normalize
 
@@ -208,24 +209,69 @@ def test_llama3_tool_calls_and_results(spark):
     assert render(spark, [("user", "u", None), ("assistant", "c", [call, call])], ddl) == "<|user|>\nu\n<|assistant|>\nc\n"
 
 
-def test_parts_of_a_chat_join_to_the_whole(spark):
-    messages = [("system", "s")] + [("user", f"u{i}") for i in range(5)]
-    parts = [(0, messages[:2]), (1, messages[2:4]), (2, messages[4:])]
-    df = spark.createDataFrame(parts, f"part int, m {RC}")
-    renderer = chat.llama3(date_string="26 Jul 2024", continued=F.col("part") > 0)
-    got = df.orderBy("part").select(chat.render_chat(F.col("m"), df.schema["m"].dataType, renderer).alias("t"), chat.render_generic(F.col("m")).alias("g")).collect()
-    assert "".join(r.t for r in got) == render(spark, messages)
-    whole = spark.createDataFrame([(messages,)], f"m {RC}").select(chat.render_generic(F.col("m"))).first()[0]
-    assert "".join(r.g for r in got) == whole
-
-
-def test_tools_go_into_the_first_part_only(spark):
-    tools = [{"name": "f"}]
-    messages = [("system", "s"), ("user", "a"), ("assistant", "b"), ("user", "c")]
-    df = spark.createDataFrame([(0, messages[:2]), (1, messages[2:])], f"part int, m {RC}")
-    renderer = chat.llama3(date_string="26 Jul 2024", tools=tools, continued=F.col("part") > 0)
-    got = df.orderBy("part").select(chat.render_chat(F.col("m"), df.schema["m"].dataType, renderer)).collect()
-    assert "".join(r[0] for r in got) == render(spark, messages, tools=tools)
+CHATS = {
+    1: [("system", "s"), ("user", "u1"), ("assistant", "a1"), ("user", "u2"), ("assistant", "a2")],
+    2: [("user", "only")],
+    3: [("system", " alone ")],
+    4: [("user", "a"), ("tool", "b"), ("user", "c"), ("assistant", "d")],
+    None: [("user", "x"), ("assistant", "y"), ("user", "z")],
+    5: [("user", "a"), (None, "no role"), ("user", "c")],
+}
+
+
+def turns(spark):
+    """Turn numbers start anywhere and skip: a first block may hold one turn only."""
+    rows = [(k, 1 + 3 * k0 + i + (i > 1), r, t) for k0, (k, chat_) in enumerate(CHATS.items()) for i, (r, t) in enumerate(chat_)]
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+
+
+@pytest.mark.parametrize("size", [1, 2, 100])
+def test_texts_of_pieces_join_to_the_whole(spark, size):
+    pieces = chat_pieces(turns(spark), size=size)
+    place, tools, date = chat.Place.of("place"), [{"name": "f"}], "26 Jul 2024"
+    whole = spark.createDataFrame([(k, m) for k, m in CHATS.items()], f"conv_id long, messages {RC}")
+    found = Detection("chatml", 0.95, {"messages": "messages"})
+    question = F.lit("q?")
+
+    def texts(df, place, keep):
+        asked = None if place is None else place.with_question()
+        return {
+            "plain": normalize(df, found, "sft", None, keep),
+            "llama3": normalize(df, found, "sft", chat.llama3(date_string=date, place=place), keep),
+            "tools": normalize(df, found, "sft", chat.llama3(date_string=date, tools=tools, place=place), keep),
+            "prompt": df.select(*keep, chat.build_prompt(F.col("messages"), question, chat.llama3(date_string=date, add_generation_prompt=True, place=asked), place).alias("text")),
+            "bare": df.select(*keep, chat.build_prompt(F.col("messages"), question, place=place).alias("text")),
+        }
+
+    want = texts(whole, None, ["conv_id"])
+    for name, df in texts(pieces, place, ["conv_id", "piece"]).items():
+        joined = {}
+        for r in sorted(df.collect(), key=lambda r: (repr(r.conv_id), r.piece)):
+            joined[r.conv_id] = joined.get(r.conv_id, "") + r.text
+        expected = {r.conv_id: r.text for r in want[name].collect()}
+        if name == "prompt":  # a role that is null: the whole chat falls back
+            assert joined[5] == expected[5] == "a\nno role\nc\nq?"
+        assert joined == expected, name
+
+
+def test_images_and_counts_go_by_chat(spark):
+    pieces = chat_pieces(turns(spark), size=2)
+    place = chat.Place.of("place")
+    df = pieces.withColumn("image", F.when(place.starts, F.concat(F.lit("i"), F.coalesce(F.col("conv_id").cast("string"), F.lit("-")))))
+    out = normalize(df, Detection("vision_chat", 0.9, {"images": "image", "messages": "messages"}), "vlm_sft", keep=["conv_id", "piece"])
+    rows = sorted(out.collect(), key=lambda r: (repr(r.conv_id), r.piece))
+    assert all((r.images is not None) == (r.piece == 0) for r in rows) and len(rows) > len(CHATS)
+    for k, messages in CHATS.items():
+        assert [(m.role, m.content) for r in rows if r.conv_id == k for m in r.messages] == messages
+    assert pieces.agg(count_chats().alias("n")).first().n == len(CHATS)
+
+
+def test_the_text_of_a_chat_moves_once(spark, tmp_path):
+    turns(spark).write.parquet(str(tmp_path / "turns"))
+    pieces = chat_pieces(spark.read.parquet(str(tmp_path / "turns")))
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning(_key" in x and "_block" not in x.split("),")[0]]
+    assert len(moved) == 1  # the one-row-a-block side only
 
 
 def test_prompt_building(spark):

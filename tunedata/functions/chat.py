@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -127,6 +128,33 @@ def _header(role: Column) -> Column:
     return F.concat(F.lit(HEADER_OPEN), role, F.lit(HEADER_CLOSE))
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where a piece lies in its chat: `offset` turns come before it, of `total`; whether the chat opens
+    with a system turn, and whether all its turns have a role (`sound`)."""
+
+    offset: Column
+    total: Column
+    system_first: Column
+    sound: Column
+
+    @classmethod
+    def of(cls, name: str) -> Place:
+        """From a column with these four fields."""
+        return cls(*[F.col(name)[f] for f in ("offset", "total", "system_first", "sound")])
+
+    @property
+    def starts(self) -> Column:
+        return self.offset == 0
+
+    def ends(self, messages: Column) -> Column:
+        return self.offset + F.size(messages) >= self.total
+
+    def with_question(self) -> Place:
+        """The place of the piece in a chat that one more turn ends."""
+        return replace(self, total=self.total + 1)
+
+
 def render_llama3(
     messages: Column,
     messages_type: T.DataType = TEXT_MESSAGES,
@@ -135,13 +163,13 @@ def render_llama3(
     add_generation_prompt: bool | Column = False,
     tools: Sequence[dict] | None = None,
     tools_in_user_message: bool = True,
-    continued: Column | None = None,
+    place: Place | None = None,
 ) -> Column:
     """Llama-3 chat layout; null where the layout rejects the row (see `render_chat`).
 
     `date_string` is a parameter, never the clock, so a rerun gives the same rows. `tools` is a
-    job constant and is serialised once, on the driver. Where `continued` is true the list
-    carries on an earlier part of one chat, and the opening blocks are left out.
+    job constant and is serialised once, on the driver. `place` says which piece of a longer chat
+    the list is: the texts of the pieces of a chat join to the text of the whole.
     """
     element = messages_type.elementType
     fields = set(element.names) if isinstance(element, T.StructType) else {"role", "content"}
@@ -155,8 +183,8 @@ def render_llama3(
 
     first = F.get(messages, F.lit(0))
     opens_with_system = F.coalesce(first["role"] == "system", F.lit(False))
-    if continued is not None:
-        opens_with_system = opens_with_system & ~continued
+    if place is not None:
+        opens_with_system = opens_with_system & place.starts
     rest = F.when(opens_with_system, F.slice(messages, 2, F.greatest(F.size(messages), F.lit(1)))).otherwise(messages)
     valid = F.size(messages) > 0
 
@@ -171,16 +199,21 @@ def render_llama3(
         F.lit(END_OF_TURN),
     )
     if has_tools and tools_in_user_message:
-        starts = F.lit(True) if continued is None else ~continued
-        valid = valid & (~starts | (F.size(rest) > 0))
-        opening = F.concat(
-            opening,
+        # the tools go into the first message that is not the system's, wherever that lies
+        here, some = F.size(rest) > 0, F.size(rest) > 0
+        if place is not None:
+            here = (place.starts & here) | (place.system_first & (place.offset == 1))
+            some = place.total > place.system_first.cast("int")
+        valid = valid & some
+        given = F.concat(
             _header(F.lit("user")),
             F.lit(TOOLS_IN_USER + TOOLS_FORMAT + tool_text),
             content(F.get(rest, F.lit(0))),
             F.lit(END_OF_TURN),
         )
-        rest = F.when(starts, F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1)))).otherwise(rest)
+        rest = F.when(here, F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1)))).otherwise(rest)
+    else:
+        given, here = F.lit(""), F.lit(False)
 
     def is_result(m: Column) -> Column:
         return F.coalesce(m["role"].isin("ipython", "tool"), F.lit(False))
@@ -209,13 +242,14 @@ def render_llama3(
 
     turns = F.transform(rest, turn)
     valid = valid & ~F.exists(turns, lambda t: t.isNull())
-    if continued is not None:
-        opening = F.when(continued, "").otherwise(opening)
-    prompt = _header(F.lit("assistant"))
-    if isinstance(add_generation_prompt, bool):
-        closing = prompt if add_generation_prompt else F.lit("")
-    else:
-        closing = F.when(add_generation_prompt, prompt).otherwise("")
+    opening_here = F.lit(True)
+    if place is not None:
+        opening_here, valid = place.starts, valid & place.sound
+    opening = F.concat(F.when(opening_here, opening).otherwise(""), F.when(here, given).otherwise(""))
+    asked = F.lit(add_generation_prompt) if isinstance(add_generation_prompt, bool) else add_generation_prompt
+    if place is not None:
+        asked = asked & place.ends(messages)
+    closing = F.when(asked, _header(F.lit("assistant"))).otherwise("")
     return F.when(valid, F.concat(opening, F.array_join(turns, ""), closing))
 
 
@@ -235,11 +269,20 @@ def render_chat(
     return generic if template is None else F.coalesce(template(messages, messages_type), generic)
 
 
-def build_prompt(history: Column, user_message: Column, template: Renderer | None = None) -> Column:
+def build_prompt(
+    history: Column, user_message: Column, template: Renderer | None = None, place: Place | None = None
+) -> Column:
     """Text to complete: the history and a new user message, then the assistant's header.
 
     `template` must add the generation prompt; rows it rejects get the bare contents, one per line.
+    With `place` (of the history, and as `with_question` also in `template`) the history is one piece of
+    a longer chat: the question follows the last piece, and the texts of the pieces join to the whole.
     """
-    messages = F.concat(history, F.array(message("user", user_message)))
+    asked = F.array(message("user", user_message))
+    if place is not None:
+        asked = F.when(place.ends(history), asked).otherwise(F.slice(asked, 1, 0))
+    messages = F.concat(history, asked)
     bare = F.array_join(F.transform(messages, lambda m: m["content"]), "\n")
+    if place is not None:
+        bare = F.concat(bare, F.when(place.ends(history), "").otherwise("\n"))
     return bare if template is None else F.coalesce(template(messages, TEXT_MESSAGES), bare)

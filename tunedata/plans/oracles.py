@@ -9,6 +9,7 @@ from tunedata.functions import chat
 from tunedata.functions.text import WHITESPACE
 from tunedata.operators import logs as L
 from tunedata.operators.configs import BETA_TASKS
+from tunedata.operators.chats import TURNS_PER_PIECE
 from tunedata.plans import tables as A
 from tunedata.plans.queries import DATE, TOOLS
 
@@ -30,12 +31,16 @@ def strip(expr: str) -> str:
 
 
 # --- chats -----------------------------------------------------------------------------------
-PARTS = f"(SELECT *, turn // {A.TURNS_PER_PART} AS part FROM conversations)"
+def parts(size: int = TURNS_PER_PIECE) -> str:
+    return f"(SELECT *, turn // {size} - min(turn // {size}) OVER (PARTITION BY conv_id) AS piece, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)"
+
+
+PARTS = parts()
 
 
 def generic_chat(role: str) -> str:
-    return f"""SELECT conv_id, part, string_agg('<|' || {role} || '|>' || {NL} || text, {NL} ORDER BY turn) || {NL} AS text
-    FROM {PARTS} GROUP BY conv_id, part"""
+    return f"""SELECT conv_id, piece, string_agg('<|' || {role} || '|>' || {NL} || text, {NL} ORDER BY turn) || {NL} AS text
+    FROM {PARTS} GROUP BY conv_id, piece"""
 
 
 ORACLES["chatml_sft_text"] = generic_chat("role")
@@ -49,8 +54,12 @@ def header(role: str) -> str:
 EOT = lit(chat.END_OF_TURN)
 LLAMA_TURN = f"{header('role')} || {strip('text')} || {EOT}"
 SYSTEM_TEXT = f"coalesce(max(CASE WHEN turn = first_turn AND role = 'system' THEN {strip('text')} END), '')"
-LLAMA_REST = f"coalesce(string_agg(CASE WHEN NOT (part = 0 AND turn = first_turn AND role = 'system') THEN {LLAMA_TURN} END, '' ORDER BY turn), '')"
-ORDERED_PARTS = f"(SELECT *, min(turn) OVER (PARTITION BY conv_id, part) AS first_turn FROM {PARTS})"
+LLAMA_REST = f"coalesce(string_agg(CASE WHEN NOT (piece = 0 AND turn = first_turn AND role = 'system') THEN {LLAMA_TURN} END, '' ORDER BY turn), '')"
+def ordered_parts(size: int = TURNS_PER_PIECE) -> str:
+    return f"(SELECT *, min(turn) OVER (PARTITION BY conv_id, piece) AS first_turn FROM {parts(size)})"
+
+
+ORDERED_PARTS = ordered_parts()
 
 
 def opening(environment: str = "") -> str:
@@ -61,29 +70,37 @@ def opening(environment: str = "") -> str:
 
 
 def llama_chat(closing: str = "''", name: str = "text") -> str:
-    return f"""CASE WHEN part = 0 THEN {opening()} ELSE '' END || {LLAMA_REST} || {closing} AS {name}"""
+    return f"""CASE WHEN piece = 0 THEN {opening()} ELSE '' END || {LLAMA_REST} || {closing} AS {name}"""
 
 
-ORACLES["chatml_llama3_text"] = f"SELECT conv_id, part, {llama_chat()} FROM {ORDERED_PARTS} GROUP BY conv_id, part"
+ORACLES["chatml_llama3_text"] = f"SELECT conv_id, piece, {llama_chat()} FROM {ORDERED_PARTS} GROUP BY conv_id, piece"
+ORACLES["chatml_llama3_pieces"] = f"SELECT conv_id, piece, {llama_chat()} FROM {ordered_parts(3)} GROUP BY conv_id, piece"
 
 ASKED = "'And chat ' || conv_id || '? '"
 PROMPT_END = f"{header(lit('user'))} || {strip(ASKED)} || {EOT} || {header(lit('assistant'))}"
-ORACLES["chat_prompt_text"] = f"""
-SELECT conv_id, part, {llama_chat(PROMPT_END, "prompt")},
-       string_agg(text, {NL} ORDER BY turn) || {NL} || {ASKED} AS bare_prompt
-FROM {ORDERED_PARTS} GROUP BY conv_id, part"""
+
+
+def prompts(source: str) -> str:
+    at_end = "max(turn) = any_value(last)"
+    return f"""
+SELECT conv_id, piece, {llama_chat(f"CASE WHEN {at_end} THEN {PROMPT_END} ELSE '' END", "prompt")},
+       string_agg(text, {NL} ORDER BY turn) || {NL} || CASE WHEN {at_end} THEN {ASKED} ELSE '' END AS bare_prompt
+FROM {source} GROUP BY conv_id, piece"""
+
+
+ORACLES["chat_prompt_text"], ORACLES["chat_prompt_pieces"] = prompts(ORDERED_PARTS), prompts(ordered_parts(3))
 
 TOOL_TEXT = chat.TOOLS_IN_USER + chat.TOOLS_FORMAT + "".join(json.dumps(t, indent=4) + "\n\n" for t in TOOLS)
 # with tools, the first message after the system one is the user message the tools are put into
 ORACLES["chat_llama3_tools_text"] = f"""
-WITH t AS (SELECT *, part = 0 AND role = 'system' AND turn = first_turn AS is_system FROM {ORDERED_PARTS}),
+WITH t AS (SELECT *, piece = 0 AND role = 'system' AND turn = first_turn AS is_system FROM {ORDERED_PARTS}),
      n AS (SELECT *, CASE WHEN NOT is_system THEN row_number() OVER (PARTITION BY conv_id, is_system ORDER BY turn) END AS k FROM t)
-SELECT conv_id, part,
-       CASE WHEN part = 0 THEN {opening(chat.TOOLS_ENVIRONMENT)}
+SELECT conv_id, piece,
+       CASE WHEN piece = 0 THEN {opening(chat.TOOLS_ENVIRONMENT)}
        || {header(lit("user"))} || {lit(TOOL_TEXT)}
        || max(CASE WHEN k = 1 THEN {strip("text")} END) || {EOT} ELSE '' END
        || coalesce(string_agg(CASE WHEN k > 1 THEN {LLAMA_TURN} END, '' ORDER BY turn), '') AS text
-FROM n GROUP BY conv_id, part"""
+FROM n GROUP BY conv_id, piece"""
 
 EXCHANGES = """(SELECT u.conv_id, u.turn, u.text AS instruction, coalesce(s.text, '') AS input, a.text AS output
     FROM conversations u
@@ -121,9 +138,9 @@ ORACLES["audio_tts_rows"] = ORACLES["audio_stt_rows"] = (
 )
 ORACLES["image_ocr_rows"] = "SELECT doc_id, 'scan' || doc_id || '.png' AS image, text FROM documents"
 ORACLES["vision_chat_rows"] = f"""
-SELECT conv_id, part, 'img' || conv_id || '.png' AS images,
+SELECT conv_id, piece, 'img' || conv_id || '.png' AS images,
        string_agg(CASE role WHEN 'system' THEN 'user' ELSE role END || ':' || text, '|' ORDER BY turn) AS messages
-FROM {PARTS} GROUP BY conv_id, part"""
+FROM {PARTS} GROUP BY conv_id, piece"""
 ORACLES["kto_field_quality"] = """
 WITH r AS (SELECT nullif(source, 'src0') AS prompt, text AS completion FROM documents LEFT JOIN labels USING (doc_id))
 SELECT 'prompt' AS field, count(*) AS n_rows, count(*) FILTER (prompt IS NULL) AS n_null, count(*) FILTER (prompt = '') AS n_empty FROM r
@@ -283,7 +300,7 @@ ORACLES["detection_evidence"] = _evidence()
 ORACLES["detect_and_ingest"] = f"""
 SELECT count(*) AS n_rows, count(*) AS n_ingested, 'chatml' AS format, CAST(0.95 AS DOUBLE) AS confidence,
        'messages ← messages' AS mapping, {lit(dims.TASK_BY_ID["sft"].label)} AS tasks
-FROM (SELECT DISTINCT conv_id, part FROM {PARTS})"""
+FROM (SELECT DISTINCT conv_id FROM {PARTS})"""
 ORACLES["dataset_preview"] = """
 SELECT doc_id, left(text, 300) AS text, left(lang, 300) AS lang, left(source, 300) AS source, n_chars
 FROM documents ORDER BY doc_id LIMIT 8"""

@@ -16,6 +16,7 @@ from tunedata.operators import catalog as C
 from tunedata.operators import configs as R
 from tunedata.operators import datasets as D
 from tunedata.operators import logs as L
+from tunedata.operators.chats import count_chats
 from tunedata.operators.detect import (
     Detection,
     detect,
@@ -39,7 +40,8 @@ QUERIES: dict[str, Query] = {}
 
 DATE = "26 Jul 2024"
 TOOLS = [{"name": "search", "parameters": {"q": {"type": "string"}}}]
-CHAT = ("conv_id", "part")
+CHAT = ("conv_id", "piece")
+PLACE = chat.Place.of("place")
 
 
 def query(fn: Query) -> Query:
@@ -90,28 +92,41 @@ def chatml_sft_text(spark, sf):
 
 @query
 def chatml_llama3_text(spark, sf):
-    template = chat.llama3(date_string=DATE, continued=F.col("part") > 0)
-    return normalize(A.chats(spark, sf), CHATML, "sft", template, CHAT)
+    return normalize(A.chats(spark, sf), CHATML, "sft", chat.llama3(date_string=DATE, place=PLACE), CHAT)
 
 
 @query
-def chat_llama3_tools_text(spark, sf):
-    template = chat.llama3(date_string=DATE, tools=TOOLS, continued=F.col("part") > 0)
-    return normalize(A.chats(spark, sf), CHATML, "sft", template, CHAT)
+def chatml_llama3_pieces(spark, sf):
+    """The same in pieces of at most three turns."""
+    return normalize(A.chats(spark, sf, 3), CHATML, "sft", chat.llama3(date_string=DATE, place=PLACE), CHAT)
 
 
 @query
-def chat_prompt_text(spark, sf):
-    history = A.chats(spark, sf)
-    template = chat.llama3(date_string=DATE, add_generation_prompt=True, continued=F.col("part") > 0)
+def chat_llama3_tools_text(spark, sf):
+    return normalize(A.chats(spark, sf), CHATML, "sft", chat.llama3(date_string=DATE, tools=TOOLS, place=PLACE), CHAT)
+
+
+def _prompts(history: DataFrame) -> DataFrame:
+    template = chat.llama3(date_string=DATE, add_generation_prompt=True, place=PLACE.with_question())
     asked = F.concat(F.lit("And chat "), F.col("conv_id").cast("string"), F.lit("? "))
     return history.select(
         *CHAT,
-        chat.build_prompt(F.col("messages"), asked, template).alias("prompt"),
-        chat.build_prompt(F.col("messages"), asked).alias("bare_prompt"),
+        chat.build_prompt(F.col("messages"), asked, template, PLACE).alias("prompt"),
+        chat.build_prompt(F.col("messages"), asked, place=PLACE).alias("bare_prompt"),
     )
 
 
+@query
+def chat_prompt_text(spark, sf):
+    return _prompts(A.chats(spark, sf))
+
+
+@query
+def chat_prompt_pieces(spark, sf):
+    """The same in pieces of at most three turns: the question and the assistant's header end the last."""
+    return _prompts(A.chats(spark, sf, 3))
+
+
 @query
 def sharegpt_sft_text(spark, sf):
     return normalize(A.sharegpt_chats(spark, sf), SHAREGPT, "sft", keep=CHAT)
@@ -190,7 +205,7 @@ def image_ocr_rows(spark, sf):
 @query
 def vision_chat_rows(spark, sf):
     image = F.concat(F.lit("img"), F.col("conv_id").cast("string"), F.lit(".png"))
-    df = A.sharegpt_chats(spark, sf).withColumn("image", image)
+    df = A.sharegpt_chats(spark, sf).withColumn("image", F.when(PLACE.starts, image))  # once a chat
     found = Detection("vision_chat", 0.9, {"images": "image", "messages": "conversations"})
     out = normalize(df, found, "vlm_sft", keep=CHAT)
     return out.select(*CHAT, "images", messages_text(F.col("messages")).alias("messages"))
@@ -264,7 +279,7 @@ def detect_and_ingest(spark, sf):
     n, _, found = D.ingest(df.select("conv_id", "messages"), order_by=["conv_id"])
     card = report(found)
     return df.groupBy().agg(
-        F.count(F.lit(1)).alias("n_rows"),
+        count_chats().alias("n_rows"),
         F.lit(n).cast("bigint").alias("n_ingested"),
         F.lit(card["format"]).alias("format"),
         F.lit(card["confidence"]).alias("confidence"),

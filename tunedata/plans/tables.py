@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from tunedata import dims
 from tunedata.functions.text import div
+from tunedata.operators.chats import TURNS_PER_PIECE, chat_pieces
 
-# A conversation longer than this is carried on in further parts, each a row of its own.
-TURNS_PER_PART = 1024
 AS_OF = "2025-01-01 00:00:00"
 
 # Header layouts for catalog detection: (header, sample), a sample being a string value or the
@@ -60,24 +59,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- chats ---------------------------------------------------------------------------------
 
 
-def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, part, messages): role/content turns in order."""
-    turns = table(spark, sf_dir, "conversations")
-    part = div(F.col("turn"), TURNS_PER_PART)
-    grouped = turns.groupBy("conv_id", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_turns")
-    )
-    messages = F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
-    return grouped.select("conv_id", "part", messages.alias("messages"))
+def chats(spark: SparkSession, sf_dir: str, size: int = TURNS_PER_PIECE) -> DataFrame:
+    """(conv_id, piece, place, messages): role/content turns in order."""
+    return chat_pieces(table(spark, sf_dir, "conversations"), size=size)
 
 
 def sharegpt_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, part, conversations): the same as from/value turns; system turns come from a `tool`."""
+    """(conv_id, piece, place, conversations): the same as from/value turns; system turns come from a `tool`."""
     speaker = F.create_map(*map(F.lit, ("user", "human", "assistant", "gpt", "system", "tool")))
     turns = F.transform(
         "messages", lambda m: F.struct(F.element_at(speaker, m["role"]).alias("from"), m["content"].alias("value"))
     )
-    return chats(spark, sf_dir).select("conv_id", "part", turns.alias("conversations"))
+    return chats(spark, sf_dir).select("conv_id", "piece", "place", turns.alias("conversations"))
 
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
