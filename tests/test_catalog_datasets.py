@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -89,3 +90,19 @@ def test_pairs(spark):
     got = [tuple(r) for r in D.expand_pairs(df, "anchor", "pos", "neg", ["id"]).collect()]
     assert got == [(1, "a", "p", "n"), (1, "a", "q", None)]
     assert D.expand_pairs(df, "anchor", "pos").count() == 2
+
+
+def test_every_labelled_text_of_a_key_with_both_sides_is_paired(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "a", "a", None, "only good"]), f"t{i}", rng.choice([1, 0, 0, None])) for i in range(200)]
+    rows = [(i, k, t, 1 if k == "only good" else q) for i, k, t, q in rows] + [(500, "one", "x", 1), *[(600 + i, "one", f"y{i}", 0) for i in range(50)]]
+    df = spark.createDataFrame(rows, "id long, k string, text string, q int").repartition(4)
+    got = D.preference_pairs(df, ["k"], "id", "text", F.col("q") == 1).collect()
+    want = []
+    for key in ("a", None, "one"):
+        good = sorted(i for i, k, _, q in rows if k == key and q == 1)
+        bad = sorted(i for i, k, _, q in rows if k == key and q == 0)
+        want += [(key, n, good[n % len(good)], bad[n % len(bad)]) for n in range(max(len(good), len(bad)))]
+    assert sorted(((r.k, r.pair, r.chosen_id, r.rejected_id) for r in got), key=repr) == sorted(want, key=repr)
+    text = {i: t for i, _, t, _ in rows}
+    assert all(r.chosen == text[r.chosen_id] and r.rejected == text[r.rejected_id] for r in got)

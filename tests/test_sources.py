@@ -82,9 +82,9 @@ def test_caps(spark, tmp_path, cap, expected):
 @pytest.mark.parametrize("cap", [1, 9, 10, 11, 35, 40, 99])
 def test_large_caps_keep_scan_partitions(spark, cap):
     df = spark.range(0, 40, 1, 4).withColumn("x", F.col("id") * 2)
-    got = files._cap_by_partition(df, cap)
+    got = files.cap_rows(df, cap)
     assert [r.id for r in got.collect()] == list(range(min(cap, 40)))
-    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_part" not in got._jdf.queryExecution().executedPlan().toString()  # rows stay where they are
 
 
 def test_splits_prune_partitions(spark, tmp_path):
@@ -253,3 +253,17 @@ def test_config_values(spark):
         parse('{"batch_size":"many"}')
     with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
         parse('{"batch_size":')
+
+
+@pytest.mark.parametrize("n", [1, 9, 10, 35, 99, 100, 500])
+def test_a_cap_takes_the_first_rows_in_the_order_of_the_partitions(spark, n):
+    df = spark.range(0, 100, 1, 7).where("id % 3 <> 1")  # a partition keeps its place when rows are filtered
+    want = [r.id for r in df.collect()][:n]
+    got = files.cap_rows(df, n)
+    assert sorted(r.id for r in got.collect()) == sorted(want)
+
+
+def test_a_cap_keeps_all_columns(spark):
+    df = spark.createDataFrame([(1, "a", [1]), (2, None, None)], "_part int, `a.b` string, x array<int>")
+    got = files.cap_rows(df.coalesce(1), 1)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a", [1])]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunedata.functions.text import column, div
+from tunedata.operators.blocks import running_total
 from tunedata.operators.detect import Detection, detect
 
 PREVIEW_ROWS = 8
@@ -77,3 +78,37 @@ def expand_pairs(df: DataFrame, anchor: str, positives: str, negatives: str | No
         *keep, column(anchor).alias("anchor"), column(negatives).alias("_negatives"), F.posexplode(column(positives)).alias("_i", "positive")
     )
     return exploded.select(*keep, "anchor", "positive", F.get("_negatives", F.col("_i")).alias("negative"))
+
+
+def preference_pairs(rows: DataFrame, keys: Sequence[str], row_id: str, text: str, good: Column) -> DataFrame:
+    """Preference pairs of labelled texts -> keys, pair, chosen_id, rejected_id, chosen, rejected.
+
+    Within a key the good texts and the bad ones are numbered by `row_id`; the i-th goes with the i-th, and
+    the smaller side starts over when it is used up, so every text of a key that has both sides is in a
+    pair. Rows whose `good` is null take no part; keys may be null, ids are unique whole numbers.
+
+    Numbers come from counts per block of ids (see `blocks`) and only ids travel for them; a text is
+    fetched once its partner is known. A key with one text on its smaller side joins its whole larger
+    side to that one row, which adaptive execution splits.
+    """
+    labelled = rows.select(*keys, F.col(row_id).cast("bigint").alias("_id"), good.cast("boolean").alias("_good")).where(F.col("_good").isNotNull())
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    ids = labelled.select(key.alias("_key"), F.when(F.col("_good"), 1).otherwise(0).alias("_side"), "_id")
+    ranked = running_total(ids, ["_key", "_side"], ["_id"], F.lit(1), "_rank", exclusive=True)
+    sides = ids.groupBy("_key").agg(F.count_if(F.col("_side") == 1).alias("_n_good"), F.count_if(F.col("_side") == 0).alias("_n_bad"))
+    sides = sides.where((F.col("_n_good") > 0) & (F.col("_n_bad") > 0))
+    sized = ranked.join(sides, "_key")
+    larger_side = F.when(F.col("_n_good") >= F.col("_n_bad"), 1).otherwise(0)
+    larger = sized.where(F.col("_side") == larger_side).select(
+        "_key", "_side", "_id", F.col("_rank").alias("pair"), F.pmod("_rank", F.least("_n_good", "_n_bad")).alias("_slot")
+    )
+    smaller = sized.where(F.col("_side") != larger_side).select("_key", F.col("_rank").alias("_slot"), F.col("_id").alias("_other"))
+    met = larger.join(smaller, ["_key", "_slot"])
+    pairs = met.select(
+        "pair",
+        F.when(F.col("_side") == 1, F.col("_id")).otherwise(F.col("_other")).alias("chosen_id"),
+        F.when(F.col("_side") == 1, F.col("_other")).otherwise(F.col("_id")).alias("rejected_id"),
+    )
+    chosen = rows.select(F.col(row_id).cast("bigint").alias("chosen_id"), *keys, F.col(text).alias("chosen"))
+    rejected = rows.select(F.col(row_id).cast("bigint").alias("rejected_id"), F.col(text).alias("rejected"))
+    return pairs.join(chosen, "chosen_id").join(rejected, "rejected_id").select(*keys, "pair", "chosen_id", "rejected_id", "chosen", "rejected")

@@ -121,12 +121,17 @@ ORACLES["prompt_completion_sft_text"] = exchange_text("instruction")
 ORACLES["text_sft_rows"] = ORACLES["text_cpt_rows"] = "SELECT doc_id, text FROM documents"
 
 PREFERENCES = """
-WITH k AS (SELECT lang, source, min(doc_id) FILTER (quality = 1) AS good, min(doc_id) FILTER (quality = 0) AS bad
-           FROM documents JOIN labels USING (doc_id) GROUP BY lang, source)
-SELECT k.lang, g.text AS chosen, b.text AS rejected, {prompt}
-FROM k JOIN documents g ON g.doc_id = k.good JOIN documents b ON b.doc_id = k.bad"""
-ORACLES["preference_dpo_rows"] = PREFERENCES.format(prompt="k.source AS prompt")
-ORACLES["preference_orpo_rows_without_prompt"] = PREFERENCES.format(prompt="k.source AS source, '' AS prompt")
+WITH k AS (SELECT lang, source, quality, text, row_number() OVER (PARTITION BY lang, source, quality ORDER BY doc_id) - 1 AS i,
+                  count(*) OVER (PARTITION BY lang, source, quality) AS n FROM documents JOIN labels USING (doc_id)),
+     g AS (SELECT * FROM k WHERE quality = 1), b AS (SELECT * FROM k WHERE quality = 0)
+SELECT g.lang, greatest(g.i, b.i) AS pair, {chosen} AS chosen, {rejected} AS rejected, {prompt}
+FROM g JOIN b ON g.lang IS NOT DISTINCT FROM b.lang AND g.source IS NOT DISTINCT FROM b.source
+  AND CASE WHEN g.n >= b.n THEN b.i = g.i % b.n ELSE g.i = b.i % g.n END"""
+TEXTS = {"chosen": "g.text", "rejected": "b.text"}
+DIGESTS = {"chosen": "md5(g.text)", "rejected": "md5(b.text)"}
+ORACLES["preference_dpo_rows"] = PREFERENCES.format(prompt="g.source AS prompt", **TEXTS)
+ORACLES["preference_orpo_rows_without_prompt"] = PREFERENCES.format(prompt="g.source AS source, '' AS prompt", **TEXTS)
+ORACLES["preference_simpo_rows"] = PREFERENCES.format(prompt="g.source AS prompt", **DIGESTS)
 ORACLES["kto_rows"] = """SELECT doc_id, source AS prompt, text AS completion, quality <> 0 AS label
     FROM documents JOIN labels USING (doc_id)"""
 ORACLES["grpo_rows"] = "SELECT item_id, text AS prompt FROM benchmark"
@@ -312,6 +317,7 @@ BUCKET = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 1
 ORACLES["scan_split"] = f"SELECT doc_id, lang, md5(text) AS digest FROM documents WHERE {BUCKET} < 20"
 ORACLES["training_set_sink"] = """
 SELECT doc_id, source AS prompt, md5(text) AS digest, quality <> 0 AS label FROM documents JOIN labels USING (doc_id)"""
+ORACLES["capped_scan"] = "SELECT event_id, event_type FROM events LIMIT 700"  # files keep their order
 ORACLES["capped_rows"] = "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 500"
 ORACLES["nonblank_lines"] = f"""
 SELECT doc_id, count(*) AS n_lines

@@ -154,13 +154,19 @@ def text_cpt_rows(spark, sf):
 
 @query
 def preference_dpo_rows(spark, sf):
-    return normalize(A.preferences(spark, sf), PREFERENCE, "dpo", keep=["lang"])
+    return normalize(A.preferences(spark, sf), PREFERENCE, "dpo", keep=["lang", "pair"])
 
 
 @query
 def preference_orpo_rows_without_prompt(spark, sf):
     renamed = A.preferences(spark, sf).withColumnRenamed("prompt", "source")
-    return normalize(renamed, BARE_PREFERENCE, "orpo", keep=["lang", "source"])
+    return normalize(renamed, BARE_PREFERENCE, "orpo", keep=["lang", "source", "pair"])
+
+
+@query
+def preference_simpo_rows(spark, sf):
+    rows = normalize(A.preferences(spark, sf), PREFERENCE, "simpo", keep=["lang", "pair"])
+    return rows.select("lang", "pair", "prompt", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"))
 
 
 @query
@@ -375,6 +381,11 @@ def capped_rows(spark, sf):
     return capped.select("event_id", "event_type")
 
 
+@query
+def capped_scan(spark, sf):
+    return files.load_dataset(spark, f"{sf}/events.parquet", max_rows=700).select("event_id", "event_type")
+
+
 @query
 def nonblank_lines(spark, sf):
     lines = A.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tunedata import dims
 from tunedata.functions.text import div
 from tunedata.operators.chats import TURNS_PER_PIECE, chat_pieces
+from tunedata.operators.datasets import preference_pairs
 
 AS_OF = "2025-01-01 00:00:00"
 
@@ -102,16 +103,9 @@ def labelled(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
 
 
 def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(lang, prompt, chosen, rejected): per language and source the first good and the first bad
-    text. Ids are picked first, with two numbers of state per key; texts are then fetched by id."""
-    picked = labelled(spark, sf_dir).groupBy("lang", "source").agg(
-        F.min(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("good"),
-        F.min(F.when(F.col("quality") == 0, F.col("doc_id"))).alias("bad"),
-    ).where("good IS NOT NULL AND bad IS NOT NULL")
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = texts.select(F.col("doc_id").alias("good"), F.col("text").alias("chosen"))
-    bad = texts.select(F.col("doc_id").alias("bad"), F.col("text").alias("rejected"))
-    return picked.join(good, "good").join(bad, "bad").select("lang", F.col("source").alias("prompt"), "chosen", "rejected")
+    """(lang, prompt, pair, chosen, rejected): per language and source, every good text with a bad one."""
+    pairs = preference_pairs(labelled(spark, sf_dir), ["lang", "source"], "doc_id", "text", F.col("quality") == 1)
+    return pairs.select("lang", F.col("source").alias("prompt"), "pair", "chosen", "rejected")
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunedata.functions.text import column
+from tunedata.operators.blocks import running_total
 from tunedata.sources.session import case_sensitive
 
 SUFFIXES = ("jsonl", "json", "csv", "tsv", "parquet")
-# a `limit` gathers its rows in one partition, so larger caps keep the scan's partitions instead
-SMALL_CAP = 100_000
 
 
 def file_format(path: str) -> str:
@@ -110,9 +109,10 @@ def save_split(df: DataFrame, root: str, name: str, split: str = "train", config
 def cap_rows(df: DataFrame, max_rows: int | None, order_by: Sequence[str | Column] | None = None) -> DataFrame:
     """The first `max_rows` rows; none or 0 means all.
 
-    A large cap counts the rows of each scan partition, then keeps whole partitions up to the
-    one that reaches the cap: two numbers travel, the rows stay where they are read. This holds
-    for scans and row-wise work on them; after a shuffle, give `order_by`.
+    Without `order_by` rows count in the order of the scan's partitions: the rows of each partition are
+    counted, the counts summed up, and a row stays if fewer than `max_rows` come before it. One small row
+    per partition travels, the kept rows stay where they are read, and a larger cap keeps the rows of a
+    smaller one. This holds for scans and row-wise work on them; after a shuffle, give `order_by`.
     """
     if not max_rows:
         return df
@@ -120,23 +120,12 @@ def cap_rows(df: DataFrame, max_rows: int | None, order_by: Sequence[str | Colum
         raise ValueError("max_rows must not be negative")
     if order_by:
         return df.orderBy(*order_by).limit(max_rows)
-    if max_rows <= SMALL_CAP:
-        return df.limit(max_rows)
-    return _cap_by_partition(df, max_rows)
-
-
-def _cap_by_partition(df: DataFrame, max_rows: int) -> DataFrame:
-    place = F.monotonically_increasing_id()
-    part, offset = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = df.withColumn("_place", place)
-    left = max_rows
-    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part")
-    for row in counts.toLocalIterator():  # one small row per scan partition
-        if row.n >= left:
-            kept = (part < row.part) | ((part == row.part) & (offset < left))
-            return placed.where(kept).drop("_place")
-        left -= row.n
-    return df
+    place = F.monotonically_increasing_id()  # partition number, then the row's number in it
+    placed = df.select(F.struct("*").alias("_row"), F.shiftright(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
+    before = running_total(counts, ["_all"], ["_part"], F.col("_n"), "_before", exclusive=True)
+    kept = before.where(F.col("_before") < max_rows).select("_part", "_before")
+    return placed.join(kept, "_part").where(F.col("_before") + F.col("_at") < max_rows).select("_row.*")
 
 
 def write_training_set(df: DataFrame, path: str, task: str, format: str = "parquet") -> str:
