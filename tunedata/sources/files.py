@@ -125,6 +125,7 @@ def cap_rows(df: DataFrame, max_rows: int | None, order_by: Sequence[str | Colum
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
     before = running_total(counts, ["_all"], ["_part"], F.col("_n"), "_before", exclusive=True)
     kept = before.where(F.col("_before") < max_rows).select("_part", "_before")
+    kept = F.broadcast(kept)  # 16 bytes for each task that reads
     return placed.join(kept, "_part").where(F.col("_before") + F.col("_at") < max_rows).select("_row.*")
 
 
