@@ -137,13 +137,19 @@ def merge_maps(*maps: Column) -> Column:
     return F.map_concat(*kept, last)
 
 
-def with_task(runs: DataFrame, config: str = "run") -> DataFrame:
-    """Join each run to its task's registry row; a run of an unknown task, or of none, stops the job."""
+def with_task(runs: DataFrame, config: str = "run", strict: bool = True) -> DataFrame:
+    """Join each run to its task's registry row.
+
+    A run of an unknown task, or of none, stops the job; unless `strict`, it stays without task and
+    `refused` says why (null for all others).
+    """
     tasks = dims.tasks_df(runs.sparkSession)
     wanted = F.col(f"{config}.task")
     found = runs.join(F.broadcast(tasks), wanted == F.col("task"), "left")
-    refusal = F.raise_error(F.concat(F.lit("Unknown task: "), F.coalesce(wanted, F.lit("null"))))
-    return found.withColumn("defaults", F.coalesce("defaults", refusal))
+    reason = F.concat(F.lit("Unknown task: "), F.coalesce(wanted, F.lit("null")))
+    if strict:
+        return found.withColumn("defaults", F.coalesce("defaults", F.raise_error(reason)))
+    return found.withColumn("refused", F.when(F.col("defaults").isNull(), reason))
 
 
 def trainer_args(run: Column, task_defaults: Column) -> Column:
@@ -171,10 +177,17 @@ def trainer_args(run: Column, task_defaults: Column) -> Column:
     return F.map_filter(merge_maps(own, task_defaults, run["extra"]), lambda _, v: v.isNotNull())
 
 
-def build_trainer_args(runs: DataFrame, config: str = "run") -> DataFrame:
-    """Add `args`, the trainer arguments of every run."""
-    joined = with_task(runs, config)
-    return joined.select(*runs.columns, trainer_args(F.col(config), F.col("defaults")).alias("args"))
+def build_trainer_args(runs: DataFrame, config: str = "run", strict: bool = True) -> DataFrame:
+    """Add `args`, the trainer arguments of every run.
+
+    A run of an unknown task stops the job; unless `strict`, it is listed with null arguments and the
+    reason in `refused`.
+    """
+    joined = with_task(runs, config, strict)
+    built = trainer_args(F.col(config), F.col("defaults"))
+    if strict:
+        return joined.select(*runs.columns, built.alias("args"))
+    return joined.select(*runs.columns, F.when(F.col("refused").isNull(), built).alias("args"), "refused")
 
 
 def task_listing(spark) -> DataFrame:

@@ -488,9 +488,11 @@ WITH r AS (SELECT * FROM {RUNS} WHERE task <> 'no_such_task'),
            UNION ALL SELECT run_id, 'beta', '0.3', 2 FROM r WHERE note IS NOT NULL
            UNION ALL SELECT run_id, 'note', note, 2 FROM r WHERE note IS NOT NULL),
      w AS (SELECT run_id, arg, v FROM a QUALIFY row_number() OVER (PARTITION BY run_id, arg ORDER BY pr DESC) = 1)
-SELECT run_id, arg, TRY_CAST(v AS DOUBLE) AS number, CASE WHEN TRY_CAST(v AS DOUBLE) IS NULL THEN v END AS text FROM w"""
-ORACLES["trainer_arguments"] = ARGS
-ORACLES["accepted_arguments"] = ARGS + " WHERE run_id % 2 = 1 OR arg IN ('learning_rate', 'seed', 'beta')"
+SELECT run_id, arg, TRY_CAST(v AS DOUBLE) AS number, CASE WHEN TRY_CAST(v AS DOUBLE) IS NULL THEN v END AS text, NULL AS refused FROM w"""
+REFUSED = f"""
+UNION ALL SELECT run_id, NULL, NULL, NULL, 'Unknown task: ' || task FROM {RUNS} WHERE task = 'no_such_task'"""
+ORACLES["trainer_arguments"] = ARGS + REFUSED
+ORACLES["accepted_arguments"] = ARGS + " WHERE run_id % 2 = 1 OR arg IN ('learning_rate', 'seed', 'beta')" + REFUSED
 CARD_ROWS = ", ".join(
     f"({lit(t.id)}, {lit(t.label)}, {lit(t.trainer)}, {lit(t.config)}, {lit(', '.join(t.dataset_schema))}, {lit(t.notes)})"
     for t in dims.TASKS

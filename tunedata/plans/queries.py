@@ -580,28 +580,24 @@ def form_configs(spark, sf):
 
 
 def _arg_rows(df: DataFrame, args: str) -> DataFrame:
-    exploded = df.select("run_id", F.explode(args).alias("arg", "_value"))
+    """A row for each argument of each run, and one for a run that is refused."""
+    exploded = df.select("run_id", "refused", F.explode_outer(args).alias("arg", "_value"))
     number = F.when(F.col("_value").rlike("^[-+.0-9eE]+$"), F.col("_value").try_cast("double"))
     return exploded.select(
-        "run_id", "arg", number.alias("number"), F.when(number.isNull(), F.col("_value")).alias("text")
+        "run_id", "arg", number.alias("number"), F.when(number.isNull(), F.col("_value")).alias("text"), "refused"
     )
 
 
-def _runs_of_known_tasks(spark, sf):
-    """The operator refuses a run of an unknown task, which the made runs include."""
-    return _runs(spark, sf).where(F.col("run.task").isin([t.id for t in dims.TASKS]))
-
-
 @query
 def trainer_arguments(spark, sf):
-    return _arg_rows(R.build_trainer_args(_runs_of_known_tasks(spark, sf)), "args")
+    return _arg_rows(R.build_trainer_args(_runs(spark, sf), strict=False), "args")
 
 
 @query
 def accepted_arguments(spark, sf):
     accepted = F.when(F.col("run_id") % 2 == 0, F.array(*map(F.lit, ("learning_rate", "seed", "beta"))))
-    built = R.build_trainer_args(_runs_of_known_tasks(spark, sf))
-    return _arg_rows(built.select("run_id", R.only_accepted(F.col("args"), accepted).alias("args")), "args")
+    built = R.build_trainer_args(_runs(spark, sf), strict=False)
+    return _arg_rows(built.select("run_id", "refused", R.only_accepted(F.col("args"), accepted).alias("args")), "args")
 
 
 @query
