@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tunedata import dims
 from tunedata.functions import shapes as S
 from tunedata.functions.text import column, is_blank, literal_map, sql_text, strip
+from tunedata.sources.session import scratch_dir
 
 # --- fixed values -----------------------------------------------------------------------
 EMPTY_NOTE = "Dataset is empty."
@@ -353,34 +354,28 @@ def evidence(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def shape_census(lines: DataFrame, value: str = "value", row_id: str = "row_id") -> DataFrame:
     """Group ragged JSON rows by their set of keys, count them and detect each group.
 
-    Rows are read as maps, since a reader with columns fills absent keys with nulls.
-    Rows are first counted per (keys, shapes) with fixed-width state, so one dominant shape is
-    combined map-side; what is left grows with the variety of rows, not with their number.
+    Rows are read as maps, since a reader with columns fills absent keys with nulls. Two phases: all rows
+    are counted by their list of keys, which needs no look at a value; the shapes of values are read in
+    the first row of each group only, found by its id (ids are unique). What moves grows with the variety
+    of rows, not with their number; the groups go through the shared folder, so that Spark knows their
+    size when it joins.
     Returns key_set (sorted keys as JSON), n_rows, first_row, and the detection of the first row.
     Lines that are no JSON object have a null key_set and format `malformed`.
     """
-    cells = F.from_json(F.col(value), "map<string,variant>")
-    coded = lines.where(~F.coalesce(is_blank(F.col(value)), F.lit(False))).select(
-        F.col(row_id).alias("_id"), cells.alias("_cells")
-    )
-    coded = coded.select(
-        "_id",
-        F.map_keys("_cells").alias("keys"),
-        F.transform(F.map_values("_cells"), S.variant_shape).alias("shapes"),
-    )
-    kinds = coded.groupBy("keys", "shapes").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first_row"))
+    rows = lines.select(F.col(row_id).alias("_id"), F.col(value).alias("_value"))
+    rows = rows.where(~F.coalesce(is_blank(F.col("_value")), F.lit(False)))
+    kinds = rows.groupBy(F.json_object_keys("_value").alias("keys")).agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first_row"))
     key_set = F.to_json(F.array_sort(F.array_distinct("keys")))
-    groups = (
-        kinds.withColumn("key_set", key_set)
-        .groupBy("key_set")
-        .agg(
-            F.sum("n").alias("n_rows"),
-            F.min("first_row").alias("first_row"),
-            F.min_by(F.struct("keys", "shapes"), "first_row").alias("sample"),
-        )
-    )
-    columns = groups.select(
-        "key_set", "n_rows", "first_row", F.posexplode_outer(F.arrays_zip("sample.keys", "sample.shapes"))
+    groups = kinds.groupBy(key_set.alias("key_set")).agg(F.sum("n").alias("n_rows"), F.min("first_row").alias("first_row"))
+    path = scratch_dir(lines.sparkSession, "census")
+    groups.write.parquet(path)
+    groups = lines.sparkSession.read.schema(groups.schema).parquet(path)
+
+    first = rows.join(groups.select("first_row"), F.col("_id") == F.col("first_row"), "left_semi")
+    cells = F.from_json("_value", "map<string,variant>")
+    sample = first.select("_id", F.map_keys(cells).alias("keys"), F.transform(F.map_values(cells), S.variant_shape).alias("shapes"))
+    columns = groups.join(sample, F.col("first_row") == F.col("_id"), "left").select(
+        "key_set", "n_rows", "first_row", F.posexplode_outer(F.arrays_zip("keys", "shapes"))
     ).select("key_set", "n_rows", "first_row", "pos", F.col("col.keys").alias("column"), F.col("col.shapes").alias("shape"))
     found = detect_columns(columns, ["key_set", "n_rows", "first_row"])
     malformed = F.col("key_set").isNull()
