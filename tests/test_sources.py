@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tunedata import detect, load_dataset
 from tunedata.operators import configs as R
-from tunedata.sources import files, recipes
+from tunedata.sources import files, ranges, recipes
 from tunedata.sources.history import append_history, read_history
 from tunedata.sources.session import case_sensitive, scratch_dir
 
@@ -267,3 +268,39 @@ def test_a_cap_keeps_all_columns(spark):
     df = spark.createDataFrame([(1, "a", [1]), (2, None, None)], "_part int, `a.b` string, x array<int>")
     got = files.cap_rows(df.coalesce(1), 1)
     assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a", [1])]
+
+
+@pytest.mark.parametrize(("separator", "end"), [(",", "\n"), ("\t", "\n"), (",", "\r\n")])
+def test_byte_ranges_of_quoted_files_equal_the_whole(spark, tmp_path, separator, end):
+    rng = random.Random(12)
+
+    def cell():
+        text = "".join(rng.choices(["a", "b", " ", '"', "\n", separator, "é", "\n\n", '""'], k=rng.randint(0, 9)))
+        return '"' + text.replace('"', '""') + '"' if rng.random() < 0.5 or set(text) & set('"\n' + separator) or text != text.strip() else text
+
+    for n in range(3):
+        rows = [separator.join(cell() or "x" for _ in range(3)) for _ in range(rng.choice([0, 1, 200]))]
+        rows = [*rows, '"' + "line\n" * 400 + '"' + separator + "1" + separator + "2"]  # longer than several blocks
+        (tmp_path / f"{n}.csv").write_bytes(end.join([separator.join(["n a", "b", "c"]), *rows, ""]).encode())
+    path = str(tmp_path)
+    whole = files.read_delimited(spark, path, separator)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        records = ranges.csv_records(spark, path, span=3)
+        assert records.where("is_first").count() == 3
+        got = ranges.read_delimited_ranges(spark, path, separator, whole.columns, span=3)
+        assert got.columns == whole.columns
+        found = sorted(tuple(x or "" for x in r) for r in got.collect())
+        assert spark.read.text(path, lineSep="\n").rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == sorted(tuple(r) for r in whole.collect())
+
+
+def test_an_empty_wrapped_list_has_no_rows(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"version": 1, "data": []}')
+    df = load_dataset(spark, str(tmp_path / "a.json"))
+    assert df.count() == 0 and df.columns == [] and detect(df).format == "unknown"
+    (tmp_path / "b.json").write_text('{"data": [1, 2]}')
+    with pytest.raises(ValueError, match="list of records"):
+        load_dataset(spark, str(tmp_path / "b.json"))

@@ -311,7 +311,7 @@ SELECT doc_id, left(text, 300) AS text, left(lang, 300) AS lang, left(source, 30
 FROM documents ORDER BY doc_id LIMIT 8"""
 
 # --- sources --------------------------------------------------------------------------------------
-for _name in ("scan_jsonl", "scan_json_list", "scan_json_wrapper", "scan_csv", "scan_tsv", "scan_parquet"):
+for _name in ("scan_jsonl", "scan_json_list", "scan_json_wrapper", "scan_csv", "scan_csv_ranges", "scan_tsv", "scan_parquet"):
     ORACLES[_name] = "SELECT doc_id, lang, md5(text) AS digest FROM documents"
 BUCKET = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100"
 ORACLES["scan_split"] = f"SELECT doc_id, lang, md5(text) AS digest FROM documents WHERE {BUCKET} < 20"

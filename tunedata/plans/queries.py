@@ -347,6 +347,14 @@ def scan_csv(spark, sf):
     return _document_rows(files.load_dataset(spark, path, "csv"))
 
 
+@query
+def scan_csv_ranges(spark, sf):
+    """The same, each file read by as many tasks as it has byte ranges."""
+    path = scratch_dir(spark, "csv")
+    _documents(spark, sf).write.option("header", True).option("escape", '"').csv(path)
+    return _document_rows(files.load_dataset(spark, path, "csv", ranges=True))
+
+
 @query
 def scan_tsv(spark, sf):
     path = scratch_dir(spark, "tsv")

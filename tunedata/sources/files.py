@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tunedata.functions.text import column
 from tunedata.operators.blocks import running_total
+from tunedata.sources.ranges import read_delimited_ranges
 from tunedata.sources.session import case_sensitive
 
 SUFFIXES = ("jsonl", "json", "csv", "tsv", "parquet")
@@ -31,12 +32,14 @@ def load_dataset(
     mode: str = "FAILFAST",
     multi_line: bool = True,
     schema: T.StructType | str | None = None,
+    ranges: bool = False,
 ) -> DataFrame:
     """Scan a dataset; the format follows from the suffix unless given (needed for folders).
 
     `mode` is what happens to malformed JSON (`PERMISSIVE` keeps them in `_corrupt_record`).
-    `multi_line=False` lets large CSV files be split, if no cell holds a line break. `schema`
-    saves JSON its inference pass.
+    CSV files whose cells may hold line breaks are read by one task each, or, with `ranges`, by a task
+    for each byte range, at the price of a shuffle and of the order of rows; `multi_line=False` splits
+    files without such cells. `schema` saves JSON its inference pass.
     """
     fmt = (format or file_format(path)).lower()
     with case_sensitive(spark):
@@ -45,7 +48,7 @@ def load_dataset(
         elif fmt == "json":
             df = read_json_document(spark, path, mode, schema)
         elif fmt in ("csv", "tsv"):
-            df = read_delimited(spark, path, "\t" if fmt == "tsv" else ",", multi_line)
+            df = read_delimited(spark, path, "\t" if fmt == "tsv" else ",", multi_line, ranges)
         elif fmt == "parquet":
             df = spark.read.parquet(path)
         else:
@@ -80,15 +83,22 @@ def read_json_document(
     first = next((k for k in keys if k in lists), None)
     if first is None:
         raise ValueError("JSON file must contain a list of records.")
+    element = next(f.dataType.elementType for f in wrapper.schema.fields if f.name == first)
+    if not isinstance(element, (T.StructType, T.VariantType)):  # an empty list has no records to tell its type
+        if wrapper.select(F.max(F.size(column(first)))).first()[0]:
+            raise ValueError("JSON file must contain a list of records.")
+        return spark.createDataFrame([], T.StructType([]))
     return wrapper.select(F.inline(column(first)))
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str, multi_line: bool = True) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, separator: str, multi_line: bool = True, ranges: bool = False) -> DataFrame:
     """CSV/TSV with a header; every cell is a string, an absent or empty one is ''."""
     reader = spark.read.options(
         header=True, sep=separator, multiLine=multi_line, escape='"', inferSchema=False, mode="PERMISSIVE"
     )
-    df = reader.csv(path)
+    df = reader.csv(path)  # looks at the header only
+    if ranges:
+        df = read_delimited_ranges(spark, path, separator, df.columns)
     return df.select(*[F.coalesce(column(c), F.lit("")).alias(c) for c in df.columns])
 
 
