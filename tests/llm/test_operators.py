@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from tunedata.llm import decontaminate, language_id, line_dedup, lm_scoring, mixing, near_dups, pii, quality
@@ -147,6 +148,40 @@ def test_language_of_odd_rows(odd, empty, corpus):
     assert language_id.identify(empty, language_id.fitted(corpus)).count() == 0
 
 
+def test_long_texts_teach_a_language_too(spark, texts):
+    """A language whose texts are all long is learned; features are those of the whole text."""
+    rows = [(i, (text + " ") * (1 + 9000 // len(text)) if lang == "fr" else text, lang) for i, (lang, text) in enumerate(
+        (r.lang, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text and r.lang)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fitted(df)
+    assert model.languages == sorted({r[2] for r in rows})
+    for name, found in (("fr", 0.9), ("en", 0.9)):
+        mine = [x.encode() for _, x, lang in rows if lang == name]
+        best, _ = model.predict(mine)
+        assert np.mean([model.languages[b] == name for b in best]) > found
+
+
+def test_features_and_prediction_equal_a_plain_forward_pass():
+    text = "Über the façade, x1y the the"
+    words = [w for w in re.split(rb"[^A-Za-z\x80-\xff]+", text.translate(LOWER).encode()) if w]
+    grams = collections.Counter()
+    for w in words:
+        w = b"<" + w + b">"
+        for n in language_id.GRAMS:
+            for i in range(len(w) - n + 1):
+                code = n
+                for b in w[i : i + n]:
+                    code = (code << 8 | b) % (1 << 64)
+                grams[int(language_id.B.mix(np.array([code], np.uint64))[0]) % language_id.BUCKETS] += 1
+    ((buckets, shares),) = language_id.features_of([text.encode()])
+    total = sum(grams.values())
+    assert dict(zip(buckets.tolist(), shares.tolist(), strict=True)) == pytest.approx({b: n / total for b, n in grams.items()})
+    rng = np.random.default_rng(1)
+    model = language_id.Model(["a", "b"], rng.normal(size=(language_id.BUCKETS, 2)), np.array([0.1, -0.1]), temperature=0.7)
+    plain = (sum(n * model.weights[b] for b, n in grams.items()) / total + model.bias) / 0.7
+    assert model.logits([text.encode()])[0] == pytest.approx(plain)
+
+
 # --- 3 PII -----------------------------------------------------------------------------------
 
 
@@ -269,23 +304,37 @@ def test_url_rules_and_links(spark):
 
 
 def test_propagation_equals_plain_iteration(spark):
-    edges = [("a", "b", 1.0), ("b", "c", 2.0), ("b", "a", 1.0), ("c", "a", 1.0), ("d", "c", 3.0)]
+    """Distrust has no way on from d: what flows there returns to the seeds."""
+    edges = [("a", "b", 1.0), ("b", "c", 2.0), ("b", "a", 1.0), ("c", "a", 1.0), ("d", "c", 3.0), ("b", "end", 1.0)]
     got = url_filter.propagated(
         spark.createDataFrame(edges, "src string, dst string, weight double"),
         spark.createDataFrame([("a", 3.0, 0.0), ("c", 0.0, 1.0)], "host string, trusted double, blocked double"),
-    )
+        tolerance=1e-9,
+    ).collect()
     for column, links, seed in (("trust", edges, {"a": 0.75}), ("distrust", [(b, a, w) for a, b, w in edges], {"c": 0.25})):
         out = collections.Counter()
         for a, _, w in links:
             out[a] += w
-        rank = dict(seed)
-        for _ in range(url_filter.ROUNDS):
-            new = collections.Counter({h: 0.15 * s for h, s in seed.items()})
+        rank, mass = dict(seed), sum(seed.values())
+        for _ in range(300):
+            stuck = sum(x for h, x in rank.items() if not out[h])
+            new = collections.Counter({h: (0.15 + 0.85 * stuck / mass) * s for h, s in seed.items()})
             for a, b, w in links:
                 new[b] += 0.85 * rank.get(a, 0) * w / out[a]
             rank = new
-        for r in got.collect():
-            assert r[column] == pytest.approx(rank.get(r.host, 0), abs=1e-12)
+        assert sum(rank.values()) == pytest.approx(mass)
+        for r in got:
+            assert r[column] == pytest.approx(rank.get(r.host, 0), abs=1e-7)
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    """Twenty hosts link to the next, the last one is blocked by a rule."""
+    pages = [(i, f"http://h{i}.net{i}/", f"<a href='http://h{i + 1}.net{i + 1}/'>") for i in range(19)] + [(19, "http://h19.net19/", "")]
+    pages += [(20, "http://h19.net19/bad/", ""), (30, "http://apart.net/", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rules = (url_filter.Rule("block", "net19", "/"),)
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df, rules).collect()}
+    assert got == {i: "allow" if i == 30 else "block" for i, *_ in pages}
 
 
 # --- 7 mixing --------------------------------------------------------------------------------

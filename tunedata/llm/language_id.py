@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tunedata.llm import bytes_ as B
-from tunedata.llm.tables import fresh, held_out, table, text_of
+from tunedata.llm.tables import dropped, fresh, held_out, saved, table, text_of
 
 FOLDS = 5
-# the labelled sample: at most so many rows a language, each of at most so many characters
-ROWS_PER_LANGUAGE, SAMPLE_CHARS = 500, 8000
+# the labelled sample: at most so many rows a language, whole texts of any length
+ROWS_PER_LANGUAGE = 500
+SALTS = 64
 BUCKETS, WIDTH, EPOCHS, BATCH, RATE = 1 << 15, 16, 20, 32, 0.5
 GRAMS = (2, 3, 4)
 CALIBRATION_SHARE = 0.2
@@ -82,19 +83,29 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(rows: list[bytes], labels: list[str], seed: int = 7) -> Model:
+def features_of(rows: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text the buckets its subwords fall in, and the share of each; texts are read in slices."""
+    found = []
+    for text in rows:
+        total = np.zeros(BUCKETS, np.int64)
+        for _, pieces in B.slices([text]):
+            words = B.Words(pieces, breaks=NO_LETTER, lower=True)
+            if len(words):
+                codes, example = words.distinct()
+                owner, bucket = subwords(words.text(example))
+                total += np.bincount(bucket, np.bincount(codes)[owner], BUCKETS).astype(np.int64)
+        held = np.flatnonzero(total)
+        found.append((held.astype(np.int32), (total[held] / max(1, total.sum())).astype(np.float32)))
+    return found
+
+
+def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> Model:
     """SGD over the sample, then a temperature and a rejection threshold from rows it has not seen."""
     languages = sorted(set(labels))
     k, rng = len(languages), np.random.default_rng(seed)
     y = np.array([languages.index(x) for x in labels], np.int64)
-    order = rng.permutation(len(rows))
-    aside = order[: int(len(rows) * CALIBRATION_SHARE)]
-    features = []
-    for text in rows:
-        words = B.Words([text], breaks=NO_LETTER, lower=True)
-        bucket = subwords(words.text(np.arange(len(words))))[1] if len(words) else np.zeros(0, np.int32)
-        found, n = np.unique(bucket, return_counts=True)
-        features.append((found, (n / max(1, n.sum())).astype(np.float32)))
+    order = rng.permutation(len(features))
+    aside = order[: int(len(features) * CALIBRATION_SHARE)]
     embed = rng.normal(0, 0.3, (BUCKETS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32)
     fit = order[len(aside) :]
@@ -114,7 +125,8 @@ def train(rows: list[bytes], labels: list[str], seed: int = 7) -> Model:
                 embed[f] -= rate * 8 * w[:, None] * g
     model = Model(languages, embed @ layer, bias)
     if len(aside):
-        raw, truth = model.logits([rows[i] for i in aside]), y[aside]
+        raw = np.stack([w @ model.weights[f] for f, w in (features[i] for i in aside)]) + bias
+        truth = y[aside]
         scale = np.geomspace(0.05, 20, 121)
         loss = [-np.log(softmax(raw / t)[np.arange(len(aside)), truth] + 1e-12).mean() for t in scale]
         model.temperature = float(scale[int(np.argmin(loss))])
@@ -128,19 +140,32 @@ def train(rows: list[bytes], labels: list[str], seed: int = 7) -> Model:
 def fitted(docs: DataFrame, folds: int = FOLDS) -> Model:
     """A model of the languages in `docs`, from a bounded sample of labelled texts outside the held-out fold.
 
-    Per language the rows with the least hash are taken, up to `ROWS_PER_LANGUAGE`; tasks send no more
-    than that each. Without labelled texts the model knows no language.
+    Per language the rows with the least hash are taken, up to `ROWS_PER_LANGUAGE`, whatever their
+    length; ties are equal rows. Rows are picked by hash alone, in two steps, so a language with most
+    rows is not ranked in one task, and only bucket counts of the picked texts, made from whole texts on
+    the executors, reach the driver: at most `BUCKETS` numbers for each. Without labelled texts the model
+    knows no language.
     """
-    usable = docs.where(
-        ~held_out(F.col("doc_id"), folds)
-        & F.col("lang").isNotNull()
-        & F.col("text").rlike(r"\p{L}")
-        & (F.char_length("text") <= SAMPLE_CHARS)
-    ).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
-    rows = usable.withColumn("_n", place).where(F.col("_n") <= ROWS_PER_LANGUAGE).orderBy("lang", "_n").select("lang", "text")
-    sample = rows.collect()
-    return train([r.text.encode() for r in sample], [r.lang for r in sample])
+    key = F.xxhash64("doc_id", "text")
+    usable = docs.where(~held_out(F.col("doc_id"), folds) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    hashed = usable.select("lang", key.alias("_h"))
+    for part in (["lang", F.pmod("_h", F.lit(SALTS))], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*part).orderBy("_h"))
+        hashed = hashed.withColumn("_n", place).where(F.col("_n") <= ROWS_PER_LANGUAGE).drop("_n")
+    picked = saved(hashed.distinct(), "language-sample")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = features_of(B.texts(batch.column(2)))
+            buckets = pa.array([f.tolist() for f, _ in found], pa.list_(pa.int32()))
+            shares = pa.array([w.tolist() for _, w in found], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), buckets, shares], ["lang", "h", "buckets", "shares"])
+
+    texts = usable.select("lang", key.alias("_h"), "text").join(picked, ["lang", "_h"], "left_semi").dropDuplicates(["lang", "_h"])
+    counted = texts.select("lang", "_h", "text").mapInArrow(B.freed(read), "lang string, h long, buckets array<int>, shares array<float>")
+    sample = sorted(counted.collect(), key=lambda r: (r.lang, r.h))
+    dropped(picked)
+    return train([(np.array(r.buckets, np.int32), np.array(r.shares, np.float32)) for r in sample], [r.lang for r in sample])
 
 
 def identify(docs: DataFrame, model: Model, names: Sequence[str] = ("lang_pred", "score", "rejected")) -> DataFrame:

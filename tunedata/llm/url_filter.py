@@ -23,7 +23,9 @@ RULES = (
     Rule("allow", "com", "/fr/"),
     Rule("block", "com", "/de/"),
 )
-DAMPING, ROUNDS, SAVE_EVERY = 0.85, 8, 4
+DAMPING, SAVE_EVERY = 0.85, 4
+# scores are settled when a few rounds move less than this share of all scores
+TOLERANCE = 1e-4
 # a host is blocked if distrust is more than this share of trust and distrust together
 MOST_DISTRUST = 0.75
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -85,13 +87,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagated(
-    edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING
+    edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING
 ) -> DataFrame:
     """(host, trust, distrust): personalised PageRank from the seeds' `trusted` weights along the edges,
     and from their `blocked` weights against them.
 
-    Both run at once, told apart by `way`. A round is one join and one sum per host; every
-    `SAVE_EVERY` rounds the scores are written. Hosts that no seed reaches are absent.
+    Both run at once, told apart by `way`. A round is one join and one sum per host; every `SAVE_EVERY`
+    rounds the scores are written, until these rounds move less than `tolerance` of all scores; damping
+    makes that certain, after some 60 rounds at most. What flows into hosts without a way on returns
+    to the seeds: the solution with that return is the one without, scaled to the seeds' total.
+    Hosts that no seed reaches are absent. Ties need no rule: scores are sums.
     """
     ways = edges.select(F.lit(0).alias("way"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight").union(
         edges.select(F.lit(1), "dst", "src", "weight")
@@ -106,19 +111,27 @@ def propagated(
     total = start.agg(F.sum("_w").alias("_all"))
     start = saved(start.select("way", "host", (F.col("_w") / total.scalar()).alias("score")), "url-seeds")
     jump = start.select("way", "host", ((1 - damping) * F.col("score")).alias("score"))
-    state, made = start, [ways, start]
-    for n in range(1, rounds + 1):
-        moved = (
-            state.withColumnRenamed("host", "a")
-            .join(ways, ["way", "a"])
-            .select("way", F.col("b").alias("host"), (damping * F.col("score") * F.col("part")).alias("score"))
-        )
-        state = moved.union(jump).groupBy("way", "host").agg(F.sum("score").alias("score"))
-        if n % SAVE_EVERY == 0 or n == rounds:
-            state = saved(state, "url-scores")
-            made.append(state)
-    dropped(*made[:-1])
-    return state.groupBy("host").agg(
+    state, moving = start, True
+    while moving:
+        before = state
+        for _ in range(SAVE_EVERY):
+            moved = (
+                state.withColumnRenamed("host", "a")
+                .join(ways, ["way", "a"])
+                .select("way", F.col("b").alias("host"), (damping * F.col("score") * F.col("part")).alias("score"))
+            )
+            state = moved.union(jump).groupBy("way", "host").agg(F.sum("score").alias("score"))
+        state = saved(state, "url-scores")
+        gap = state.select("way", "host", "score").union(before.select("way", "host", -F.col("score"))).groupBy("way", "host").agg(F.sum("score").alias("gap"))
+        moving = (gap.agg(F.sum(F.abs("gap"))).first()[0] or 0.0) >= tolerance
+        if before is not start:
+            dropped(before)
+    goal = start.groupBy("way").agg(F.sum("score").alias("_goal"))
+    scale = state.groupBy("way").agg(F.sum("score").alias("_sum")).join(goal, "way").select("way", (F.col("_goal") / F.col("_sum")).alias("_scale"))
+    settled = state.join(scale, "way").select("way", "host", (F.col("score") * F.col("_scale")).alias("score"))
+    settled = saved(settled, "url-scores")
+    dropped(ways, start, state)
+    return settled.groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("way") == 0, F.col("score"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("way") == 1, F.col("score"))), F.lit(0.0)).alias("distrust"),
     )
