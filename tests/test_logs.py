@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tunedata.operators import blocks
 from tunedata.operators import logs as L
 from tunedata.operators.blocks import running_total
 
@@ -232,3 +233,31 @@ def test_stalls_equal_the_loop(spark):
     assert got == sorted(want)
     open_ended = L.stalls(df, as_of=F.timestamp_micros(F.lit(int((t + 500) * 1e6)))).where("next_line_at IS NULL")
     assert open_ended.count() == 2
+
+
+@pytest.mark.parametrize("n", [1, 7, 40, 10_000])
+def test_long_tails_rank_only_the_last_blocks(spark, tmp_path, monkeypatch, n):
+    rows = random_lines(5, jobs=4, n=300) + [(None, 1, "x"), (None, 70, "y")]
+    spark.createDataFrame(rows, "job_id long, seq long, line string").repartition(6).write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    kept = blocks.in_last_blocks(df, ["job_id"], ["seq"], n, span=16)
+    want = {(job, *r) for job, lines in by_job(rows).items() for r in sorted(lines)[-n:]}
+    got = {tuple(r) for r in kept.collect()}
+    assert want <= got and len(got) <= len(want) + 5 * 16
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan  # the semi-join comes before any shuffle
+
+
+def test_the_whole_ring_needs_no_session_setting(spark):
+    n = 2100
+    lines = spark.range(n).selectExpr("id % 2 AS job_id", "id * 40 AS seq", "concat('l', id) AS line").union(spark.sql("SELECT 7L, 1L, 'only'"))
+    lines = lines.union(spark.range(5000).selectExpr("9L", "id", "concat('m', id)"))
+    got = L.ring(lines).groupBy("job_id").agg(F.count("*"), F.min("seq")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1050, 0), (1, 1050, 40), (7, 1, 1), (9, 2000, 3000)]
+
+
+def test_checkpoints_come_in_order(spark):
+    rows = [(j, s, f"Iter {i}: Saved adapter weights to x") for s, (j, i) in enumerate([(2, 300), (1, 200), (1, 100), (2, 100), (1, 100)])]
+    df = spark.createDataFrame(rows, "job_id long, seq long, line string").repartition(3)
+    assert [(r.job_id, r.iter) for r in L.checkpoint_losses(df).collect()] == [(1, 100), (1, 100), (1, 200), (2, 100), (2, 300)]
+    assert [(r.job_id, r.iter, r.times_saved) for r in L.checkpoint_losses(df, once=True).collect()] == [(1, 100, 2), (1, 200, 1), (2, 100, 1), (2, 300, 1)]

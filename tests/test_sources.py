@@ -95,7 +95,9 @@ def test_splits_prune_partitions(spark, tmp_path):
     assert files.load_split(spark, root, "org/ds").count() == 3
     big = files.load_split(spark, root, "org/ds", "test", "big")
     assert big.count() == 5 and big.columns == ["a"]
-    assert "PartitionFilters: [isnotnull(config" in big._jdf.queryExecution().executedPlan().toString()
+    assert all("/config=big/split=test/" in f for f in big.inputFiles())
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        files.load_split(spark, root, "org/ds", "validation")
 
 
 def test_training_set_sink(spark, tmp_path):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunedata.functions.text import div
+from tunedata.sources.session import scratch_dir
 
 BLOCK = "_block"
 DEFAULT_SPAN = 1 << 16
@@ -86,11 +87,36 @@ def running_total(
     return summed if keep_block else summed.drop(BLOCK)
 
 
+def in_last_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, span: int = DEFAULT_SPAN) -> DataFrame:
+    """The rows of the blocks that hold the last `n` rows of every key, found before any row moves.
+
+    Rows are counted per block, which reads keys and numbers only, and the counts summed up backwards: a
+    block stays if fewer than `n` rows come after it. The list of blocks goes through the shared folder,
+    so that Spark knows its size when it joins it to the scan.
+    """
+    spark = df.sparkSession
+    blocked = df.withColumn(BLOCK, block_of(order[0], span))
+    counts = blocked.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    later = W.partitionBy(*keys).orderBy(F.col(BLOCK).desc()).rowsBetween(W.unboundedPreceding, -1)
+    needed = counts.withColumn("_after", F.coalesce(F.sum("_n").over(later), F.lit(0))).where(F.col("_after") < n)
+    path = scratch_dir(spark, "last-blocks")
+    needed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(BLOCK).alias("_b")).write.parquet(path)
+    needed = spark.read.parquet(path)
+    same = F.col(BLOCK).eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return blocked.join(needed, same, "left_semi").drop(BLOCK)
+
+
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, span: int = 1 << 20) -> DataFrame:
     """The last `n` rows of every key, with `_from_end` counting 1, 2, … backwards.
 
-    Ranked per block first, so the final ranking of a key sees n rows per block at most.
+    Ranked per block first, so the final ranking of a key sees n rows per block at most. Spark drops what a
+    task cannot need before the shuffle if `n` is within its limit for that; for a larger `n` only the
+    blocks that hold the last rows are ranked.
     """
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        df = in_last_blocks(df, keys, order, n)
     newest_first = [F.col(c).desc() for c in order]
     per_block = F.row_number().over(W.partitionBy(*keys, BLOCK).orderBy(*newest_first))
     candidates = df.withColumn(BLOCK, block_of(order[0], span)).withColumn("_in_block", per_block)

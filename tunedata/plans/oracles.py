@@ -370,6 +370,7 @@ def last_lines(n: int, source: str = LINES) -> str:
 
 
 ORACLES["log_ring"] = f"SELECT job_id, seq, line FROM {last_lines(50)}"
+ORACLES["log_ring_whole"] = f"SELECT job_id, seq, md5(line) AS digest FROM {last_lines(L.RING_LINES)}"
 ORACLES["log_tails"] = f"""
 SELECT job_id, string_agg(line, {NL} ORDER BY seq) AS tail, count(*) AS n_lines FROM {last_lines(20)} GROUP BY job_id"""
 

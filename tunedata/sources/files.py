@@ -105,15 +105,18 @@ def read_delimited(spark: SparkSession, path: str, separator: str, multi_line: b
 def load_split(
     spark: SparkSession, root: str, name: str, split: str = "train", config: str | None = None, max_rows: int | None = None
 ) -> DataFrame:
-    """A split of a named dataset stored as root/name/config=…/split=…; only its files are listed."""
-    df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
-    picked = df.where((F.col("config") == (config or "default")) & (F.col("split") == split))
-    return cap_rows(picked.drop("config", "split"), max_rows)
+    """A split of a named dataset stored as root/name/config=…/split=…; only its folder is listed, and a split
+    that is not there is an error."""
+    return cap_rows(spark.read.parquet(_split_path(root, name, split, config)), max_rows)
+
+
+def _split_path(root: str, name: str, split: str, config: str | None) -> str:
+    return f"{root.rstrip('/')}/{name}/config={config or 'default'}/split={split}"
 
 
 def save_split(df: DataFrame, root: str, name: str, split: str = "train", config: str | None = None) -> None:
     """Write one split in the layout `load_split` reads."""
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/config={config or 'default'}/split={split}")
+    df.write.mode("overwrite").parquet(_split_path(root, name, split, config))
 
 
 def cap_rows(df: DataFrame, max_rows: int | None, order_by: Sequence[str | Column] | None = None) -> DataFrame:

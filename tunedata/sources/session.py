@@ -13,8 +13,6 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # lets the 2000-line ring keep only each task's last lines before the shuffle
-    "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
 }
 
 
