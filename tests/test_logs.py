@@ -182,9 +182,12 @@ def test_snapshots_carry_the_error_as_one_line(spark):
     ev = events(spark, STATUS_ROWS)
     got = {r.job_id: r for r in L.job_snapshots(jobs, lines, ev, as_of, tail=2).collect()}
     assert len(got) == 7 and got[7].status == "pending" and got[7].tail == "" and got[7].n_points == 0
-    assert (got[5].status, got[5].n_points, got[5].tail) == ("failed", 2, "oops\nTraceback\nZeroDivisionError: loss 9.0")
+    assert (got[5].status, got[5].n_points, got[5].tail) == ("failed", 2, f"{L.STOP_LINE}\nTraceback\nZeroDivisionError: loss 9.0")
     assert [r.job_id for r in L.job_snapshots(jobs, lines, ev, as_of, newest=True).collect()] == [7]
     assert [r.tail for r in L.job_snapshots(jobs, lines, ev, as_of, job_id=3).collect()] == ["x"]
+    assert got[4].tail == L.STOP_LINE  # stopped without a line of its own
+    series = L.job_series(jobs, lines, ev, job_id=5)
+    assert [(r.step, r.loss) for r in series.orderBy("at", "seq").collect()] == [(1, 2.0), (2, 9.0)]
     listing = L.job_listing(jobs.join(L.job_status(ev, as_of), "job_id")).collect()
     assert listing[0].entry == "#6 ✅ job6" and [r.job_id for r in listing] == [6, 5, 4, 3, 2, 1]
 
@@ -261,3 +264,12 @@ def test_checkpoints_come_in_order(spark):
     df = spark.createDataFrame(rows, "job_id long, seq long, line string").repartition(3)
     assert [(r.job_id, r.iter) for r in L.checkpoint_losses(df).collect()] == [(1, 100), (1, 100), (1, 200), (2, 100), (2, 300)]
     assert [(r.job_id, r.iter, r.times_saved) for r in L.checkpoint_losses(df, once=True).collect()] == [(1, 100, 2), (1, 200, 1), (2, 100, 1), (2, 300, 1)]
+
+
+def test_a_stop_request_is_a_line_of_the_log(spark):
+    """It stands after the output of its time and before what the job still prints."""
+    lines = spark.createDataFrame([(1, 0, "a", 10), (1, 1, "b", 20), (1, 2, "c", 20), (1, 3, "d", 30)], "job_id long, seq long, line string, t long")
+    ev = spark.createDataFrame([(1, 20, "stop_requested", None), (1, 99, "failed", "boom"), (1, 31, "stop_requested", None)], "job_id long, t long, kind string, error string")
+    lines, ev = (d.withColumn("ts", F.timestamp_seconds("t")) for d in (lines, ev))
+    log = L.job_log(lines, ev).orderBy("at", "seq").collect()
+    assert [r.line for r in log] == ["a", "b", "c", L.STOP_LINE, "d", L.STOP_LINE, "boom"]

@@ -31,9 +31,11 @@ MISSING = "—"
 RING_LINES = 2000
 TAIL_LINES = 200
 STALL_SECONDS = 120
+STOP_LINE = "⏹ Stop requested — training will halt at the next step boundary."
 # --- end of fixed values ----------------------------------------------------------------
 
-AFTER_ALL = (1 << 63) - 1  # sequence number of a line that closes its log
+AFTER_ALL = (1 << 63) - 1  # sequence number of a line that comes after all others of its time, or time after all
+LOG_SPAN = 3_600_000_000  # logs ordered by time are cut into blocks of an hour
 
 
 # --- chunks -> lines -----------------------------------------------------------------------
@@ -214,10 +216,15 @@ def ring(lines: DataFrame, n: int = RING_LINES, key: str = "job_id", order: Sequ
 
 
 def log_tail(
-    lines: DataFrame, n: int = TAIL_LINES, key: str = "job_id", order: Sequence[str] = ("seq",), line: str = "line"
+    lines: DataFrame,
+    n: int = TAIL_LINES,
+    key: str = "job_id",
+    order: Sequence[str] = ("seq",),
+    line: str = "line",
+    span: int = 1 << 20,
 ) -> DataFrame:
     """The last `n` lines of every job (of the ring's, if that is shorter) joined by line breaks."""
-    kept = last_rows(lines.select(key, *order, line), [key], order, min(n, RING_LINES))
+    kept = last_rows(lines.select(key, *order, line), [key], order, min(n, RING_LINES), span)
     gathered = kept.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("_from_end")).alias("at"), F.col(line).alias("line")))).alias("_l")
     )
@@ -261,15 +268,47 @@ def job_status(events: DataFrame, as_of: Column, key: str = "job_id") -> DataFra
     )
 
 
-def with_failures(lines: DataFrame, events: DataFrame, key: str = "job_id") -> DataFrame:
-    """Append each failed job's error text as one more log line, after all its others."""
+def job_log(lines: DataFrame, events: DataFrame, key: str = "job_id") -> DataFrame:
+    """The whole log of every job -> key, at, seq, line: its own lines and what its manager adds.
+
+    A line is added when a stop is requested, after all output up to that time, and a failed job's error
+    text after everything else. `at` is the time in microseconds; (at, seq) orders a job's log.
+    """
+    own = lines.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("seq").cast("bigint").alias("seq"), "line")
+    last = F.lit(AFTER_ALL).alias("seq")
+    stops = events.where(F.col("kind") == "stop_requested").select(
+        key, F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), last, F.lit(STOP_LINE).alias("line")
+    )
     failed = (
         events.where((F.col("kind") == "failed") & F.col("error").isNotNull())
         .groupBy(key)
-        .agg(F.max_by("error", "ts").alias("line"), F.max("ts").alias("ts"))
+        .agg(F.max_by("error", "ts").alias("line"))
+        .select(key, F.lit(AFTER_ALL).alias("at"), last, "line")
     )
-    added = failed.select(key, F.lit(AFTER_ALL).alias("seq"), "ts", "line")
-    return lines.select(key, F.col("seq").cast("bigint").alias("seq"), "ts", "line").unionByName(added)
+    return own.unionByName(stops).unionByName(failed)
+
+
+def _picked(
+    jobs: DataFrame, lines: DataFrame, events: DataFrame, key: str, job_id: int | None, newest: bool
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The inputs of one job, or of all; rows of other jobs go before anything is aggregated."""
+    if newest:
+        jobs = newest_job(jobs, key)
+        lines, events = (d.join(F.broadcast(jobs.select(key)), key, "left_semi") for d in (lines, events))  # one row
+    elif job_id is not None:
+        jobs, lines, events = (get_job(d, job_id, key) for d in (jobs, lines, events))
+    return jobs, lines, events
+
+
+def job_series(
+    jobs: DataFrame, lines: DataFrame, events: DataFrame, key: str = "job_id", job_id: int | None = None, newest: bool = False
+) -> DataFrame:
+    """The loss points a snapshot shows -> key, at, seq, step, loss, one row a point, of all jobs or one.
+
+    As in the snapshot, what an error text says of a loss counts too.
+    """
+    _, lines, events = _picked(jobs, lines, events, key, job_id, newest)
+    return loss_series(job_log(lines, events, key), key, ("at", "seq"), LOG_SPAN)
 
 
 def job_listing(jobs: DataFrame, key: str = "job_id", name: str = "name") -> DataFrame:
@@ -297,23 +336,19 @@ def job_snapshots(
     job_id: int | None = None,
     newest: bool = False,
 ) -> DataFrame:
-    """One row per job (or one job): status, elapsed, loss points and log tail.
+    """One row per job (or one job): status, elapsed, loss points and log tail (`job_series` has the points).
 
     `jobs` is (job_id, name). The four parts have one row per job each, so their joins carry no
     skew; picking a job filters the inputs before anything is aggregated.
     """
-    if newest:
-        jobs = newest_job(jobs, key)
-        lines, events = (d.join(F.broadcast(jobs.select(key)), key, "left_semi") for d in (lines, events))  # one row
-    elif job_id is not None:
-        jobs, lines, events = (get_job(d, job_id, key) for d in (jobs, lines, events))
-    lines = with_failures(lines, events, key)
+    jobs, lines, events = _picked(jobs, lines, events, key, job_id, newest)
+    lines = job_log(lines, events, key)
     points = loss_points(lines, [key]).groupBy(key).agg(F.count(F.lit(1)).alias("n_points"))
     joined = (
         jobs.select(key, "name")
         .join(job_status(events, as_of, key), key, "left")
         .join(points, key, "left")
-        .join(log_tail(lines, tail, key), key, "left")
+        .join(log_tail(lines, tail, key, ("at", "seq"), span=LOG_SPAN), key, "left")
     )
     return joined.select(
         key,

@@ -395,11 +395,15 @@ JOBS = "(SELECT user_id AS job_id, 'sft · model-' || min(event_id) AS name FROM
 WITH_ERRORS = f"""(SELECT job_id, seq, line FROM {LINES} UNION ALL
     SELECT job_id, last + 1, error FROM {STATUS} JOIN (SELECT job_id, max(seq) AS last FROM {LINES} GROUP BY job_id) USING (job_id)
     WHERE failed IS NOT NULL)"""
+WITH_STOPS = f"""(SELECT job_id, seq * 2 AS seq, line FROM {WITH_ERRORS} UNION ALL
+    SELECT user_id, event_id * 2 + 1, {lit(L.STOP_LINE)} FROM events WHERE event_type = 'click' AND user_id % 3 = 0)"""
+ORACLES["job_series"] = f"SELECT job_id, step, loss FROM {SERIES.replace(LINES, WITH_ERRORS)}"
+ORACLES["newest_job_series"] = ORACLES["job_series"] + " WHERE job_id = (SELECT max(user_id) FROM events)"
 SNAPSHOTS = f"""
 SELECT j.job_id, j.name, s.status, s.elapsed, coalesce(p.n, 0) AS n_points, t.tail
 FROM {JOBS} j JOIN {STATUS} s USING (job_id)
 LEFT JOIN (SELECT job_id, count(*) AS n FROM {WITH_ERRORS} WHERE regexp_matches(line, {lit(L.LOSS)}) GROUP BY job_id) p USING (job_id)
-JOIN (SELECT job_id, string_agg(line, {NL} ORDER BY seq) AS tail FROM {last_lines(5, WITH_ERRORS)} GROUP BY job_id) t USING (job_id)"""
+JOIN (SELECT job_id, string_agg(line, {NL} ORDER BY seq) AS tail FROM {last_lines(5, WITH_STOPS)} GROUP BY job_id) t USING (job_id)"""
 ORACLES["job_snapshots"] = SNAPSHOTS
 ORACLES["newest_job_snapshot"] = SNAPSHOTS + " WHERE j.job_id = (SELECT max(user_id) FROM events)"
 ICON_ROWS = ", ".join(f"({lit(s)}, {lit(i)})" for s, i in dims.STATUS_ICONS.items())

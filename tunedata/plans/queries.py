@@ -474,6 +474,18 @@ def newest_job_snapshot(spark, sf):
     return s.select("job_id", "name", "status", F.round("elapsed", 3).alias("elapsed"), "n_points", "tail")
 
 
+@query
+def newest_job_series(spark, sf):
+    series = L.job_series(A.jobs(spark, sf), A.log_lines(spark, sf), A.job_events(spark, sf), newest=True)
+    return series.select("job_id", "step", "loss")
+
+
+@query
+def job_series(spark, sf):
+    series = L.job_series(A.jobs(spark, sf), A.log_lines(spark, sf), A.job_events(spark, sf))
+    return series.select("job_id", "step", "loss")
+
+
 @query
 def job_listing(spark, sf):
     status = L.job_status(A.job_events(spark, sf), as_of())
