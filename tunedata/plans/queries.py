@@ -41,7 +41,10 @@ QUERIES: dict[str, Query] = {}
 DATE = "26 Jul 2024"
 TOOLS = [{"name": "search", "parameters": {"q": {"type": "string"}}}]
 CHAT = ("conv_id", "piece")
-PLACE = chat.Place.of("place")
+
+
+def place() -> chat.Place:
+    return chat.Place.of("place")
 
 
 def query(fn: Query) -> Query:
@@ -92,27 +95,27 @@ def chatml_sft_text(spark, sf):
 
 @query
 def chatml_llama3_text(spark, sf):
-    return normalize(A.chats(spark, sf), CHATML, "sft", chat.llama3(date_string=DATE, place=PLACE), CHAT)
+    return normalize(A.chats(spark, sf), CHATML, "sft", chat.llama3(date_string=DATE, place=place()), CHAT)
 
 
 @query
 def chatml_llama3_pieces(spark, sf):
     """The same in pieces of at most three turns."""
-    return normalize(A.chats(spark, sf, 3), CHATML, "sft", chat.llama3(date_string=DATE, place=PLACE), CHAT)
+    return normalize(A.chats(spark, sf, 3), CHATML, "sft", chat.llama3(date_string=DATE, place=place()), CHAT)
 
 
 @query
 def chat_llama3_tools_text(spark, sf):
-    return normalize(A.chats(spark, sf), CHATML, "sft", chat.llama3(date_string=DATE, tools=TOOLS, place=PLACE), CHAT)
+    return normalize(A.chats(spark, sf), CHATML, "sft", chat.llama3(date_string=DATE, tools=TOOLS, place=place()), CHAT)
 
 
 def _prompts(history: DataFrame) -> DataFrame:
-    template = chat.llama3(date_string=DATE, add_generation_prompt=True, place=PLACE.with_question())
+    template = chat.llama3(date_string=DATE, add_generation_prompt=True, place=place().with_question())
     asked = F.concat(F.lit("And chat "), F.col("conv_id").cast("string"), F.lit("? "))
     return history.select(
         *CHAT,
-        chat.build_prompt(F.col("messages"), asked, template, PLACE).alias("prompt"),
-        chat.build_prompt(F.col("messages"), asked, place=PLACE).alias("bare_prompt"),
+        chat.build_prompt(F.col("messages"), asked, template, place()).alias("prompt"),
+        chat.build_prompt(F.col("messages"), asked, place=place()).alias("bare_prompt"),
     )
 
 
@@ -211,7 +214,7 @@ def image_ocr_rows(spark, sf):
 @query
 def vision_chat_rows(spark, sf):
     image = F.concat(F.lit("img"), F.col("conv_id").cast("string"), F.lit(".png"))
-    df = A.sharegpt_chats(spark, sf).withColumn("image", F.when(PLACE.starts, image))  # once a chat
+    df = A.sharegpt_chats(spark, sf).withColumn("image", F.when(place().starts, image))  # once a chat
     found = Detection("vision_chat", 0.9, {"images": "image", "messages": "conversations"})
     out = normalize(df, found, "vlm_sft", keep=CHAT)
     return out.select(*CHAT, "images", messages_text(F.col("messages")).alias("messages"))
