@@ -19,7 +19,7 @@ IDF_BUCKETS = 1 << 16
 # how far frequency can lower a shingle's weight: a shingle in every text weighs 1 less this
 IDF_RANGE = 0.1
 # a bucket's members are compared with so many of its members in turn, each of another class
-STARS = 5
+STARS = 3
 # texts with a common rare shingle are compared in blocks of so many on either side
 BLOCK = 4096
 # bits of the table that says which ids are asked for: 16 for each, up to 16 MB
@@ -242,11 +242,10 @@ def _maybe_in(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
         .select(F.expr("cast(_spot div 64 as int)").alias("word"), bit.alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
-        .collect()
+        .toArrow()
     )
     words = np.zeros(size // 64, np.int64)
-    for row in bits:
-        words[row.word] = row.bits
+    words[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
     shared = frame.sparkSession.sparkContext.broadcast(words)
 
     def held(column: pa.Array) -> pa.Array:
