@@ -168,11 +168,31 @@ def test_history_keeps_the_latest(spark, tmp_path):
     assert {r.job_id: r.status for r in read_history(spark, str(tmp_path)).collect()} == {1: "finished", 2: "running"}
 
 
-def test_scratch_folder_follows_the_session(spark):
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+def test_scratch_lies_in_the_shared_folder(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
     path = scratch_dir(spark, "x")
-    assert path != scratch_dir(spark, "x")
-    assert path.startswith((shared or spark.conf.get("spark.checkpoint.dir")).rstrip("/") + "/")
+    assert path != scratch_dir(spark, "x") and spark.conf.get("spark.checkpoint.dir", None) == before
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert scratch_dir(spark, "x").startswith(f"{tmp_path}/tunedata-x-")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Elsewhere:
+        master = "local-cluster[3,2,1000]"
+
+        def get(self, name, default=None):
+            return default
+
+        def getConf(self):
+            return self
+
+    session = Elsewhere()
+    session.conf = session.sparkContext = session
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(session, "x")
 
 
 # --- run configurations -------------------------------------------------------------------------------
