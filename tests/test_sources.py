@@ -168,15 +168,11 @@ def test_history_keeps_the_latest(spark, tmp_path):
     assert {r.job_id: r.status for r in read_history(spark, str(tmp_path)).collect()} == {1: "finished", 2: "running"}
 
 
-def test_scratch_lies_in_the_shared_folder(spark, tmp_path):
+def test_scratch_folders_are_new_and_leave_the_settings(spark):
     before = spark.conf.get("spark.checkpoint.dir", None)
     path = scratch_dir(spark, "x")
-    assert path != scratch_dir(spark, "x") and spark.conf.get("spark.checkpoint.dir", None) == before
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert scratch_dir(spark, "x").startswith(f"{tmp_path}/tunedata-x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    assert path != scratch_dir(spark, "x") and "/tunedata-x-" in path
+    assert spark.conf.get("spark.checkpoint.dir", None) == before
 
 
 def test_a_cluster_must_name_a_shared_folder():
