@@ -52,8 +52,9 @@ LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
 def _packed(values: np.ndarray, kind: str = "<i4") -> bytes:
-    """Numbers, compressed; the size comes first."""
-    return _compressed(values.astype(kind).tobytes())
+    """Numbers, compressed plane by plane: the lowest bytes of all, then the next, so that small numbers cost little."""
+    planes = values.astype(kind).view(np.uint8).reshape(values.size, np.dtype(kind).itemsize).T
+    return _compressed(planes.tobytes())
 
 
 def _compressed(raw: bytes) -> bytes:
@@ -65,7 +66,8 @@ def _raw(data: bytes) -> bytes:
 
 
 def _unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
-    return np.frombuffer(_raw(data), kind)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_raw(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def _parts(first: bytes, second: bytes, words: bool) -> tuple:
@@ -139,8 +141,12 @@ class _Gathering:
         example = np.empty(found.size, np.int64)
         example[merged] = np.arange(merged.size)
         codes = merged[np.concatenate(self.codes)]
-        words = b"\n".join([self.words[i] for i in example.tolist()])
-        yield _row(block, lang, np.concatenate(self.places), codes, b"", _compressed(words), np.bincount(codes))
+        n = np.bincount(codes)
+        frequent_first = np.argsort(-n, kind="stable")  # small codes for frequent words
+        rank = np.empty(n.size, np.int64)
+        rank[frequent_first] = np.arange(n.size)
+        words = b"\n".join([self.words[i] for i in example[frequent_first].tolist()])
+        yield _row(block, lang, np.concatenate(self.places), rank[codes], b"", _compressed(words), n[frequent_first])
 
 
 def word_blocks(docs: DataFrame, lang: str = "lang") -> DataFrame:
@@ -299,19 +305,18 @@ def mine_phrases(
     """
     words = saved(word_blocks(docs, lang), "phrase-words")
     kept, groups = _frequent(_by_code(words, True), least)
-    totals = _totals(words)
+    totals = saved(_totals(words), "phrase-totals")
     phrases = groups.select("id", F.col("first").alias("lang"), "f", F.array("second").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails"))
-    relation, found, counted = words, [], [kept]
+    relation, found = words, []
     for _ in range(2, longest + 1):
         longer = saved(extended(relation, kept), "phrase-relation")
-        if relation is not words:
-            dropped(relation)
-        relation = longer
+        dropped(relation)
+        relation, shorter = longer, kept
         kept, groups = _frequent(_by_code(relation, False), least)
-        counted.append(kept)
         phrases = saved(_described(groups, phrases), "phrase-found")
+        dropped(shorter)
         found.append(phrases)
-    dropped(relation)
+    dropped(relation, kept)
 
     candidates = []
     for i, phrases in enumerate(found):
@@ -329,7 +334,7 @@ def mine_phrases(
     first = salted.withColumn("rank", F.row_number().over(W.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("rank") <= top)
     last = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     result = saved(last.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "phrase-result")
-    dropped(words, *found, *counted)
+    dropped(totals, *found)
     return result
 
 
