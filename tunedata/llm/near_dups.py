@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -294,6 +293,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes `comps` (id, comp) after more links: only links between different classes count, each pair of classes once."""
+    of = lambda end: comps.select(F.col("id").alias(end), F.col("comp").alias(f"_{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select(*_pair(F.coalesce("_a", "a"), F.coalesce("_b", "b"))).where("a <> b").distinct()
+    tops = components(ends)
+    moved = comps.join(tops.select(F.col("id").alias("comp"), F.col("comp").alias("_top")), "comp", "left")
+    new = tops.join(comps, "id", "left_anti")
+    out = saved(moved.select("id", F.coalesce("_top", "comp").alias("comp")).unionByName(new), "dup-labels")
+    dropped(tops)
+    return out
+
+
 def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -353,6 +365,31 @@ def exact_pairs(texts: DataFrame, weights: np.ndarray, similarity: float) -> Dat
     enough weight left from that shingle on.
     """
     rare = _rare_shingles(texts, weights, similarity)
+    out = _met_pairs(rare, similarity)
+    dropped(rare)
+    return out
+
+
+def _enough(similarity: float) -> Column:
+    """Whether a text and another (names with _ before) have enough weight left from a common shingle on."""
+    return F.least("rest", "_rest") >= (similarity / (1 + similarity) - 1e-6) * (F.col("whole") + F.col("_whole"))
+
+
+def _rare_stars(rare: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Distinct pairs of texts that may be similar: at every shingle, all against one text of its most
+    frequent class and one of its least frequent class; the turn decides which."""
+    head = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("_h"), "id", "comp", "rest", "whole")).alias("_c")
+    per_class = rare.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("_n"), head)
+    ends = F.struct("_n", F.xxhash64("comp", F.lit(turn)).alias("_h"), "_c")
+    centers = per_class.groupBy("shingle").agg(F.count(F.lit(1)).alias("_k"), F.array(F.max(ends)["_c"], F.min(ends)["_c"]).alias("_cs"))
+    centers = centers.where("_k > 1").select("shingle", F.explode("_cs").alias("_c"))
+    centers = centers.select("shingle", *[F.col(f"_c.{c}").alias(f"_{c}") for c in ("id", "comp", "rest", "whole")])
+    met = rare.join(centers, "shingle").where((F.col("comp") != F.col("_comp")) & _enough(similarity))
+    return met.select(*_pair(F.col("id"), F.col("_id"))).distinct()
+
+
+def _met_pairs(rare: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of `exact_pairs`, from the rare shingles of the texts."""
     per_class = rare.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("_n"))
     met = per_class.groupBy("shingle").agg(
         F.max(F.struct("_n", "comp"))["comp"].alias("_main"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"), F.count(F.lit(1)).alias("_k")
@@ -367,13 +404,42 @@ def exact_pairs(texts: DataFrame, weights: np.ndarray, similarity: float) -> Dat
     left = left.select("shingle", "id", "comp", "rest", "whole", "l", every("_right"))
     right = rows.select("shingle", mine("_right"), "_left", *[F.col(c).alias(f"_{c}") for c in ("id", "comp", "rest", "whole")])
     right = right.select("shingle", "r", "_id", "_comp", "_rest", "_whole", every("_left"))
-    enough = F.least("rest", "_rest") >= (similarity / (1 + similarity) - 1e-6) * (F.col("whole") + F.col("_whole"))
-    found = left.join(right, ["shingle", "l", "r"]).where((F.col("comp") != F.col("_comp")) & enough)
+    found = left.join(right, ["shingle", "l", "r"]).where((F.col("comp") != F.col("_comp")) & _enough(similarity))
     out = saved(found.select(*_pair(F.col("id"), F.col("_id"))).distinct(), "dup-pairs")
-    dropped(rare, rows)
+    dropped(rows)
     return out
 
 
+def linked_by_rare(texts: DataFrame, comps: DataFrame, signed: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
+    """Classes `comps` (id, comp) after every link between the `texts` (id, comp, shingles).
+
+    A group of m similar texts has up to m * m links, but m - 1 join it. So all texts of a rare shingle are first
+    compared with two of them, in `STARS` turns, each at most two rows per text and shingle; only texts that
+    are then still in different classes are set against each other (`exact_pairs`).
+    """
+    rare = _rare_shingles(texts, weights, similarity)
+    steps = []
+    for turn in range(STARS + 1):
+        if turn:  # classes so far
+            known = rare.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        else:
+            known = rare
+        pairs = _rare_stars(known, similarity, turn) if turn < STARS else _met_pairs(known, similarity)
+        todo = pairs
+        for done in steps:
+            todo = todo.join(done, ["a", "b"], "left_anti")
+        todo = saved(todo, "dup-pairs")
+        if turn == STARS:
+            dropped(pairs)
+        steps.append(todo)
+        if todo.limit(1).count():
+            links = verified(todo, signed, weights, similarity)
+            comps = merged(comps, links)
+            dropped(links)
+    dropped(rare, *steps)
+    return comps
+
+
 def classes(
     rows: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS
 ) -> DataFrame:
@@ -385,7 +451,7 @@ def classes(
     the first member outside the classes of the centers so far, up to `STARS` times: one row a member
     each time, whatever the size of the bucket. Buckets of up to `STARS` members are so compared
     completely. The texts of larger ones that still hold several classes then meet by rare shingles,
-    which finds every link between them (`exact_pairs`). Comparisons are of whole shingle sets.
+    which finds every class they form (`linked_by_rare`). Comparisons are of whole shingle sets.
     """
     signed = saved(shingled(rows), "dup-shingles")
     weights = shingle_weights(signed)
@@ -404,8 +470,9 @@ def classes(
     buckets = buckets.where("n > 1").select("band", "key", "n", F.col("_c.id").alias("center"))
     members = saved(members.join(buckets, ["band", "key"]).select("band", "key", "n", "center", "id"), "dup-members")
     tried = saved(members.where("id <> center").select(*_pair(F.col("id"), F.col("center"))).distinct(), "dup-pairs")
-    steps, links = [tried], [verified(tried, signed, weights, similarity)]
-    comps = components(links[0])
+    steps, links = [tried], verified(tried, signed, weights, similarity)
+    comps = components(links)
+    dropped(links)
     centers = members.select("band", "key", F.array("center").alias("centers")).distinct()
     for _ in range(1, STARS):
         known, open_ = _open(members, comps)
@@ -425,16 +492,14 @@ def classes(
         steps.append(star)
         if not star.limit(1).count():
             break
-        links.append(verified(star, signed, weights, similarity))
-        comps = components(reduce(DataFrame.union, links))
+        links = verified(star, signed, weights, similarity)
+        comps = merged(comps, links)
+        dropped(links)
     known, open_ = _open(members.where(F.col("n") > STARS), comps)
     left = saved(known.join(open_, ["band", "key"]).select("id", "comp").distinct(), "dup-open")
     if left.limit(1).count():
         texts = left.join(signed.select(F.col("uid").alias("id"), "shingles"), "id")
-        third = exact_pairs(texts, weights, similarity)
-        steps.append(third)
-        links.append(verified(third, signed, weights, similarity))
-        comps = components(reduce(DataFrame.union, links))
+        comps = linked_by_rare(texts, comps, signed, weights, similarity)
     best = (
         exact.join(comps, "id", "left")
         .withColumn("comp", F.coalesce("comp", "id"))
@@ -446,7 +511,7 @@ def classes(
         keyed.select("uid", "doc_id", "h1", "h2", same[2]).join(named, ["h1", "h2", "alone"]).select("uid", "doc_id", "first"),
         "dup-classes",
     )
-    dropped(signed, keyed, exact, members, left, *steps, *links)
+    dropped(signed, keyed, exact, members, left, *steps)
     return out
 
 
