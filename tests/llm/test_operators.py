@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tunedata.llm import decontaminate, language_id, line_dedup, lm_scoring, mixing, near_dups, pii, quality
 from tunedata.llm import token_counts, url_filter
@@ -148,6 +149,15 @@ def test_language_of_odd_rows(odd, empty, corpus):
     assert language_id.identify(empty, language_id.fitted(corpus)).count() == 0
 
 
+def test_the_sample_comes_packed(corpus, monkeypatch):
+    """Buckets and shares of the sample reach the driver as bytes, never as one Python number each."""
+    kinds, train = [], language_id.train
+    monkeypatch.setattr(type(corpus), "collect", lambda self: pytest.fail("rows as Python objects"))
+    monkeypatch.setattr(language_id, "train", lambda features, labels: kinds.extend(type(x.base) for f in features for x in f) or train(features, labels))
+    assert language_id.fitted(corpus).languages == ["de", "en", "es", "fr"]
+    assert set(kinds) == {bytes}
+
+
 def test_long_texts_teach_a_language_too(spark, texts):
     """A language whose texts are all long is learned; features are those of the whole text."""
     rows = [(i, (text + " ") * (1 + 9000 // len(text)) if lang == "fr" else text, lang) for i, (lang, text) in enumerate(
@@ -496,6 +506,32 @@ def test_rare_shingles_find_every_link(spark, monkeypatch, block):
     assert {tuple(r) for r in near_dups.verified(found, signed, weights, 0.8).collect()} == want
 
 
+def test_a_group_is_joined_without_all_its_pairs(spark, monkeypatch):
+    """120 similar texts have 7,140 links; a few rows a text join them, and texts apart stay apart."""
+    words, far = [f"word{i}" for i in range(200)], [f"far{i}" for i in range(200)]
+    rows = [(i, i, " ".join(words[:i] + [f"new{i}"] + words[i + 1 :])) for i in range(120)]
+    rows += [(i, i, " ".join(far[: i - 60] + [f"new{i}"] + far[i - 59 :])) for i in range(120, 150)]
+    signed = near_dups.shingled(spark.createDataFrame(rows, "uid long, doc_id long, text string"))
+    weights, tried, verified = near_dups.shingle_weights(signed), [], near_dups.verified
+    monkeypatch.setattr(near_dups, "verified", lambda pairs, *a: tried.append(pairs.count()) or verified(pairs, *a))
+    # the last 10 of the group are a class already
+    comps = spark.createDataFrame([(i, 110) for i in range(110, 120)], "id long, comp long")
+    texts = signed.select(F.col("uid").alias("id"), "shingles").join(comps, "id", "left").selectExpr("id", "coalesce(comp, id) as comp", "shingles")
+    found = {r.id: r.comp for r in near_dups.linked_by_rare(texts, comps, signed, weights, 0.8).collect()}
+    assert found == {i: 0 if i < 120 else 120 for i in range(150)}
+    assert 149 - 10 <= sum(tried) <= 6 * 150
+
+
+def test_more_links_merge_classes(spark):
+    links = [[(1, 2), (2, 3), (7, 9)], [(3, 9), (4, 5), (1, 3)], [(5, 20), (20, 21), (0, 4)]]
+    frames = [spark.createDataFrame(x, "a long, b long") for x in links]
+    comps = near_dups.components(frames[0])
+    for k, more in enumerate(frames[1:], 2):
+        comps = near_dups.merged(comps, more)
+        whole = near_dups.components(spark.createDataFrame(sum(links[:k], []), "a long, b long"))
+        assert sorted(map(tuple, comps.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_near_duplicate_classes_of_a_corpus(spark):
     """Classes at sf0.01 against brute force over all pairs that share a shingle."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

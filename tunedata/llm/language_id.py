@@ -143,7 +143,7 @@ def fitted(docs: DataFrame, folds: int = FOLDS) -> Model:
     Per language the rows with the least hash are taken, up to `ROWS_PER_LANGUAGE`, whatever their
     length; ties are equal rows. Rows are picked by hash alone, in two steps, so a language with most
     rows is not ranked in one task, and only bucket counts of the picked texts, made from whole texts on
-    the executors, reach the driver: at most `BUCKETS` numbers for each. Without labelled texts the model
+    the executors, reach the driver, packed: at most `BUCKETS` numbers for each. Without labelled texts the model
     knows no language.
     """
     key = F.xxhash64("doc_id", "text")
@@ -157,15 +157,21 @@ def fitted(docs: DataFrame, folds: int = FOLDS) -> Model:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = features_of(B.texts(batch.column(2)))
-            buckets = pa.array([f.tolist() for f, _ in found], pa.list_(pa.int32()))
-            shares = pa.array([w.tolist() for _, w in found], pa.list_(pa.float32()))
+            buckets = pa.array([f.tobytes() for f, _ in found], pa.binary())
+            shares = pa.array([w.tobytes() for _, w in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), buckets, shares], ["lang", "h", "buckets", "shares"])
 
     texts = usable.select("lang", key.alias("_h"), "text").join(picked, ["lang", "_h"], "left_semi").dropDuplicates(["lang", "_h"])
-    counted = texts.select("lang", "_h", "text").mapInArrow(B.freed(read), "lang string, h long, buckets array<int>, shares array<float>")
-    sample = sorted(counted.collect(), key=lambda r: (r.lang, r.h))
+    counted = texts.select("lang", "_h", "text").mapInArrow(B.freed(read), "lang string, h long, buckets binary, shares binary")
+    sample = counted.toArrow()
     dropped(picked)
-    return train([(np.array(r.buckets, np.int32), np.array(r.shares, np.float32)) for r in sample], [r.lang for r in sample])
+    langs, hashes, buckets, shares = (c.to_pylist() for c in sample.columns)
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], hashes[i]))
+    features = [(np.frombuffer(buckets[i], np.int32), np.frombuffer(shares[i], np.float32)) for i in order]
+    model = train(features, [langs[i] for i in order])
+    del sample, buckets, shares, features
+    B.free()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, names: Sequence[str] = ("lang_pred", "score", "rejected")) -> DataFrame:
