@@ -273,3 +273,25 @@ def test_a_stop_request_is_a_line_of_the_log(spark):
     lines, ev = (d.withColumn("ts", F.timestamp_seconds("t")) for d in (lines, ev))
     log = L.job_log(lines, ev).orderBy("at", "seq").collect()
     assert [r.line for r in log] == ["a", "b", "c", L.STOP_LINE, "d", L.STOP_LINE, "boom"]
+
+
+def test_a_long_ring_ranks_only_the_block_it_cuts(spark, tmp_path):
+    """Keys of up to n rows and later blocks stay where they are; numbers and keys may be null."""
+    n, span = 1200, 500
+    rows = [(1, i) for i in range(5000)] + [(2, 3 * i) for i in range(n)] + [(3, i) for i in range(n + 1)] + [(4, 7), (4, None)]
+    rows += [(None, i) for i in range(2 * n)] + [(5, i) for i in range(1000)] + [(5, None)] * 300
+    df = spark.createDataFrame([(j, s, f"line {s}") for j, s in rows], "job_id long, seq long, line string")
+    want = []
+    for job in {j for j, _ in rows}:
+        own = sorted((s for j, s in rows if j == job), key=lambda s: (s is None, -(s or 0)))
+        want += [(job, s, f"line {s}" if s is not None else "line None") for s in own[:n]]
+    got = blocks.newest_rows(df, ["job_id"], ["seq"], n, span)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, L.ring(df, n).collect()), key=repr) == sorted(want, key=repr)
+    ranked = blocks.last_rows(df, ["job_id"], ["seq"], n).where("job_id = 1").collect()
+    assert sorted(r._from_end for r in ranked) == list(range(1, n + 1)) and all(r.seq == 5000 - r._from_end for r in ranked)
+    df.where("job_id = 2 or job_id = 4").write.parquet(str(tmp_path / "short"))
+    whole = L.ring(spark.read.parquet(str(tmp_path / "short")), n)
+    whole.collect()
+    final = whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert whole.count() == n + 2 and "Window" not in final and "Sort" not in final

@@ -19,6 +19,7 @@ from tunedata.sources.session import scratch_dir
 
 BLOCK = "_block"
 DEFAULT_SPAN = 1 << 16
+BEFORE_ALL = -(1 << 63)  # block of rows without a number
 
 
 def block_of(seq: str, span: int = DEFAULT_SPAN) -> Column:
@@ -108,18 +109,53 @@ def in_last_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n:
     return blocked.join(needed, same, "left_semi").drop(BLOCK)
 
 
+def newest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, span: int = DEFAULT_SPAN) -> DataFrame:
+    """The last `n` rows of every key, in no order.
+
+    Rows are counted per block, which reads keys and numbers only, and the counts summed up backwards. A key of
+    up to `n` rows keeps them all, unranked where they are read. A longer one is cut in one block: later blocks
+    stay whole, earlier ones go, and only the rows of that block are ranked. The list of cuts, one row
+    for each longer key, goes through the shared folder, so that Spark knows its size when it joins it.
+    """
+    spark = df.sparkSession
+    blocked = df.withColumn(BLOCK, F.coalesce(block_of(order[0], span), F.lit(BEFORE_ALL)))
+    counts = blocked.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    of_key = W.partitionBy(*keys)
+    later = of_key.orderBy(F.col(BLOCK).desc()).rowsBetween(W.unboundedPreceding, -1)
+    after = counts.withColumn("_after", F.coalesce(F.sum("_n").over(later), F.lit(0))).withColumn("_all", F.sum("_n").over(of_key))
+    cuts = after.where((F.col("_all") > n) & (F.col("_after") < n) & (F.col("_after") + F.col("_n") >= n))
+    path = scratch_dir(spark, "cuts")
+    names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    cuts.select(*names, F.col(BLOCK).alias("_cut"), (n - F.col("_after")).alias("_left")).write.parquet(path)
+    cuts = spark.read.parquet(path)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    whole = blocked.join(cuts, same & (F.col(BLOCK) <= F.col("_cut")), "left_anti")
+    edge = blocked.join(cuts, same & (F.col(BLOCK) == F.col("_cut")))
+    place = F.row_number().over(of_key.orderBy(*[F.col(c).desc() for c in order]))
+    edge = edge.withColumn("_place", place).where(F.col("_place") <= F.col("_left"))
+    return whole.select(*df.columns).union(edge.select(*df.columns))
+
+
+def beyond_limit(df: DataFrame, n: int) -> bool:
+    """Whether Spark ranks all rows of a key to find its last `n`."""
+    return n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+
+
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, span: int = 1 << 20) -> DataFrame:
     """The last `n` rows of every key, with `_from_end` counting 1, 2, … backwards.
 
     Ranked per block first, so the final ranking of a key sees n rows per block at most. Spark drops what a
     task cannot need before the shuffle if `n` is within its limit for that; for a larger `n` only the
-    blocks that hold the last rows are ranked.
+    last rows of every key are ranked.
     """
-    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        df = in_last_blocks(df, keys, order, n)
     newest_first = [F.col(c).desc() for c in order]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*newest_first))
+    if beyond_limit(df, n):
+        return newest_rows(df, keys, order, n).withColumn("_from_end", place)
     per_block = F.row_number().over(W.partitionBy(*keys, BLOCK).orderBy(*newest_first))
     candidates = df.withColumn(BLOCK, block_of(order[0], span)).withColumn("_in_block", per_block)
     candidates = candidates.where(F.col("_in_block") <= n).drop("_in_block", BLOCK)
-    ranked = candidates.withColumn("_from_end", F.row_number().over(W.partitionBy(*keys).orderBy(*newest_first)))
+    ranked = candidates.withColumn("_from_end", place)
     return ranked.where(F.col("_from_end") <= n)

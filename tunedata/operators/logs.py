@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tunedata import dims
 from tunedata.functions.text import div, is_blank, literal_map
-from tunedata.operators.blocks import BLOCK, DEFAULT_SPAN, in_blocks, join_blocks, last_rows, running_total
+from tunedata.operators.blocks import BLOCK, DEFAULT_SPAN, beyond_limit, in_blocks, join_blocks, last_rows, newest_rows, running_total
 
 # --- fixed values: what a trainer's log lines look like ---------------------------------
 LOSS = r"""(?i)loss["']?[:=\s]+([0-9]*\.?[0-9]+(?:e-?\d+)?)"""
@@ -212,6 +212,8 @@ def last_wins(df: DataFrame, keys: Sequence[str], value: str, seq: str = "seq")
 
 def ring(lines: DataFrame, n: int = RING_LINES, key: str = "job_id", order: Sequence[str] = ("seq",)) -> DataFrame:
     """The last `n` lines of every job, one row each."""
+    if beyond_limit(lines, n):
+        return newest_rows(lines, [key], order, n)
     return last_rows(lines, [key], order, n).drop("_from_end")
 
 
