@@ -8,6 +8,7 @@ from tests.test_logs import random_lines
 
 from tunedata.operators import logs as L
 from tunedata.streaming import logs as S
+from tunedata.streaming import ordered
 
 
 @pytest.fixture(scope="module")
@@ -147,3 +148,21 @@ def test_watch_hands_over_batches_and_a_replay_changes_nothing(spark, own, tmp_p
         S.upsert(kept)(spark.createDataFrame(rows, stream.schema), i)
     assert [(r.job_id, r.seq, r.step, r.loss) for r in newest.collect()] == want
     assert spark.read.parquet(kept).count() == 2
+
+
+def test_jobs_share_groups_of_state(spark, own, tmp_path, monkeypatch):
+    """One call serves many jobs: there are as many groups as buckets, and jobs of a bucket do not mix."""
+    monkeypatch.setattr(ordered.in_order, "__defaults__", (2,))
+    rows = [(j, s, f"step {9 * j}: loss {j}.5" if s == 2 else f"loss {j}.{s}", 1000 + s) for j in range(300) for s in range(5)]
+    df = spark.createDataFrame(rows, "job_id long, seq long, line string, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    clock = S.beat(spark, str(tmp_path / "clock"), "1970-01-01")
+    stream = S.stream_loss_series(arriving(own, df, str(tmp_path / "in"), 2, 3), "2 hours", clock)
+    query = S.run_to_files(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+    query.awaitTermination()
+    held = [p.stateOperators[0].customMetrics for p in query.recentProgress if p.stateOperators]
+    assert max(int(m["numRegisteredTimers"]) for m in held if "numRegisteredTimers" in m) <= 3
+    S.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "ck"), clock)
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    assert got.where("late").count() == 0
+    want = sorted(tuple(r) for r in L.loss_series(df).select("job_id", "seq", "step", "loss").collect())
+    assert sorted(tuple(r) for r in got.select("job_id", "seq", "step", "loss").collect()) == want

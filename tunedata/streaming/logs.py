@@ -2,7 +2,7 @@
 
 Output does not depend on how rows are dealt into micro-batches: rows wait, up to a stated lateness,
 until their turn has come (see `ordered`), and what comes later still leaves as `late`. State is
-keyed by job: waiting rows, and a text tail, a counter or the open spells. What does not need state
+kept by buckets of jobs, or by job for stalls: waiting rows, and a text tail, a counter or the open spells. What does not need state
 (matching, parsing, dropping lines without a loss) runs before the shuffle. Streams need a session of
 `stream_session`; at the end of a finite input, `run_to_end` lets all waiting rows go.
 """
@@ -59,21 +59,18 @@ def stream_lines(
     """
     out = T.StructType().add(seq, "long").add("line_no", "long").add("line", "string")
 
-    def cut(frame: pd.DataFrame, state: tuple) -> tuple[tuple, pd.DataFrame]:
+    def cut(state: tuple, at: int, chunk: str) -> tuple[tuple, list[tuple]]:
         tail, line_no = state
-        rows = []
-        for at, chunk in zip(frame[SEQ].tolist(), frame["content"], strict=True):
-            # one character ends a line; str.splitlines knows more terminators than these two
-            *done, tail = (tail + chunk).replace("\r", "\n").split("\n")
-            rows.extend((at, line_no + i, line) for i, line in enumerate(done) if line.strip())
-            line_no += len(done)
-        return (tail, line_no), pd.DataFrame(rows, columns=out.fieldNames())
+        # one character ends a line; str.splitlines knows more terminators than these two
+        *done, tail = (tail + chunk).replace("\r", "\n").split("\n")
+        rows = [(at, line_no + i, line) for i, line in enumerate(done) if line.strip()]
+        return (tail, line_no + len(done)), rows
 
     def late(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({seq: nullable(frame[SEQ]), "line_no": nullable([None] * len(frame)), "line": frame["content"].to_numpy()})
 
     chosen = chunks.where(F.col(text).isNotNull()).select(*keys, ts, F.col(seq).alias(SEQ), F.col(text).alias("content"))
-    return in_order(chosen, keys, ts, lateness, clock, slot_seconds, out, cut, ("", 0), "tail string, line_no long", late)
+    return in_order(chosen, keys, ts, lateness, clock, slot_seconds, out, cut, ("", 0), late)
 
 
 def stream_loss_series(
@@ -93,22 +90,16 @@ def stream_loss_series(
     points = loss_points(lines, [key, seq, ts], line)
     out = T.StructType().add(seq, "long").add("step", "long").add("loss", "double")
 
-    def advance(frame: pd.DataFrame, state: tuple) -> tuple[tuple, pd.DataFrame]:
-        explicit = pd.Series(nullable(frame["explicit_step"]))
-        known = explicit.notna().to_numpy()
-        position = np.arange(1, len(frame) + 1)
-        # distance to the latest explicit step, or to the state where there is none yet
-        anchor = np.maximum.accumulate(np.where(known, position, 0))
-        base = np.concatenate(([state[0]], explicit.fillna(0).to_numpy("int64")))
-        step = base[anchor] + position - anchor
-        return (int(step[-1]),), pd.DataFrame({seq: frame[SEQ].to_numpy(), "step": step, "loss": frame["loss"].to_numpy()})
+    def advance(state: tuple, at: int, explicit: str | None, loss: float) -> tuple[tuple, list[tuple]]:
+        step = state[0] + 1 if explicit is None else int(explicit)
+        return (step,), [(at, step, loss)]
 
     def late(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({seq: nullable(frame[SEQ]), "step": nullable(frame["explicit_step"]), "loss": frame["loss"].to_numpy()})
 
     # numbers travel as text: a null would turn a column of whole numbers into floats
     points = points.select(key, ts, F.col(seq).alias(SEQ), F.col("explicit_step").cast("string"), "loss")
-    return in_order(points, [key], ts, lateness, clock, slot_seconds, out, advance, (0,), "step long", late)
+    return in_order(points, [key], ts, lateness, clock, slot_seconds, out, advance, (0,), late)
 
 
 class Spells(StatefulProcessor):

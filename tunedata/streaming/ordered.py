@@ -1,13 +1,14 @@
 """Rows of a stream in the order of their sequence numbers, whatever order and batches they arrive in.
 
-A row waits in the state of its key until the watermark says that nothing before it is still to come.
-Waiting rows lie in a map keyed by time slot; one event-time timer per slot takes that slot out, sorts
-it and hands it on. So a batch writes only its own rows, and a slot is read once. Rows that come after
+A row waits in the state of its bucket of keys until the watermark says that nothing before it is still to
+come. Many keys share a bucket, as every call for a group costs far more than a row. Waiting rows lie in
+a map keyed by time slot; one event-time timer per slot takes that slot out, sorts it and hands it on. So a batch writes only its own rows, and a slot is read once. Rows that come after
 their slot has left are handed over as late, never dropped.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -23,8 +24,10 @@ MARKS = "at timestamp"
 END_OF_TIME = "9999-01-01 00:00:00"
 NONE = -(1 << 63)  # stands for a missing number or time, as a null would turn the column into floats
 LATE = "late"
+# keys are dealt into so many groups of state; a group's rows of one time slot are in memory at once
+BUCKETS = 1024
 # Columns inside the processor; Spark hands rows over as named tuples, which know no leading underscore.
-SEQ = "seq_no"
+SEQ, BUCKET = "seq_no", "bucket_no"
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
@@ -53,8 +56,10 @@ def _never_null(dtype: T.DataType) -> Column:
     return F.lit("").cast(dtype) if isinstance(dtype, T.StringType) else F.lit(0).cast(dtype)
 
 
-def timed(rows: DataFrame, keys: Sequence[str], ts: str, lateness: str, clock: str | None, data_drives: bool = True) -> GroupedData:
-    """`rows` by key with `at_ms` and `at_us` in place of `ts`, under a watermark `lateness` behind the newest time.
+def timed(
+    rows: DataFrame, keys: Sequence[str], ts: str, lateness: str, clock: str | None, data_drives: bool = True, buckets: int | None = None
+) -> GroupedData:
+    """`rows` by key, or by so many buckets of keys, with `at_ms` and `at_us` in place of `ts`, under a watermark `lateness` behind the newest time.
 
     Marks of `clock` count as times seen and form a group of their own (the last part of the key is
     true). With `data_drives` false only marks move the watermark. Once it is set the time is a plain
@@ -74,7 +79,10 @@ def timed(rows: DataFrame, keys: Sequence[str], ts: str, lateness: str, clock: s
         blank = {f.name: F.lit(NONE) if isinstance(f.dataType, T.LongType) else F.lit(None).cast(f.dataType) for f in marked.schema.fields}
         blank |= {k: _never_null(dtype[k]) for k in keys} | {"seen": F.col("at"), "is_mark": F.lit(True)}
         marked = marked.unionByName(marks.select(*[c.alias(name) for name, c in blank.items()]))
-    return marked.withWatermark("seen", lateness).drop("seen").groupBy(*keys, "is_mark")
+    marked = marked.withWatermark("seen", lateness).drop("seen")
+    if not buckets:
+        return marked.groupBy(*keys, "is_mark")
+    return marked.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy(BUCKET, "is_mark")
 
 
 # --- the processor -----------------------------------------------------------------------------
@@ -98,33 +106,32 @@ def nullable(numbers: Sequence) -> pd.api.extensions.ExtensionArray:
     return pd.array([None if x is None or int(x) == NONE else int(x) for x in numbers], dtype="Int64")
 
 
-# (frame in order, state so far) -> (state, output rows)
-Advance = Callable[[pd.DataFrame, tuple], tuple[tuple, pd.DataFrame]]
+# (state of the key so far, number, other values of the row) -> (state, output rows)
+Advance = Callable[..., tuple[tuple, list[tuple]]]
 
 
 class InOrder(StatefulProcessor):
-    """Feeds every key's rows to `advance` in the order of `seq_no`, each time slot as its time has come."""
+    """Feeds the rows of every key of a bucket to `advance` in the order of `seq_no`, each time slot as its time has come."""
 
-    def __init__(self, keys: Sequence[str], slot_ms: int, advance: Advance, start: tuple, state: str, late: Callable, columns: list[str]):
-        self.keys, self.slot_ms = list(keys), slot_ms
-        self.advance, self.start, self.state = advance, start, state
-        self.late, self.columns = late, columns
+    def __init__(self, keys: Sequence[str], values: Sequence[str], slot_ms: int, advance: Advance, start: tuple, late: Callable, made: list[str]):
+        self.keys, self.values, self.slot_ms = list(keys), list(values), slot_ms
+        self.advance, self.start = advance, start
+        self.late, self.made = late, made
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "slot long, arrival long", "rows binary")
-        self.so_far = handle.getValueState("so_far", f"arrivals long, last_seq long, {self.state}")
+        self.arrivals = handle.getValueState("arrivals", "n long")
+        # by key: its last number and state
+        self.so_far = handle.getValueState("so_far", "states binary")
 
-    def _state(self) -> tuple[int, int | None, tuple]:
-        known = self.so_far.get()  # every call is a round trip to the JVM, so `exists` is not asked first
-        if known is None:
-            return 0, None, self.start
-        arrivals, last, *rest = known
-        return arrivals, last, tuple(rest)
+    def _out(self, source: pd.DataFrame, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
+        """`rows` with the keys of the `source` rows they come from."""
+        rows = rows.assign(**{k: source[k].to_numpy() for k in self.keys}, **{LATE: late})
+        return rows[[*self.keys, *self.made, LATE]]
 
-    def _out(self, key: tuple, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
-        rows = rows.assign(**dict(zip(self.keys, key[:-1], strict=True)), **{LATE: late})
-        return rows[self.columns]
+    def _ids(self, frame: pd.DataFrame) -> list[tuple]:
+        return list(zip(*(frame[k].tolist() for k in self.keys), strict=True))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         if key[-1]:  # marks of the clock
@@ -133,36 +140,44 @@ class InOrder(StatefulProcessor):
         slot = frame["at_ms"] // self.slot_ms
         gone = (frame[SEQ] == NONE) | ((slot + 1) * self.slot_ms <= timerValues.getCurrentWatermarkInMs())
         if gone.any():
-            yield self._out(key, self.late(frame[gone]), True)
+            yield self._out(frame[gone], self.late(frame[gone]), True)
         frame, slot = frame[~gone], slot[~gone]
         if len(frame):
-            arrivals, last, state = self._state()
-            for at, part in frame.groupby(slot):
+            (arrivals,) = self.arrivals.get() or (0,)  # every call is a round trip to the JVM, so `exists` is not asked first
+            for at, part in frame[[*self.keys, SEQ, *self.values]].groupby(slot):
                 self.waiting.updateValue((int(at), arrivals), (_to_bytes(part),))
                 self.handle.registerTimer((int(at) + 1) * self.slot_ms)
-            self.so_far.update((arrivals + 1, last, *state))
+            self.arrivals.update((arrivals + 1,))
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         due = sorted(k for k in self.waiting.keys() if (k[0] + 1) * self.slot_ms <= until)
         if not due:  # taken with an earlier slot
             return
-        arrivals, last, state = self._state()
+        known = self.so_far.get()
+        states: dict[tuple, tuple] = pickle.loads(known[0]) if known else {}
         for slot in sorted({k[0] for k in due}):
             mine = [k for k in due if k[0] == slot]
             frame = pd.concat([_from_bytes(self.waiting.getValue(k)[0]) for k in mine], ignore_index=True)
             for k in mine:
                 self.waiting.removeKey(k)
-            frame = frame.sort_values(SEQ, kind="stable")
-            if last is not None and (behind := frame[SEQ] <= last).any():  # its time says later, its number earlier
-                yield self._out(key, self.late(frame[behind]), True)
-                frame = frame[~behind]
-            if len(frame):
-                state, made = self.advance(frame, state)
-                last = int(frame[SEQ].iloc[-1])
-                if len(made):
-                    yield self._out(key, made, False)
-        self.so_far.update((arrivals, last, *state))
+            frame = frame.sort_values(SEQ, kind="stable", ignore_index=True)
+            ids, numbers = self._ids(frame), frame[SEQ].tolist()
+            behind = [i in states and n <= states[i][0] for i, n in zip(ids, numbers, strict=True)]
+            if any(behind):  # their time says later, their number earlier
+                yield self._out(frame[behind], self.late(frame[behind]), True)
+                frame = frame[[not x for x in behind]]
+                ids, numbers = self._ids(frame), frame[SEQ].tolist()
+            at, made = [], []
+            for i, (owner, n, *values) in enumerate(zip(ids, numbers, *(frame[c].tolist() for c in self.values), strict=True)):
+                _, state = states.get(owner, (None, self.start))
+                state, rows = self.advance(state, n, *values)
+                states[owner] = (n, state)
+                made += rows
+                at += [i] * len(rows)
+            if made:
+                yield self._out(frame.iloc[at], pd.DataFrame(made, columns=self.made), False)
+        self.so_far.update((pickle.dumps(states),))
 
     def close(self) -> None:
         pass
@@ -178,17 +193,22 @@ def in_order(
     out: T.StructType,
     advance: Advance,
     start: tuple,
-    state: str,
     late: Callable[[pd.DataFrame], pd.DataFrame],
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Run `advance` over every key's rows in the order of `seq_no` -> keys, the columns of `out`, late.
 
+    `advance` gets the state of the key (`start` at first), the row's number and its other columns in order.
+    Keys are dealt into `buckets`; more of them hold fewer rows in memory at once and cost more calls.
+
     A row waits until all of its slot of `slot_seconds` lies `lateness` behind the newest row or mark.
     Within a key, times must not fall as numbers grow; a row that breaks this, comes too late, or has no
     number or time is given to `late`, whose rows leave with `late` true.
     """
     types = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType([*[T.StructField(k, types[k]) for k in keys], *out.fields, T.StructField(LATE, T.BooleanType())])
-    ready = timed(rows.withColumn(SEQ, F.coalesce(F.col(SEQ).cast("bigint"), F.lit(NONE))), keys, ts, lateness, clock)
-    processor = InOrder(keys, slot_seconds * 1000, advance, start, state, late, schema.fieldNames())
+    values = [f.name for f in rows.schema.fields if f.name not in {*keys, ts, SEQ}]
+    numbered = rows.withColumn(SEQ, F.coalesce(F.col(SEQ).cast("bigint"), F.lit(NONE)))
+    ready = timed(numbered, keys, ts, lateness, clock, buckets=buckets)
+    processor = InOrder(keys, values, slot_seconds * 1000, advance, start, late, out.fieldNames())
     return ready.transformWithStateInPandas(processor, schema, "append", "eventTime")
