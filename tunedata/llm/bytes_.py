@@ -9,9 +9,12 @@ from functools import lru_cache, wraps
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # just under a power of two, the size to which tables of powers are rounded up
 SLICE_BYTES = (2 << 20) - (64 << 10)
+# hashes are summed in steps that stay in cache
+STEP = 1 << 16
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _BASE = 0x9E3779B97F4A7C15
 
@@ -33,6 +36,22 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def parts(*columns: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of groups whose texts or binaries hold `limit` bytes at most; a longer row is alone.
+
+    A batch holds so many rows, whatever their size; what is made from it step by step need not grow with it.
+    """
+    size = np.ones(len(columns[0]), np.int64)
+    for c in columns:
+        if any(of(c.type) for of in (pa.types.is_string, pa.types.is_binary, pa.types.is_large_string, pa.types.is_large_binary)):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < ends.size:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + limit, "right")))
+        yield at, to - at
+        at = to
+
+
 def cut(text: bytes, limit: int) -> Iterator[bytes]:
     """Pieces of at most `limit` bytes, ending at white space; only a longer word makes a longer piece."""
     at = 0
@@ -76,11 +95,11 @@ def slices(rows: list[bytes], limit: int = SLICE_BYTES, cutter=cut) -> Iterator[
 
 @lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = np.full(size, _BASE, np.uint64)
-    base[0] = 1
-    inverse = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    return np.cumprod(base), np.cumprod(inverse)
+    both = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+    for x in both:
+        x[0] = 1
+        np.cumprod(x, out=x)
+    return both
 
 
 @lru_cache(maxsize=1)
@@ -88,6 +107,17 @@ def _byte_codes() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+def _sums(data: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Sum of code times power over the bytes before each place (one more at the end)."""
+    sums = np.zeros(data.size + 1, np.uint64)
+    for at in range(0, data.size, STEP):
+        step = _byte_codes()[data[at : at + STEP]]
+        step *= powers[at : at + step.size]
+        step[:1] += sums[at]
+        np.cumsum(step, out=sums[at + 1 : at + 1 + step.size])
+    return sums
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes every output bit."""
     x = x ^ (x >> np.uint64(32))
@@ -101,8 +131,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """64-bit hash of every `width` bytes that follow each other, by the place of the first."""
     up, down = _powers(1 << max(21, int(data.size).bit_length()))
-    sums = np.zeros(data.size + 1, np.uint64)
-    np.cumsum(_byte_codes()[data] * up[: data.size], out=sums[1:])
+    sums = _sums(data, up)
     return mix((sums[width:] - sums[:-width]) * down[: data.size + 1 - width])
 
 
@@ -129,6 +158,25 @@ def freed(read: Callable) -> Callable:
     return reading
 
 
+def in_parts(step: Callable) -> Callable:
+    """A function of columns as one over a task's batches: each is read in `parts`, and no memory is left behind."""
+
+    def read(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            for at, n in parts(*columns):
+                yield step(*(c.slice(at, n) for c in columns))
+
+    return freed(read)
+
+
+def batches_in_parts(batches: Iterator[pa.RecordBatch], sized: str) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in `parts` by column `sized`."""
+    for batch in batches:
+        for at, n in parts(batch.column(sized)):
+            yield batch.slice(at, n)
+
+
 class Words:
     """The words of some pieces: where each starts and ends, whose it is, and its 64-bit hash."""
 
@@ -158,8 +206,7 @@ class Words:
         """64-bit hash of every span of bytes, equal for equal bytes wherever they stand."""
         up, down = _powers(1 << max(21, int(self.blob.size).bit_length()))
         if self._sums is None:
-            self._sums = np.zeros(self.blob.size + 1, np.uint64)
-            np.cumsum(_byte_codes()[self.blob] * up[: self.blob.size], out=self._sums[1:])
+            self._sums = _sums(self.blob, up)
         return mix((self._sums[end] - self._sums[start]) * down[start])
 
     def distinct(self, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

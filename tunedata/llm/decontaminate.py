@@ -300,32 +300,29 @@ def _union(spans):
 def _search(docs: DataFrame, phrases: Phrases, window: int):
     shared = docs.sparkSession.sparkContext.broadcast(phrases)  # of one block of items
 
-    @F.arrow_udf(LEAKS_SQL)
-    @B.freed
-    def leaks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            rows = B.texts(column)
-            n_words, found = [0] * len(rows), [[] for _ in rows]
-            for shard in _overlapped(rows, window - 1):
-                hits, counts = _hits(shard, shared.value)
-                for (row, before, *_), n in zip(shard, counts.tolist(), strict=True):
-                    n_words[row] = before + n
-                for hit in hits:
-                    found[hit[0]].append(hit)
-            keys = ("word", "end_word", "start", "end")
-            yield pa.array(
-                [
-                    {
-                        "n_words": n,
-                        "spans": [dict(zip(keys, s, strict=True)) for s in _merged(hits)],
-                        "items": sorted({i for h in hits for i in h[5]} - {NO_ID}),
-                    }
-                    for n, hits in zip(n_words, found, strict=True)
-                ],
-                LEAKS,
-            )
-
-    return leaks
+    def leaks(column: pa.Array) -> pa.Array:
+        rows = B.texts(column)
+        n_words, found = [0] * len(rows), [[] for _ in rows]
+        for shard in _overlapped(rows, window - 1):
+            hits, counts = _hits(shard, shared.value)
+            for (row, before, *_), n in zip(shard, counts.tolist(), strict=True):
+                n_words[row] = before + n
+            for hit in hits:
+                found[hit[0]].append(hit)
+        keys = ("word", "end_word", "start", "end")
+        return pa.array(
+            [
+                {
+                    "n_words": n,
+                    "spans": [dict(zip(keys, s, strict=True)) for s in _merged(hits)],
+                    "items": sorted({i for h in hits for i in h[5]} - {NO_ID}),
+                }
+                for n, hits in zip(n_words, found, strict=True)
+            ],
+            LEAKS,
+        )
+
+    return F.arrow_udf(B.in_parts(leaks), LEAKS_SQL)
 
 
 def without_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -337,7 +334,6 @@ def without_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
             parts.append(t[at : s["start"]])
             at = s["end"]
         out.append(b"".join([*parts, t[at:]]).decode("utf-8", "replace"))
-    B.free()
     return pa.array(out, pa.string())
 
 
@@ -347,7 +343,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     (leaks,) = fresh(docs, "leaks")
     step = find_leaks(docs, items, window, leaks)
     spans = F.col(f"{leaks}.spans")
-    cut = F.when(F.size(spans) > 0, F.arrow_udf(without_spans, "string")(text_of(step), spans)).otherwise(F.col("text"))
+    cut = F.when(F.size(spans) > 0, F.arrow_udf(B.in_parts(without_spans), "string")(text_of(step), spans)).otherwise(F.col("text"))
     return step.withColumn("text", cut).select(*names)
 
 

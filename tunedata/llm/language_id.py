@@ -155,7 +155,7 @@ def fitted(docs: DataFrame, folds: int = FOLDS) -> Model:
     picked = saved(hashed.distinct(), "language-sample")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in B.batches_in_parts(batches, "text"):
             found = features_of(B.texts(batch.column(2)))
             buckets = pa.array([f.tobytes() for f, _ in found], pa.binary())
             shares = pa.array([w.tobytes() for _, w in found], pa.binary())
@@ -186,19 +186,17 @@ def identify(docs: DataFrame, model: Model, names: Sequence[str] = ("lang_pred",
     legible_name, found_name = fresh(docs, "legible", "found")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers
 
-    @F.arrow_udf("lang string, score double")
-    @B.freed
-    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = shared.value
-        for column in batches:
-            best, score = known.predict(B.texts(column))
-            names = pa.array(np.array(known.languages, dtype=object)[best], pa.string())
-            yield pa.StructArray.from_arrays([names, pa.array(score)], ["lang", "score"])
+    def predicted(column: pa.Array) -> pa.Array:
+        best, score = shared.value.predict(B.texts(column))
+        names = pa.array(np.array(shared.value.languages, dtype=object)[best], pa.string())
+        return pa.StructArray.from_arrays([names, pa.array(score)], ["lang", "score"])
+
+    predict = F.arrow_udf(B.in_parts(predicted), "lang string, score double")
 
     if not model.languages:
         return docs.withColumns({label: F.lit(UNKNOWN), score_name: F.lit(0.0), rejected: F.lit(True)})
     legible = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    step = docs.withColumns({legible_name: legible, found_name: predicted(text_of(docs))})
+    step = docs.withColumns({legible_name: legible, found_name: predict(text_of(docs))})
     read, found = F.col(legible_name), F.col(found_name)
     return step.withColumns(
         {

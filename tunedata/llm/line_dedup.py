@@ -81,10 +81,10 @@ def _lines(uids: np.ndarray, rows: list[bytes], least: int) -> pa.RecordBatch:
 
 def lines_of(rows: DataFrame, least: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in B.batches_in_parts(batches, "text"):
             yield _lines(batch.column(0).to_numpy(), B.texts(batch.column(1)), least)
 
-    return rows.select("uid", text_of(rows)).mapInArrow(B.freed(read), LINES)
+    return rows.select("uid", text_of(rows).alias("text")).mapInArrow(B.freed(read), LINES)
 
 
 def _ranks(values: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -174,7 +174,6 @@ def without_lines(text: pa.Array, lines: pa.Array) -> pa.Array:
     for t, gone in zip(B.texts(text), lines.to_pylist(), strict=True):
         gone = set(gone)
         out.append(b"\n".join([x for i, x in enumerate(t.split(b"\n")) if i not in gone]).decode("utf-8", "replace"))
-    B.free()
     return pa.array(out, pa.string())
 
 
@@ -193,7 +192,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     cuts = repeated_runs(rows.select(F.col(uid).alias("uid"), "doc_id", "text"), least)
     joined = rows.join(cuts.select(F.col("uid").alias(uid), F.col("lines").alias(found)), uid, "left")
     lines = F.coalesce(found, F.array().cast("array<int>"))
-    cut = F.when(F.size(lines) > 0, F.arrow_udf(without_lines, "string")(text_of(joined), lines)).otherwise(F.col("text"))
+    cut = F.when(F.size(lines) > 0, F.arrow_udf(B.in_parts(without_lines), "string")(text_of(joined), lines)).otherwise(F.col("text"))
     return joined.withColumn("text", cut).withColumn("removed_lines", lines).select(*names, "removed_lines")
 
 

@@ -101,10 +101,10 @@ def _signed(uids: np.ndarray, ids: pa.Array, rows: list[bytes]) -> pa.RecordBatc
 
 def shingled(rows: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in B.batches_in_parts(batches, "text"):
             yield _signed(batch.column(0).to_numpy(), batch.column(1), B.texts(batch.column(2)))
 
-    return rows.select("uid", F.col("doc_id").cast("long"), text_of(rows)).mapInArrow(B.freed(read), SHINGLED)
+    return rows.select("uid", F.col("doc_id").cast("long"), text_of(rows).alias("text")).mapInArrow(B.freed(read), SHINGLED)
 
 
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +133,7 @@ def shingle_weights(signed: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(IDF_BUCKETS, np.int64)
-        for batch in batches:
+        for batch in B.batches_in_parts(batches, "shingles"):
             values, edges = _unpacked(batch.column(0))
             owner = np.repeat(np.arange(edges.size - 1), np.diff(edges))
             first, _ = _runs(values, owner)
@@ -190,7 +190,7 @@ def band_keys(signed: DataFrame, weights: np.ndarray, bands: int, rows: int) ->
     shared = signed.sparkSession.sparkContext.broadcast(weights)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in B.batches_in_parts(batches, "shingles"):
             values, edges = _unpacked(batch.column(5))
             owner = np.repeat(np.arange(edges.size - 1), np.diff(edges))
             values, owner, weight = _weighted(values, owner, shared.value)
@@ -251,7 +251,7 @@ def _maybe_in(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
         at = column.to_numpy()
         return pa.array(((shared.value[at // 64] >> (at % 64)) & 1).astype(bool))
 
-    return frame.where(F.arrow_udf(held, "boolean")(spot(column)))
+    return frame.where(F.arrow_udf(B.in_parts(held), "boolean")(spot(column)))
 
 
 def verified(pairs: DataFrame, signed: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
@@ -267,7 +267,7 @@ def verified(pairs: DataFrame, signed: DataFrame, weights: np.ndarray, similarit
     left = near.select(F.col("uid").alias("a"), F.col("shingles").alias("_a"))
     right = near.select(F.col("uid").alias("b"), F.col("shingles").alias("_b"))
     joined = pairs.join(left, "a").join(right, "b")
-    out = saved(joined.where(F.arrow_udf(similar, "boolean")("_a", "_b")).select("a", "b"), "dup-verified")
+    out = saved(joined.where(F.arrow_udf(B.in_parts(similar), "boolean")("_a", "_b")).select("a", "b"), "dup-verified")
     table_.destroy()
     dropped(ids)
     return out
@@ -328,7 +328,7 @@ def _rare_shingles(texts: DataFrame, weights: np.ndarray, similarity: float) ->
     shared = texts.sparkSession.sparkContext.broadcast(weights)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in B.batches_in_parts(batches, "shingles"):
             values, edges = _unpacked(batch.column(2))
             owner = np.repeat(np.arange(edges.size - 1), np.diff(edges))
             values, owner, weight = _weighted(values, owner, shared.value)
