@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tunedata.llm import bytes_ as B
-from tunedata.llm.tables import dropped, fresh, saved, table, text_of
+from tunedata.llm.tables import dropped, fresh, maybe_in, saved, table, text_of
 
 # a repeated run counts from so many words on
 LEAST_WORDS = 50
@@ -185,15 +185,20 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     whole, also against copies in the same text. Every row stays, with empty text if all its lines
     go; null texts and texts of fewer than `least` words are as before. A column `removed_lines` is
     replaced, all others pass unchanged, whatever their names. An empty table gives an empty table.
+    Texts stay where they are read: only those that may lose lines are joined with their cuts.
     """
     names = [c for c in docs.columns if c != "removed_lines"]
     uid, found = fresh(docs, "uid", "lines")
     rows = saved(docs.withColumn(uid, F.monotonically_increasing_id()), "line-docs")
     cuts = repeated_runs(rows.select(F.col(uid).alias("uid"), "doc_id", "text"), least)
-    joined = rows.join(cuts.select(F.col("uid").alias(uid), F.col("lines").alias(found)), uid, "left")
-    lines = F.coalesce(found, F.array().cast("array<int>"))
+    maybe = maybe_in(F.col(uid), cuts.select(F.col("uid").alias("id")))
+    joined = rows.where(maybe).join(cuts.select(F.col("uid").alias(uid), F.col("lines").alias(found)), uid, "left")
+    none = F.array().cast("array<int>")
+    lines = F.coalesce(found, none)
     cut = F.when(F.size(lines) > 0, F.arrow_udf(B.in_parts(without_lines), "string")(text_of(joined), lines)).otherwise(F.col("text"))
-    return joined.withColumn("text", cut).withColumn("removed_lines", lines).select(*names, "removed_lines")
+    joined = joined.withColumn("text", cut).withColumn("removed_lines", lines).select(*names, "removed_lines")
+    whole = rows.where(~maybe).withColumn("text", F.col("text").cast("string")).withColumn("removed_lines", none)
+    return whole.select(*names, "removed_lines").union(joined)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,7 +218,8 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def mix(docs: DataFrame) -> DataFrame:
     """`docs` as the mix takes them: each row as often as it has copies; columns of any name pass unchanged."""
-    _, params = mixed(docs)
+    rows, params = mixed(docs)
+    dropped(rows)
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
     sized = _sizes(docs.select(whole, docs["doc_id"], docs["source"], docs["text"])).drop("text")
     right = params.withColumnRenamed("source", "_source").drop("source_size", "target")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tunedata.llm import bytes_ as B
-from tunedata.llm.tables import dropped, fresh, saved, table, text_of
+from tunedata.llm.tables import dropped, fresh, maybe_in, saved, table, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
@@ -21,8 +21,6 @@ IDF_RANGE = 0.1
 STARS = 3
 # texts with a common rare shingle are compared in blocks of so many on either side
 BLOCK = 4096
-# bits of the table that says which ids are asked for: 16 for each, up to 16 MB
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 CHUNK = 1 << 16
 SHINGLED = "uid long, doc_id long, n int, h1 long, h2 long, shingles binary"
 
@@ -229,31 +227,6 @@ def weighted_jaccard(a: bytes, b: bytes, table_: np.ndarray) -> float:
     return float(common / both) if both else 0.0
 
 
-def _maybe_in(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of `frame` whose id may be in `ids`: a bit table sized by their number drops most others before a shuffle."""
-    size = LEAST_BITS
-    while size < min(MOST_BITS, 16 * ids.count()):
-        size *= 2
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
-    bit = F.expr("shiftleft(1L, cast(pmod(_spot, 64) as int))")
-    bits = (
-        ids.select(spot("id").alias("_spot"))
-        .select(F.expr("cast(_spot div 64 as int)").alias("word"), bit.alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()
-    )
-    words = np.zeros(size // 64, np.int64)
-    words[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
-    shared = frame.sparkSession.sparkContext.broadcast(words)
-
-    def held(column: pa.Array) -> pa.Array:
-        at = column.to_numpy()
-        return pa.array(((shared.value[at // 64] >> (at % 64)) & 1).astype(bool))
-
-    return frame.where(F.arrow_udf(B.in_parts(held), "boolean")(spot(column)))
-
-
 def verified(pairs: DataFrame, signed: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
     """The pairs (a, b) of row ids whose weighted Jaccard similarity is at least `similarity`."""
     table_ = signed.sparkSession.sparkContext.broadcast(weights)
@@ -262,14 +235,12 @@ def verified(pairs: DataFrame, signed: DataFrame, weights: np.ndarray, similarit
         left, right = (x.cast(pa.large_binary()).to_pylist() for x in (a, b))
         return pa.array([weighted_jaccard(x, y, table_.value) >= similarity for x, y in zip(left, right, strict=True)])
 
-    ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "dup-ids")
-    near = _maybe_in(signed.select("uid", "shingles"), "uid", ids)
+    near = signed.select("uid", "shingles").where(maybe_in(F.col("uid"), pairs.select(F.explode(F.array("a", "b")).alias("id"))))
     left = near.select(F.col("uid").alias("a"), F.col("shingles").alias("_a"))
     right = near.select(F.col("uid").alias("b"), F.col("shingles").alias("_b"))
     joined = pairs.join(left, "a").join(right, "b")
     out = saved(joined.where(F.arrow_udf(B.in_parts(similar), "boolean")("_a", "_b")).select("a", "b"), "dup-verified")
     table_.destroy()
-    dropped(ids)
     return out
 
 
@@ -531,12 +502,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` less all rows but the first of each class; columns of any name and texts as before."""
+    """`docs` less all rows but the first of each class; columns of any name and texts as before.
+
+    Texts stay where they are read: only rows that may be among those that go are joined with them.
+    """
     names = docs.columns
     (uid,) = fresh(docs, "uid")
     rows = saved(docs.withColumn(uid, F.monotonically_increasing_id()), "dup-docs")
     found = classes(rows.select(F.col(uid).alias("uid"), "doc_id", "text"), similarity)
-    return rows.join(found.where("uid = first").select(F.col("uid").alias(uid)), uid, "left_semi").select(*names)
+    gone = saved(found.where("uid <> first").select(F.col("uid").alias("id")), "dup-gone")
+    dropped(found)
+    maybe = maybe_in(F.col(uid), gone)
+    left = rows.where(maybe).join(gone.withColumnRenamed("id", uid), uid, "left_anti")
+    return rows.where(~maybe).select(*names).union(left.select(*names))
 
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

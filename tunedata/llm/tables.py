@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunedata.llm import bytes_ as B
 from tunedata.sources.session import scratch_dir
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+# bits of the table that says which ids are asked for: 16 for each, up to 16 MB
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +40,33 @@ def dropped(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def maybe_in(column: Column, ids: DataFrame) -> Column:
+    """Whether a long, never null, may be one of the column `id` of `ids` (it surely is not where this is false): a
+    bit table sized by their number tells most others apart without a shuffle. Ids may repeat."""
+    size = LEAST_BITS
+    while size < min(MOST_BITS, 16 * ids.count()):
+        size *= 2
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    bit = F.expr("shiftleft(1L, cast(pmod(_spot, 64) as int))")
+    bits = (
+        ids.select(spot(F.col("id").cast("long")).alias("_spot"))
+        .select(F.expr("cast(_spot div 64 as int)").alias("word"), bit.alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toArrow()
+    )
+    words = np.zeros(size // 64, np.int64)
+    words[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(words)
+
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for spots in batches:
+            at = spots.to_numpy()
+            yield pa.array(((shared.value[at // 64] >> (at % 64)) & 1).astype(bool))
+
+    return F.arrow_udf(B.freed(held), "boolean")(spot(column.cast("long")))
+
+
 def text_of(docs: DataFrame, name: str = "text") -> Column:
     """The text column, null taken as empty."""
     return F.coalesce(docs[name].cast("string"), F.lit(""))
